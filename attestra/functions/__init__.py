@@ -1 +1 @@
-
+"""Column functions on text, arrays and vectors."""

@@ -1,3 +1,3 @@
 """Queries over the project's tables; importing the package registers them."""
 
-from attestra.plans import text_queries  # noqa: F401
+from attestra.plans import ranking_queries, text_queries  # noqa: F401

@@ -43,10 +43,10 @@ def tf_sql(rows: str, keys: str, text: str) -> str:
 SCORES_SQL = f"""
     q AS ({tf_sql("SELECT * FROM c", "event_id", "claim")}), s AS ({tf_sql("SELECT * FROM p", "event_id, cand", "text")}),
     qn AS (SELECT event_id, sum(tf * tf) AS qq FROM q GROUP BY event_id), sn AS (SELECT event_id, cand, sum(tf * tf) AS ss FROM s GROUP BY event_id, cand),
-    hit AS (SELECT s.event_id, s.cand, any_value(q.n) AS nq, any_value(s.n) AS ns, sum(least(q.tf, s.tf)) AS both, sum(q.tf * s.tf) AS qs,
+    hit AS (SELECT s.event_id, s.cand, any_value(q.n) AS nq, any_value(s.n) AS ns, sum(least(q.tf, s.tf)) AS shared, sum(q.tf * s.tf) AS qs,
         sum((ln(1.0 + 1.0 / (1.0 + s.tf)) + 0.5) * (s.tf * 2.2 / (s.tf + 1.2 * (0.25 + 0.75 * s.n / 18.0)))) AS bm25 FROM s JOIN q USING (event_id, t) GROUP BY s.event_id, s.cand),
     scored AS (SELECT p.event_id, p.cand, p.key, p.text, p.report_id,
-        coalesce(2.0 * (both / ns) * (both / nq) / greatest(1e-8, both / ns + both / nq), 0.0) AS lex, coalesce(bm25, 0.0) AS bm25,
+        coalesce(2.0 * (shared / ns) * (shared / nq) / greatest(1e-8, shared / ns + shared / nq), 0.0) AS lex, coalesce(bm25, 0.0) AS bm25,
         coalesce(qs / sqrt(qq * ss), 0.0) AS cos
         FROM p JOIN c USING (event_id) LEFT JOIN hit USING (event_id, cand) LEFT JOIN qn USING (event_id) LEFT JOIN sn USING (event_id, cand))"""
 

@@ -73,8 +73,8 @@ def t_canonical_dedupe(spark, d):
     return rows.groupBy("event_id", "key").agg(F.count("*").alias("n"), F.min("row_id").alias("first_row"))
 
 
-# RE2 takes accented letters for word ends; a plain letter in their place gives the word ends of the Unicode rules.
-ASCII_CLAIM = r"regexp_replace(lower(claim), '[^\x00-\x7F]', 'x', 'g')"
+# RE2 takes accented letters for word ends; a low line in their place gives the word ends of the Unicode rules.
+ASCII_CLAIM = r"regexp_replace(lower(claim), '[^\x00-\x7F]', '_', 'g')"
 
 
 def _in(words: list[str]) -> str:

@@ -31,7 +31,8 @@ def ring(t: float) -> str:
     for i in range(SEGMENTS):
         chain = [" + ".join(d[(i + k) % SEGMENTS] for k in range(n)) for n in range(1, SEGMENTS + 1)]
         starts.append(" AND ".join(f"{SEGMENTS} * ({c}) <= {n} * {tau}" for n, c in enumerate(chain, 1)))
-    return "(" + " OR ".join(f"({s})" for s in starts) + ")"
+    # Every chain that goes all the way round has the same sum, so that is tried first and once.
+    return f"({' + '.join(d)}) <= {tau} AND (" + " OR ".join(f"({s})" for s in starts) + ")"
 
 
 def class_pairs(sets: DataFrame, t: float = SIMILARITY) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestra.llm.components import components
-from attestra.llm.setjoin import SLACK, prepare, seed_rows, sketch, verify
+from attestra.llm.setjoin import SLACK, budget, differences, prepare, seed_rows, sketch, tau, verify
 
 SIMILARITY = 0.7
 SEGMENTS = 4
@@ -25,14 +25,12 @@ SEGMENTS = 4
 
 def ring(t: float) -> str:
     """SQL condition: from some segment on, all chains stay within their share of the budget."""
-    tau = f"({(1 - t) / (1 + t)!r} * (x.size + y.size) + {SLACK!r})"
-    d = [f"bit_count(x.m{i} ^ y.m{i})" for i in range(SEGMENTS)]
-    starts = []
+    d, starts = differences(), []
     for i in range(SEGMENTS):
         chain = [" + ".join(d[(i + k) % SEGMENTS] for k in range(n)) for n in range(1, SEGMENTS + 1)]
-        starts.append(" AND ".join(f"{SEGMENTS} * ({c}) <= {n} * {tau}" for n, c in enumerate(chain, 1)))
+        starts.append(" AND ".join(f"{SEGMENTS} * ({c}) <= {n} * {tau(t)}" for n, c in enumerate(chain, 1)))
     # Every chain that goes all the way round has the same sum, so that is tried first and once.
-    return f"({' + '.join(d)}) <= {tau} AND (" + " OR ".join(f"({s})" for s in starts) + ")"
+    return f"{budget(t)} AND (" + " OR ".join(f"({s})" for s in starts) + ")"
 
 
 def class_pairs(sets: DataFrame, t: float = SIMILARITY) -> DataFrame:

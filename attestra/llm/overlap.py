@@ -4,8 +4,9 @@ Claims are read as the sequence of their different words from rare to common, so
 sequences of all records form the partitioned text of a suffix array: suffixes are keyed by the seed they start with
 (``setjoin``: two similar claims share one), spread and sorted by it, and a merge of the training suffixes with the
 evaluation suffixes walks the places where the two splits stand side by side. The common prefix of each such pair of
-suffixes is a shared span; the spans of a pair are merged into the part of each record that they cover, and the pair is
-then checked on the whole sets. A key with a third of all rows is split by adaptive execution.
+suffixes is a shared span; pairs whose word bitmaps differ by more than the similarity allows are passed over. The spans of
+a pair are merged into the part of each record that they cover, and the pair is checked on the whole sets. A key with a
+third of all rows is split by adaptive execution.
 
 Training means ``split`` is ``train`` in any case; other non-null splits are evaluation. Event ids are compared trimmed,
 lower-cased and without a trailing ``.json``; null equals nothing. Null claims and those without a word are similar to nothing.
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestra.llm.setjoin import SLACK, prepare, seed_rows, sketch, verify
+from attestra.llm.setjoin import SLACK, budget, prepare, seed_rows, sketch, verify
 
 SIMILARITY = 0.75
 SUFFIX_WORDS = 32
@@ -37,9 +38,9 @@ def shared_spans(sets: DataFrame, marked: DataFrame, t: float = SIMILARITY) -> D
 
     ``marked``: ``cls, in_train, in_eval``. A class on both sides is left to the caller.
     """
-    suffixes = seed_rows(sets, sketch(sets), t, SUFFIX_WORDS).select("seed", "cls", "size", "pos", "tail").join(marked, "cls")
+    suffixes = seed_rows(sets.join(marked, "cls"), sketch(sets), t, SUFFIX_WORDS, ("in_train", "in_eval"))
     x, y = suffixes.where("in_train").alias("x"), suffixes.where("in_eval").alias("y").hint("merge")
-    near = F.expr(f"x.seed = y.seed AND x.cls <> y.cls AND least(x.size, y.size) >= {t!r} * greatest(x.size, y.size) - {SLACK!r}")
+    near = F.expr(f"x.seed = y.seed AND x.cls <> y.cls AND least(x.size, y.size) >= {t!r} * greatest(x.size, y.size) - {SLACK!r} AND {budget(t)}")
     common = F.expr("coalesce(array_position(zip_with(x.tail, y.tail, (p, q) -> p <=> q), false), 0)")
     # zip_with pads the shorter suffix with nulls, so an end is a difference too; 0 means equal throughout.
     length = F.when(common == 0, F.size("x.tail")).otherwise(common - 1)

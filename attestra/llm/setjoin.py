@@ -110,15 +110,30 @@ def masks(flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out.view(np.int64).reshape(-1, 4)
 
 
+def differences() -> list[str]:
+    """SQL: differing bits of each segment of sets x and y, at most their differing words there."""
+    return [f"bit_count(x.m{i} ^ y.m{i})" for i in range(4)]
+
+
+def tau(t: float) -> str:
+    """SQL: words in which sets x and y of similarity t may differ."""
+    return f"({(1 - t) / (1 + t)!r} * (x.size + y.size) + {SLACK!r})"
+
+
+def budget(t: float) -> str:
+    """SQL condition: the differing bits of all segments are within what similarity t allows."""
+    return f"{' + '.join(differences())} <= {tau(t)}"
+
+
 def flat_lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.diff(column.offsets.to_numpy())
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), lengths
 
 
-def seed_rows(sets: DataFrame, counts: np.ndarray, t: float, suffix: int = 0) -> DataFrame:
-    """``seed, cls, size, m0..m3`` of each seed; with ``suffix`` also ``pos`` and up to that many words from there on."""
+def seed_rows(sets: DataFrame, counts: np.ndarray, t: float, suffix: int = 0, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``seed, cls, size, m0..m3`` of each seed and the carried columns; with ``suffix`` also ``pos`` and up to that many words from there on."""
     shared = sets.sparkSession.sparkContext.broadcast(counts)
-    field = sets.select("cls", "toks")
+    field = sets.select("cls", "toks", *carry)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -129,7 +144,8 @@ def seed_rows(sets: DataFrame, counts: np.ndarray, t: float, suffix: int = 0) ->
             doc, pos, seed = seeds(flat, freq, lengths, t)
             m = masks(flat, lengths)[doc]
             cols = [pa.array(seed, pa.int64()), b.column(0).take(pa.array(doc)), pa.array(lengths[doc], pa.int32()), *(pa.array(m[:, i]) for i in range(4))]
-            names = ["seed", "cls", "size", "m0", "m1", "m2", "m3"]
+            cols += [b.column(2 + i).take(pa.array(doc)) for i in range(len(carry))]
+            names = ["seed", "cls", "size", "m0", "m1", "m2", "m3", *carry]
             if suffix:
                 begin = np.cumsum(lengths) - lengths
                 lo = begin[doc] + pos
@@ -142,7 +158,7 @@ def seed_rows(sets: DataFrame, counts: np.ndarray, t: float, suffix: int = 0) ->
             yield pa.RecordBatch.from_arrays(cols, names)
 
     kind = field.schema["cls"].dataType.simpleString()
-    more = ", pos int, tail array<bigint>" if suffix else ""
+    more = "".join(f", {c} {field.schema[c].dataType.simpleString()}" for c in carry) + (", pos int, tail array<bigint>" if suffix else "")
     return field.mapInArrow(run, f"seed bigint, cls {kind}, size int, m0 bigint, m1 bigint, m2 bigint, m3 bigint{more}")
 
 

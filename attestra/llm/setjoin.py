@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from attestra.llm.runtime import checkpoint, words
 
 SKETCH_BITS = 20
-CLASS_LIMITS = (1024, 32768)
+CLASS_LIMITS = (512, 16384)
 EXTRA = sum(range(len(CLASS_LIMITS) + 1))
 LARGE = 128
 SLACK = 1e-9

@@ -1,3 +1,3 @@
 """Queries over the project's tables; importing the package registers them."""
 
-from attestra.plans import chunk_queries, ranking_queries, selection_queries, text_queries  # noqa: F401
+from attestra.plans import chunk_queries, metric_queries, ranking_queries, selection_queries, text_queries  # noqa: F401

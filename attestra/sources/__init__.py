@@ -1 +1 @@
-
+"""Readers of claim and report collections, and sinks."""

@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from attestra.llm.runtime import checkpoint, strings
 
 CAPACITY = 1024
+#: More items of one length than any corpus has.
+RANKS = 1 << 44
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # Fixed value: the pre-tokenisation pattern of the public byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -81,6 +83,24 @@ def fillings(numbers: dict[int, int], capacity: int = CAPACITY) -> list[tuple[in
     return out
 
 
+def deal(numbers: dict[int, int], capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges of ranks within a length and the container of each: ``start`` (length and first rank in one number, ascending),
+    ``each`` (how many of that length a container takes) and ``base`` (the first container). Items of length 0 go to the first.
+
+    There are a few times ``capacity`` ranges, whatever the corpus: the one thing that is broadcast.
+    """
+    rows, container, used = [], 0, Counter()
+    for times, take in fillings(numbers, capacity):
+        for size, n in take.items():
+            rows.append((size * RANKS + used[size], n, container))
+            used[size] += times * n
+        container += times
+    if numbers.get(0):
+        rows.append((0, numbers[0], 0))
+    start, each, base = (np.array(c, np.int64) for c in zip(*sorted(rows))) if rows else (np.zeros(0, np.int64),) * 3
+    return start, each, base
+
+
 def items(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, part, token_start, n_tokens, pid, local``: the items of each document with their rank among the items of
     their length in the same partition."""
@@ -116,21 +136,22 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENI
     found = checkpoint(items(documents, capacity, tokenizer, doc_id, text))
     by_partition = found.groupBy("n_tokens", "pid").agg(F.count("*").alias("n"))
     numbers = {r.n_tokens: r.n for r in by_partition.groupBy("n_tokens").agg(F.sum("n").alias("n")).collect()}  # at most capacity + 1 rows
-    rows, container, used = [], 0, Counter()
-    for times, take in fillings(numbers, capacity):
-        for size, n in take.items():
-            rows.append((size, used[size], used[size] + times * n, n, container))
-            used[size] += times * n
-        container += times
-    if numbers.get(0):
-        rows.append((0, 0, numbers[0], numbers[0], 0))
-    deal = spark.createDataFrame(rows, "n_tokens int, lo bigint, hi bigint, each bigint, base bigint")
+    dealt = deal(numbers, capacity)
     before = Window.partitionBy("n_tokens").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
     offset = by_partition.select("n_tokens", "pid", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    ranked = found.join(offset, ["n_tokens", "pid"]).withColumn("rank", F.col("offset") + F.col("local"))
-    # Fillings number a few times the capacity at most, whatever the corpus: the one broadcast here.
-    placed = ranked.join(F.broadcast(deal), ["n_tokens"]).where("rank >= lo AND rank < hi")
-    return placed.select((F.col("base") + F.expr("(rank - lo) div each")).alias("container_id"), doc_id, "part", "token_start", "n_tokens")
+    ranked = found.join(offset, ["n_tokens", "pid"]).select(F.col(doc_id).alias("id"), "part", "token_start", "n_tokens", (F.col("offset") + F.col("local")).alias("rank"))
+    shared = spark.sparkContext.broadcast(dealt)
+
+    def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start, each, base = shared.value
+        for b in batches:
+            at = b.column(3).to_numpy().astype(np.int64) * RANKS + b.column(4).to_numpy()
+            row = np.searchsorted(start, at, "right") - 1
+            container = base[row] + (at - start[row]) // each[row]
+            yield pa.RecordBatch.from_arrays([pa.array(container), *b.columns[:4]], ["container_id", "id", "part", "token_start", "n_tokens"])
+
+    kind = ranked.schema["id"].dataType.simpleString()
+    return ranked.mapInArrow(place, f"container_id bigint, id {kind}, part int, token_start int, n_tokens int").withColumnRenamed("id", doc_id)
 
 
 def fill(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -19,10 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage in the folder named by ``spark.checkpoint.dir``; only where that is unset (tests) in a local one."""
+    """Cut lineage in the shared folder named by ``spark.checkpoint.dir``; only a local master gets a local one where it is unset."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="attestra-ckpt-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if folder is None and not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="attestra-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
@@ -46,7 +49,3 @@ def strings(column: pa.ChunkedArray | pa.Array) -> list[str]:
 def words(text: F.Column | str) -> F.Column:
     """Array of words: maximal runs of letters and digits of the lower-cased text; null stays null."""
     return F.regexp_extract_all(F.lower(F.col(text) if isinstance(text, str) else text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
-
-
-def clean_key(name: str) -> F.Column:
-    return F.lower(F.trim(F.col(name)))

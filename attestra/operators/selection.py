@@ -7,6 +7,7 @@ has been cut to its best candidates beforehand, so no group handed to Python is
 from __future__ import annotations
 
 import itertools
+import zlib
 from collections import Counter
 from collections.abc import Callable, Sequence
 from typing import NamedTuple
@@ -440,3 +441,28 @@ def sensitivity_gate(score: np.ndarray, sim: np.ndarray, k: int, low: float = 0.
     redundancy = float(np.mean([sim[i, j] for i, j in itertools.combinations(top, 2)])) if k > 1 else 0.0
     holds = score[runs[low]].mean() >= floor * max(score[top].mean(), 1e-12)
     return (low if sensitivity >= change and redundancy >= redundant and holds else base), round(sensitivity, 9), round(redundancy, 9)
+
+
+def greedy_set(n: int, k: int, value: Callable[[tuple[int, ...]], float]) -> tuple[int, ...]:
+    """Grown one item at a time by the value of the whole set; ties to the earlier item."""
+    chosen: tuple[int, ...] = ()
+    while len(chosen) < min(k, n):
+        chosen = max((tuple(sorted((*chosen, i))) for i in range(n) if i not in chosen), key=lambda s: (value(s), [-i for i in s]))
+    return chosen
+
+
+def exhaustive_set(n: int, k: int, value: Callable[[tuple[int, ...]], float]) -> tuple[int, ...]:
+    return max(itertools.combinations(range(n), min(k, n)), key=lambda s: (value(s), [-i for i in s]))
+
+
+def beam_set(n: int, k: int, value: Callable[[tuple[int, ...]], float], width: int) -> tuple[int, ...]:
+    level: list[tuple[int, ...]] = [()]
+    for _ in range(min(k, n)):
+        wider = {tuple(sorted((*s, i))) for s in level for i in range(n) if i not in s}
+        level = sorted(wider, key=lambda s: (-value(s), s))[:width]
+    return level[0]
+
+
+def hashed_schedule(seed: int, steps: int, choices: Sequence[float]) -> list[float]:
+    """Lambdas of each step picked by a hash of seed and step."""
+    return [choices[zlib.crc32(f"{seed}|{i}".encode()) % len(choices)] for i in range(steps)]

@@ -229,3 +229,16 @@ def r_prior_adjustment(spark, d):
     counts = table(spark, d, "prepared_samples").where("gold_id >= 0").groupBy("label_schema", "gold_id").agg(F.count("*").alias("c"))
     prior = F.col("c") / F.col("total")
     return counts.join(counts.groupBy("label_schema").agg(F.sum("c").alias("total")), "label_schema").select("label_schema", "gold_id", F.round(prior, 6).alias("prior"), F.round(0.5 - F.log(prior), 6).alias("adjusted"))
+
+
+@query(f"""{BASE}, len AS (SELECT event_id, count(*) AS docs, greatest(avg(n), 1.0) AS mean FROM (SELECT p.event_id, coalesce(n, 0) AS n FROM p LEFT JOIN (SELECT event_id, cand, any_value(n) AS n FROM s GROUP BY 1, 2) USING (event_id, cand)) GROUP BY event_id),
+    df AS (SELECT event_id, t, count(*) AS df FROM s GROUP BY 1, 2), o AS (SELECT s.event_id, s.cand, sum({_OKAPI.format(k1p=2.5, k1=1.5)}) AS okapi FROM s JOIN q USING (event_id, t) JOIN df USING (event_id, t) JOIN len USING (event_id) GROUP BY 1, 2),
+    m AS (SELECT scored.event_id, scored.cand, coalesce(okapi, 0.0) AS okapi, lex FROM scored LEFT JOIN o USING (event_id, cand)), z AS (SELECT event_id, cand, round(0.7 * ({minmax_sql("okapi")}) + 0.3 * ({minmax_sql("lex")}), 6) AS score FROM m WINDOW e AS (PARTITION BY event_id))
+    SELECT event_id, cand, score, rk AS rank FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY score DESC, cand) AS rk FROM z) WHERE rk <= 5""")
+def r_coverage_rank(spark, d):
+    """Sentences by collection BM25 and overlap, rounded before they are ranked."""
+    rows = scored(spark, d).select("event_id", "cand", "lex")
+    o = okapi(claims(spark, d), sentences(spark, d), ["event_id"], ["cand"])
+    m = minmax(rows.join(o, ["event_id", "cand"], "left").na.fill(0.0, ["okapi"]), ["event_id"], ["okapi", "lex"])
+    z = m.withColumn("score", F.round(0.7 * F.col("mm_okapi") + 0.3 * F.col("mm_lex"), 6))
+    return top_k(z, ["event_id"], best_first("score", "cand"), 5).select("event_id", "cand", "score", "rank")

@@ -508,3 +508,40 @@ def g_anchor_sets(spark, d):
     a = r.where("rank <= 2").groupBy("event_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "candidate_id"))), lambda x: x["candidate_id"]).alias("anchors"), F.sum("s").alias("base"))
     j = r.where("rank > 2").join(a, "event_id")
     return j.select("event_id", F.array_append("anchors", F.col("candidate_id")).alias("set"), F.round(F.col("s") - F.col("base") / 2, 6).alias("delta"), (F.col("s") > F.col("base") / 2).alias("positive"))
+
+
+@query()
+def g_set_search(spark, d):
+    """The best three of the top eight by chain score, found greedily, by beam and exhaustively."""
+    def choose(p, _):
+        p = p.head(8)
+        value = lambda s: S.chain_score(p, s)
+        found = {"greedy": S.greedy_set(len(p), 3, value), "beam": S.beam_set(len(p), 3, value, 4), "exhaustive": S.exhaustive_set(len(p), 3, value)}
+        return [(how, [int(x) for x in p["candidate_id"].to_numpy()[list(s)]], value(s)) for how, s in found.items()]
+
+    return stepwise(spark, d, "search string, candidate_ids array<long>, score double", choose)
+
+
+@query()
+def g_trajectories(spark, d):
+    """Choices under four lambda schedules, with the mean relevance of each."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        score, sim = pdf["s"].to_numpy(), _sim(pdf)
+        rows = []
+        for seed in range(4):
+            plan = S.hashed_schedule(seed, 5, LAMBDAS)
+            at = S.mmr(score, sim, 5, plan)
+            rows += [(pdf["label"].iloc[0], seed, n, plan[n - 1], pdf["vec_id"].iloc[i], round(float(score[at].mean()), 9)) for n, i in enumerate(at, 1)]
+        return pd.DataFrame(rows, columns=["label", "schedule", "step", "lam", "vec_id", "utility"])
+
+    return S.grouped(dense_pool(spark, d), ["label"], best_first("s", "vec_id"), POOL, run, "label int, schedule int, step int, lam double, vec_id long, utility double")
+
+
+@query(f"""WITH r AS (SELECT event_id, candidate_id, rk, coalesce(map_confidence, 0.0) AS c FROM ({RANKED_CAND}) WHERE rk <= 5), u AS (SELECT event_id, candidate_id, 'trace' AS mode, rk::DOUBLE AS x, '' AS y FROM r UNION ALL SELECT event_id, candidate_id, 'same_set_score', -c, '' FROM r UNION ALL SELECT event_id, candidate_id, 'same_set_random', 0.0, md5('3|' || event_id || '|' || candidate_id) FROM r)
+    SELECT event_id, mode, candidate_id, row_number() OVER (PARTITION BY event_id, mode ORDER BY x, y, candidate_id) AS rank FROM u""")
+def g_selection_modes(spark, d):
+    """The chosen five in their own order, by an outside score, and at random."""
+    r = ranked_candidates(spark, d, 5)
+    h = F.md5(F.concat_ws("|", F.lit("3"), "event_id", F.col("candidate_id").cast("string")))
+    modes = F.array(*(F.struct(F.lit(n).alias("mode"), x.cast("double").alias("x"), y.alias("y")) for n, x, y in (("trace", F.col("rank"), F.lit("")), ("same_set_score", -F.coalesce("map_confidence", F.lit(0.0)), F.lit("")), ("same_set_random", F.lit(0.0), h))))
+    return top_k(r.select("event_id", "candidate_id", F.inline(modes)), ["event_id", "mode"], [F.asc("x"), F.asc("y"), F.asc("candidate_id")]).select("event_id", "mode", "candidate_id", "rank")

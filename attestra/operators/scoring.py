@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestra.functions.text import content_tokens
@@ -14,30 +14,52 @@ def term_counts(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     return toks.select(*keys, F.size("t").alias("n"), F.explode("t").alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"), F.first("n").alias("n"))
 
 
+def _sum(items: Column, value) -> Column:
+    return F.aggregate(items, F.lit(0.0), lambda acc, x: acc + value(x))
+
+
+def _square_sum(toks: Column) -> Column:
+    """Sum of squared counts of an array's values: runs of the sorted array, a run of r adding 2 r + 1 when it grows."""
+    start = F.struct(F.lit(None).cast("string").alias("v"), F.lit(0).alias("run"), F.lit(0).alias("sum"))
+
+    def step(acc: Column, x: Column) -> Column:
+        same = x.eqNullSafe(acc["v"])
+        run = F.when(same, acc["run"]).otherwise(0)
+        return F.struct(x.alias("v"), (run + 1).alias("run"), (acc["sum"] + 2 * run + 1).alias("sum"))
+
+    return F.aggregate(F.array_sort(toks), start, step, lambda acc: acc["sum"])
+
+
 def lexical_scores(queries: DataFrame, candidates: DataFrame, by: list[str], cand: list[str], query_text: str = "claim", text: str = "text") -> DataFrame:
     """``lex, bm25, cos`` of every candidate against the query of its group, 0 where no term is shared.
 
     lex: F1 of the token multisets. bm25: saturated counts with k1 1.2, b 0.75, mean length 18 and an idf of the count within
     the sentence, not of the collection. cos: cosine of the term counts, the offline stand-in for a dense score.
+
+    One join of candidates with their query; the scores are array expressions on the joined row, so no token is shuffled.
+    ``cand`` names the candidate's key for callers that need it; rows are scored one by one.
     """
-    q, s = term_counts(queries, by, query_text), term_counts(candidates, by + cand, text)
-    qn = q.groupBy(*by).agg(F.sum(F.col("tf") * F.col("tf")).alias("qq"))
-    sn = s.groupBy(*by, *cand).agg(F.sum(F.col("tf") * F.col("tf")).alias("ss"))
-    hit = s.join(q.withColumnsRenamed({"tf": "qtf", "n": "qn"}), [*by, "term"])
-    tf = F.col("tf")
-    idf = F.log(1.0 + 1.0 / (1.0 + tf)) + 0.5
-    hit = hit.groupBy(*by, *cand).agg(
-        F.sum(F.least("tf", "qtf")).alias("both"),
-        F.first("n").alias("ns"),
-        F.first("qn").alias("nq"),
-        F.sum(F.col("tf") * F.col("qtf")).alias("qs"),
-        F.sum(idf * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * F.col("n") / 18.0)))).alias("bm25"),
+    toks = content_tokens(query_text)
+    q = queries.select(*by, toks.alias("__q")).select(
+        *by,
+        F.transform(F.array_distinct("__q"), lambda t: F.struct(t.alias("t"), F.size(F.filter("__q", lambda x: x == t)).alias("c"))).alias("__qc"),
+        F.size("__q").alias("__nq"),
+        _square_sum(F.col("__q")).alias("__qq"),
     )
-    hit = hit.join(qn, by).join(sn, by + cand)
-    p, r = F.col("both") / F.col("ns"), F.col("both") / F.col("nq")
-    hit = hit.select(*by, *cand, (2.0 * p * r / F.greatest(F.lit(1e-8), p + r)).alias("lex"), "bm25", (F.col("qs") / F.sqrt(F.col("qq") * F.col("ss"))).alias("cos"))
-    out = candidates.join(queries.select(*by), by).join(hit, by + cand, "left")
-    return out.na.fill(0.0, ["lex", "bm25", "cos"])
+    joined = candidates.join(q, by).withColumn("__s", content_tokens(text))
+    hits = F.filter(F.transform("__qc", lambda e: F.struct(e["c"].alias("c"), F.size(F.filter("__s", lambda x: x == e["t"])).alias("tf"))), lambda h: h["tf"] > 0)
+    rows = joined.withColumns({"__h": hits, "__ns": F.size("__s")})
+    shared = _sum(F.col("__h"), lambda h: F.least(h["c"], h["tf"]))
+    p, r = shared / F.col("__ns"), shared / F.col("__nq")
+    length = 1.2 * (0.25 + 0.75 * F.col("__ns") / 18.0)
+    bm25 = _sum(F.col("__h"), lambda h: (F.log(1.0 + 1.0 / (1.0 + h["tf"])) + 0.5) * (h["tf"] * 2.2 / (h["tf"] + length)))
+    cos = _sum(F.col("__h"), lambda h: h["c"] * h["tf"]) / F.sqrt(F.col("__qq").cast("double") * _square_sum(F.col("__s")))
+    met = F.size("__h") > 0
+    return rows.withColumns({
+        "lex": F.when(met, 2.0 * p * r / F.greatest(F.lit(1e-8), p + r)).otherwise(0.0),
+        "bm25": F.when(met, bm25).otherwise(0.0),
+        "cos": F.when(met, cos).otherwise(0.0),
+    }).drop("__qc", "__nq", "__qq", "__s", "__h", "__ns")
 
 
 def okapi(queries: DataFrame, docs: DataFrame, by: list[str], cand: list[str], query_text: str = "claim", text: str = "text", k1: float = 1.5, b: float = 0.75, scope: list[str] | None = None) -> DataFrame:

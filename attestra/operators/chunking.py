@@ -7,12 +7,12 @@ sequential split and merge steps in one grouped function per document.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestra.functions import vectors as V
 from attestra.functions.text import canonical_key, split_sentences
+from attestra.operators.selection import Pool, per_row
 
 # Words with which a sentence leans on the one before.
 LEANING = "he she it they this that these those his her its their him them such".split()
@@ -116,19 +116,15 @@ def claim_aware_chunks(df: DataFrame, keys: list[str], **settings) -> DataFrame:
     ``rel`` is the sentence's relevance to the claim, ``sim_next`` its similarity to the next one. ``anchor`` is the most
     relevant sentence, the first of equals.
     """
-    names = ["first", "last", "sentences", "tokens", "relevance", "anchor"]
-    kinds = [f.dataType.simpleString() for k in keys for f in df.schema if f.name == k]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        rel, idx, lengths = pdf["rel"].to_numpy(float), pdf["idx"].to_numpy(), pdf["tokens"].tolist()
-        leaning = [str(s).split(" ")[0].lower().strip("\"'“(") in LEANING for s in pdf["sent"]]
-        spans = claim_aware_spans(rel, pdf["sim_next"].fillna(0.0).to_numpy(float)[:-1], leaning, lengths, **settings)
-        rows = [(*(pdf[k].iloc[0] for k in keys), idx[a], idx[b], b - a + 1, sum(lengths[a : b + 1]), rel[a : b + 1].max(), idx[a + int(np.argmax(rel[a : b + 1]))]) for a, b in spans]
-        return pd.DataFrame(rows, columns=[*keys, *names])
-
-    schema = ", ".join(f"{k} {t}" for k, t in zip(keys, kinds)) + ", first int, last int, sentences int, tokens int, relevance double, anchor int"
-    return df.groupBy(*keys).applyInPandas(run, schema)
+    leaning = F.regexp_replace(F.lower(F.element_at(F.split("sent", " "), 1)), "[\"'“(]", "").isin(*LEANING)
+    packed = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("idx", "rel", F.coalesce("sim_next", F.lit(0.0)).alias("sim"), F.col("tokens").cast("long").alias("tokens"), leaning.alias("leaning"))), lambda a, b: a["idx"] - b["idx"]).alias("s"))
+
+    def run(p: Pool):
+        rel, idx, lengths = p["rel"], p["idx"], p["tokens"].tolist()
+        for a, b in claim_aware_spans(rel, p["sim"][:-1], p["leaning"], lengths, **settings):
+            yield idx[a], idx[b], b - a + 1, sum(lengths[a : b + 1]), rel[a : b + 1].max(), idx[a + int(np.argmax(rel[a : b + 1]))]
+
+    return per_row(packed, keys, "s", run, "first int, last int, sentences int, tokens int, relevance double, anchor int")
 
 
 def materialise(chunks: DataFrame, kept: DataFrame, keys: list[str], group: str, order: list[str]) -> DataFrame:

@@ -30,6 +30,12 @@ def _square_sum(toks: Column) -> Column:
     return F.aggregate(F.array_sort(toks), start, step, lambda acc: acc["sum"])
 
 
+def count_cosine(a: Column, b: Column) -> Column:
+    """Cosine of the value counts of two arrays; 0 if either is empty, null if either is."""
+    shared = _sum(F.array_distinct(a), lambda t: F.size(F.filter(a, lambda x: x == t)) * F.size(F.filter(b, lambda x: x == t)))
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(shared / F.sqrt(_square_sum(a).cast("double") * _square_sum(b)))
+
+
 def lexical_scores(queries: DataFrame, candidates: DataFrame, by: list[str], cand: list[str], query_text: str = "claim", text: str = "text") -> DataFrame:
     """``lex, bm25, cos`` of every candidate against the query of its group, 0 where no term is shared.
 

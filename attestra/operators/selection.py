@@ -9,20 +9,73 @@ from __future__ import annotations
 import itertools
 import zlib
 from collections import Counter
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from attestra.operators.ranking import top_k
 
 
-def grouped(df: DataFrame, by: list[str], order: list[Column], pool: int, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """``fn`` over each group's best ``pool`` rows, which it gets in that order with their ``rank``."""
+class Pool:
+    """The columns of one group's candidates, best first: arrays of numbers, lists of anything else."""
+
+    def __init__(self, columns: dict[str, Sequence]):
+        self.columns = columns
+
+    def __getitem__(self, name: str) -> Sequence:
+        return self.columns[name]
+
+    def __setitem__(self, name: str, values: Sequence) -> None:
+        self.columns[name] = values
+
+    def __len__(self) -> int:
+        return len(next(iter(self.columns.values())))
+
+    def head(self, n: int) -> Pool:
+        return Pool({k: v[:n] for k, v in self.columns.items()})
+
+
+def per_row(df: DataFrame, keys: list[str], packed: str, fn: Callable[[Pool], Iterable[tuple]], schema: str) -> DataFrame:
+    """``keys`` and the rows that ``fn`` makes of each row's array of structs, whole Arrow batches at a time.
+
+    The structs' fields are sliced from the batch's columns, so a group costs no frame of its own.
+    """
+    out = StructType([f for k in keys for f in df.schema if f.name == k] + list(StructType.fromDDL(schema)))
+    arrow = to_arrow_schema(out)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(len(keys))
+            offsets, values = lists.offsets.to_numpy(), lists.values
+            columns = {}
+            for i, f in enumerate(values.type):
+                child = values.field(i)
+                number = pa.types.is_integer(f.type) or pa.types.is_floating(f.type)
+                columns[f.name] = child.to_numpy(zero_copy_only=False) if number else child.to_pylist()
+            at, rows = [], []
+            for g, (lo, hi) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+                for r in fn(Pool({k: v[lo:hi] for k, v in columns.items()})) if hi > lo else ():
+                    at.append(g)
+                    rows.append(r)
+            made = list(zip(*rows)) or [()] * (len(arrow) - len(keys))
+            take = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b.column(i).take(take).cast(arrow.field(i).type) for i in range(len(keys))), *(pa.array(list(c), arrow.field(len(keys) + i).type) for i, c in enumerate(made))], schema=arrow)
+
+    return df.select(*keys, packed).mapInArrow(run, out)
+
+
+def grouped(df: DataFrame, by: list[str], order: list[Column], pool: int, fn: Callable[[Pool], Iterable[tuple]], schema: str) -> DataFrame:
+    """``by`` and what ``fn`` makes of each group's best ``pool`` rows, which it gets in that order."""
     best = top_k(df, by, order, pool)
-    return best.groupBy(*by).applyInPandas(lambda pdf: fn(pdf.sort_values("rank").reset_index(drop=True)), schema)
+    fields = ["rank", *(c for c in best.columns if c not in by and c != "rank")]
+    packed = best.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*fields)), lambda a, b: a["rank"] - b["rank"]).alias("pool"))
+    return per_row(packed, by, "pool", fn, schema)
 
 
 def mmr(score: np.ndarray, sim: np.ndarray, k: int, lam: float | Sequence[float] = 0.7) -> list[int]:
@@ -68,7 +121,7 @@ class SlotWeights(NamedTuple):
     background: float = 0.20
 
 
-def slot_greedy(c: pd.DataFrame, k: int, w: SlotWeights = SlotWeights()) -> list[tuple[int, float]]:
+def slot_greedy(c: Pool, k: int, w: SlotWeights = SlotWeights()) -> list[tuple[int, float]]:
     """Slots filled one after another by the best score given what is chosen; ``(position, score)``."""
     total = max(1, len({a for atoms in c["atoms"] for a in atoms}))
     fixed = w.base * c["base"] + w.directness * c["directness"] + w.polarity * c["polarity"] - w.background * c["background"]
@@ -179,7 +232,7 @@ class ChainStep(NamedTuple):
     utility: float
 
 
-def resolving_chain(c: pd.DataFrame, atoms: dict[str, float], target: float = 0.8, least: int = 0, most: int = 10, budget: int | None = None, contrast_after: bool = False) -> tuple[list[ChainStep], dict[str, str], str]:
+def resolving_chain(c: Pool, atoms: dict[str, float], target: float = 0.8, least: int = 0, most: int = 10, budget: int | None = None, contrast_after: bool = False) -> tuple[list[ChainStep], dict[str, str], str]:
     """Chain of evidence that resolves the claim's atoms: at each step the transition of greatest utility.
 
     Utility: value of the step, 10 x the atom's weight, the evidence's quality and 0.1 x its base score. Evidence of a
@@ -233,7 +286,7 @@ MARGINAL = {"new_atoms": 1.0, "resolves": 1.0, "contrast": 0.6, "corroborates":
 COSTS = ("duplicate", "background")
 
 
-def marginal_features(c: pd.DataFrame, i: int, covered: set, states: dict[str, str], sources: set, dups: set) -> dict[str, float]:
+def marginal_features(c: Pool, i: int, covered: set, states: dict[str, str], sources: set, dups: set) -> dict[str, float]:
     atoms = [a for a in c["atoms"][i] if a in states]
     moves = [transition(states[a], c["relation"][i], c["directness_name"][i])[0] for a in atoms]
     n = max(1, len(states))
@@ -253,7 +306,7 @@ def marginal_features(c: pd.DataFrame, i: int, covered: set, states: dict[str, s
     }
 
 
-def marginal_greedy(c: pd.DataFrame, atoms: dict[str, float], weights: dict[str, float] | None = None, least: int = 1, most: int = 8, stop: float = 0.6) -> list[tuple[int, float]]:
+def marginal_greedy(c: Pool, atoms: dict[str, float], weights: dict[str, float] | None = None, least: int = 1, most: int = 8, stop: float = 0.6) -> list[tuple[int, float]]:
     """Greedy on weighted marginal features; after ``least`` steps it stops when the best utility is at most ``stop``."""
     weights = MARGINAL if weights is None else weights
     states, covered, sources, dups, out = dict.fromkeys(atoms, "U"), set(), set(), set(), []
@@ -278,7 +331,7 @@ def marginal_greedy(c: pd.DataFrame, atoms: dict[str, float], weights: dict[str,
     return out
 
 
-def edge_weight(c: pd.DataFrame, i: int, j: int) -> float:
+def edge_weight(c: Pool, i: int, j: int) -> float:
     """Tie between two evidences: duplicates pull apart, shared atoms from other sources and conflicts tie, new atoms complement."""
     a, b = set(c["atoms"][i]), set(c["atoms"][j])
     if c["key"][i] == c["key"][j] or (c["dup"][i] and c["dup"][i] == c["dup"][j]):
@@ -295,7 +348,7 @@ def edge_weight(c: pd.DataFrame, i: int, j: int) -> float:
     return w
 
 
-def chain_score(c: pd.DataFrame, chain: Sequence[int]) -> float:
+def chain_score(c: Pool, chain: Sequence[int]) -> float:
     """Coverage, quality and ties of a set of evidence, whatever its order."""
     total = max(1, len({x for atoms in c["atoms"] for x in atoms}))
     cover = len({x for i in chain for x in c["atoms"][i]}) / total
@@ -303,7 +356,7 @@ def chain_score(c: pd.DataFrame, chain: Sequence[int]) -> float:
     return round(cover + 0.5 * float(np.mean([c["quality"][i] for i in chain])) + 0.25 * (sum(ties) / len(ties) if ties else 0.0), 9)
 
 
-def beam_chains(c: pd.DataFrame, beam: int = 12, depth: int = 5) -> list[tuple[float, list[int]]]:
+def beam_chains(c: Pool, beam: int = 12, depth: int = 5) -> list[tuple[float, list[int]]]:
     """Best sets of evidence by beam search, best first."""
     level = {(i,) for i in range(min(beam, len(c)))}
     for _ in range(min(depth, len(c)) - 1):
@@ -312,20 +365,20 @@ def beam_chains(c: pd.DataFrame, beam: int = 12, depth: int = 5) -> list[tuple[f
     return sorted(((chain_score(c, x), list(x)) for x in level), key=lambda s: (-s[0], s[1]))
 
 
-def order_score(c: pd.DataFrame, order: Sequence[int]) -> float:
+def order_score(c: Pool, order: Sequence[int]) -> float:
     """Of a reading order: early quality and ties between neighbours."""
     early = sum(c["quality"][i] / (p + 1) for p, i in enumerate(order))
     return round(early + 0.5 * sum(edge_weight(c, i, j) for i, j in zip(order, order[1:])), 9)
 
 
-def best_order(c: pd.DataFrame, chosen: list[int]) -> list[int]:
+def best_order(c: Pool, chosen: list[int]) -> list[int]:
     """The best of all orders, up to six; longer sets are ordered by quality."""
     if len(chosen) > 6:
         return sorted(chosen, key=lambda i: (-c["quality"][i], i))
     return list(min(itertools.permutations(sorted(chosen)), key=lambda o: (-order_score(c, o), o)))
 
 
-def rule_steps(c: pd.DataFrame, least: int = 5, most: int = 10) -> list[tuple[int, str]]:
+def rule_steps(c: Pool, least: int = 5, most: int = 10) -> list[tuple[int, str]]:
     """Rule by rule: evidence for an atom not covered yet (P1), then the other side of a covered one (P2), then by quality (P3) up to ``least``."""
     covered, sides, out = set(), {}, []
     while len(out) < min(most, len(c)):
@@ -344,7 +397,7 @@ def rule_steps(c: pd.DataFrame, least: int = 5, most: int = 10) -> list[tuple[in
     return out
 
 
-def sufficiency_chain(c: pd.DataFrame, atoms: dict[str, float], important: float = 0.5, target: float = 0.8, most: int = 10) -> tuple[list[int], float, bool]:
+def sufficiency_chain(c: Pool, atoms: dict[str, float], important: float = 0.5, target: float = 0.8, most: int = 10) -> tuple[list[int], float, bool]:
     """Cover the important atoms to ``target`` of their weight, then add one evidence that contradicts; ``(chosen, covered share, contradicted)``."""
     weight = {a: w for a, w in atoms.items() if w >= important}
     total = sum(weight.values()) or 1.0
@@ -363,7 +416,7 @@ def sufficiency_chain(c: pd.DataFrame, atoms: dict[str, float], important: float
     return done, round(share, 9), bool(against) or sides == {"S", "R"}
 
 
-def budgeted_chain(c: pd.DataFrame, most: int = 8, enough: float = 0.8, stop: float = 0.1, stop_early: float = 0.05) -> list[tuple[int, float]]:
+def budgeted_chain(c: Pool, most: int = 8, enough: float = 0.8, stop: float = 0.1, stop_early: float = 0.05) -> list[tuple[int, float]]:
     """Greedy on the gain of the chain score; stops at a gain below ``stop`` once ``enough`` is covered, else below ``stop_early``."""
     total = max(1, len({a for x in c["atoms"] for a in x}))
     out: list[tuple[int, float]] = []
@@ -380,7 +433,7 @@ def budgeted_chain(c: pd.DataFrame, most: int = 8, enough: float = 0.8, stop: fl
     return out
 
 
-def atom_order(c: pd.DataFrame, atoms: list[str], least: int = 5) -> list[tuple[int, str, str]]:
+def atom_order(c: Pool, atoms: list[str], least: int = 5) -> list[tuple[int, str, str]]:
     """For each atom in order its best evidence not used yet, then the best of the other side; filled up to ``least`` by rank: ``(position, atom, role)``."""
     used: list[int] = []
     out: list[tuple[int, str, str]] = []

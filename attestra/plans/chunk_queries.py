@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from attestra.functions import text as T
 from attestra.operators import chunking as C
 from attestra.operators.ranking import minmax
-from attestra.operators.scoring import lexical_scores, term_counts
+from attestra.operators.scoring import count_cosine, lexical_scores
 from attestra.plans.common import KEY, claims
 from attestra.plans.text_queries import _split_sql
 from attestra.registry import query, table
@@ -59,14 +59,10 @@ def scored_report_sentences(spark, d):
     scored = lexical_scores(claims(spark, d).select("event_id", "claim"), sents, ["event_id"], ["report_id", "idx"])
     scaled = minmax(scored, ["event_id", "report_id"], ["cos", "lex", "bm25"])
     rel = 0.7 * F.col("mm_cos") + 0.2 * F.col("mm_lex") + 0.1 * F.col("mm_bm25")
-    tf = term_counts(sents, ["event_id", "report_id", "idx"], "text").select("event_id", "report_id", "idx", "term", "tf")
-    norms = tf.groupBy("event_id", "report_id", "idx").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"))
-    after = tf.select("event_id", "report_id", (F.col("idx") - 1).alias("idx"), "term", F.col("tf").alias("tf2"))
-    dots = tf.join(after, ["event_id", "report_id", "idx", "term"]).groupBy("event_id", "report_id", "idx").agg(F.sum(F.col("tf") * F.col("tf2")).alias("dot"))
     w = Window.partitionBy("event_id", "report_id").orderBy("idx")
-    out = scaled.join(norms, ["event_id", "report_id", "idx"], "left").join(dots, ["event_id", "report_id", "idx"], "left")
-    sim = F.coalesce(F.col("dot") / (F.col("norm") * F.lead("norm").over(w)), F.lit(0.0))
-    return out.select("event_id", "report_id", "idx", F.col("text").alias("sent"), F.round(rel, 9).alias("rel"), F.round(sim, 9).alias("sim_next"), F.size(T.content_tokens("text")).alias("tokens"))
+    out = scaled.withColumn("__t", T.content_tokens("text")).withColumn("__next", F.lead("__t").over(w))
+    sim = F.coalesce(count_cosine(F.col("__t"), F.col("__next")), F.lit(0.0))
+    return out.select("event_id", "report_id", "idx", F.col("text").alias("sent"), F.round(rel, 9).alias("rel"), F.round(sim, 9).alias("sim_next"), F.size("__t").alias("tokens"))
 
 
 @query()

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 
 from attestra.functions import text as T
@@ -38,22 +37,22 @@ def dense_pool(spark, d):
     return e.join(q, "label").select("label", "vec_id", "v", F.round(V.dot(F.col("v"), F.col("qv")), 9).alias("s"))
 
 
-def _sim(pdf: pd.DataFrame) -> np.ndarray:
-    m = np.stack(pdf["v"].to_numpy())
+def _sim(p: S.Pool) -> np.ndarray:
+    m = np.stack(p["v"])
     return np.round(m @ m.T, 9)
 
 
 def dense_select(spark, d, choose):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        at = choose(pdf)
-        return pd.DataFrame({"label": pdf["label"].iloc[0], "step": range(1, len(at) + 1), "vec_id": pdf["vec_id"].to_numpy()[at]})
+    """``choose`` picks positions of a label's pool."""
+    def run(p: S.Pool):
+        return [(n, p["vec_id"][i]) for n, i in enumerate(choose(p), 1)]
 
-    return S.grouped(dense_pool(spark, d), ["label"], best_first("s", "vec_id"), POOL, run, "label int, step long, vec_id long")
+    return S.grouped(dense_pool(spark, d), ["label"], best_first("s", "vec_id"), POOL, run, "step long, vec_id long")
 
 
 @query(f"WITH RECURSIVE {DENSE_SQL}, {mmr_sql(5)} SELECT label, step, vec_id FROM steps JOIN pool USING (label, rk)")
 def g_mmr(spark, d):
-    return dense_select(spark, d, lambda p: S.mmr(p["s"].to_numpy(), _sim(p), 5))
+    return dense_select(spark, d, lambda p: S.mmr(p["s"], _sim(p), 5))
 
 
 STEP_LAMBDAS = [0.7, 0.9, 0.7, 0.5, 0.3]
@@ -61,7 +60,7 @@ STEP_LAMBDAS = [0.7, 0.9, 0.7, 0.5, 0.3]
 
 @query(f"WITH RECURSIVE {DENSE_SQL}, {mmr_sql(5, '(1.1 - 0.2 * p.n)')} SELECT label, step, vec_id FROM steps JOIN pool USING (label, rk)")
 def g_mmr_stepwise(spark, d):
-    return dense_select(spark, d, lambda p: S.mmr(p["s"].to_numpy(), _sim(p), 5, STEP_LAMBDAS))
+    return dense_select(spark, d, lambda p: S.mmr(p["s"], _sim(p), 5, STEP_LAMBDAS))
 
 
 @query(f"WITH RECURSIVE {DENSE_SQL}, {mmr_sql(5)} SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY s DESC, vec_id) AS rank FROM steps JOIN pool USING (label, rk)")
@@ -74,16 +73,12 @@ def g_mmr_resorted(spark, d):
 @query(f"WITH RECURSIVE {DENSE_SQL}, {mmr_sql(12)} SELECT label, step, vec_id FROM steps JOIN pool USING (label, rk)")
 def g_mmr_pool(spark, d):
     """A pool of twelve in the order in which MMR takes them."""
-    return dense_select(spark, d, lambda p: S.mmr(p["s"].to_numpy(), _sim(p), 12))
+    return dense_select(spark, d, lambda p: S.mmr(p["s"], _sim(p), 12))
 
 
 @query()
 def g_sensitivity_gate(spark, d):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        lam, sens, red = S.sensitivity_gate(pdf["s"].to_numpy(), _sim(pdf), 5)
-        return pd.DataFrame({"label": [pdf["label"].iloc[0]], "lambda": [lam], "sensitivity": [sens], "redundancy": [red]})
-
-    return S.grouped(dense_pool(spark, d), ["label"], best_first("s", "vec_id"), POOL, run, "label int, `lambda` double, sensitivity double, redundancy double")
+    return S.grouped(dense_pool(spark, d), ["label"], best_first("s", "vec_id"), POOL, lambda p: [S.sensitivity_gate(p["s"], _sim(p), 5)], "`lambda` double, sensitivity double, redundancy double")
 
 
 LAMBDAS = [0.3, 0.5, 0.7, 0.9]
@@ -157,32 +152,29 @@ def g_union_mmr(spark, d):
     """MMR over both pools, closeness by shared words of the keys."""
     rows = union_pool(spark, d).withColumn("rel", F.expr(_UNION_REL))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = pdf["rel"].min(), pdf["rel"].max()
-        score = ((pdf["rel"] - lo) / (hi - lo) if hi - lo > 1e-8 else pdf["rel"] * 0.0).to_numpy()
-        at = S.token_mmr(score, [set(k.split()) for k in pdf["key"]], 8)
-        return pd.DataFrame({"event_id": pdf["event_id"].iloc[0], "step": range(1, len(at) + 1), "cand": pdf["cand"].to_numpy()[at]})
+    def run(p: S.Pool):
+        lo, hi = p["rel"].min(), p["rel"].max()
+        score = (p["rel"] - lo) / (hi - lo) if hi - lo > 1e-8 else p["rel"] * 0.0
+        return [(n, p["cand"][i]) for n, i in enumerate(S.token_mmr(score, _words(p), 8), 1)]
+
+    return S.grouped(rows, ["event_id"], best_first("rel", "cand"), 30, run, "step long, cand long")
+
 
-    return S.grouped(rows, ["event_id"], best_first("rel", "cand"), 30, run, "event_id string, step long, cand long")
+def _words(p: S.Pool) -> list[set]:
+    return [set(k.split()) for k in p["key"]]
 
 
 @query()
 def g_token_mmr(spark, d):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        at = S.token_mmr(pdf["hybrid"].to_numpy(), [set(k.split()) for k in pdf["key"]], 5)
-        return pd.DataFrame({"event_id": pdf["event_id"].iloc[0], "step": range(1, len(at) + 1), "cand": pdf["cand"].to_numpy()[at]})
-
-    return S.grouped(ranked(spark, d), ["event_id"], best_first("hybrid", "cand"), POOL, run, "event_id string, step long, cand long")
+    run = lambda p: [(n, p["cand"][i]) for n, i in enumerate(S.token_mmr(p["hybrid"], _words(p), 5), 1)]
+    return S.grouped(ranked(spark, d), ["event_id"], best_first("hybrid", "cand"), POOL, run, "step long, cand long")
 
 
 @query()
 def g_rrf_mmr(spark, d):
     """MMR with the fused score as relevance."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        at = S.token_mmr(pdf["rrf"].to_numpy() / pdf["rrf"].max(), [set(k.split()) for k in pdf["key"]], 5)
-        return pd.DataFrame({"event_id": pdf["event_id"].iloc[0], "step": range(1, len(at) + 1), "idx": pdf["idx"].to_numpy()[at]})
-
-    return S.grouped(fused(spark, d), ["event_id"], [F.desc("rrf"), F.desc("max_score"), F.asc("idx")], POOL, run, "event_id string, step long, idx long")
+    run = lambda p: [(n, p["idx"][i]) for n, i in enumerate(S.token_mmr(p["rrf"] / p["rrf"].max(), _words(p), 5), 1)]
+    return S.grouped(fused(spark, d), ["event_id"], [F.desc("rrf"), F.desc("max_score"), F.asc("idx")], POOL, run, "step long, idx long")
 
 
 RANKED_CAND = "SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY coalesce(base_score, 0.0) DESC, candidate_id) AS rk FROM evidence_candidates WHERE event_id IS NOT NULL AND text IS NOT NULL"
@@ -227,15 +219,11 @@ def annotated(spark, d):
 
 def stepwise(spark, d, schema: str, choose):
     """``choose`` yields rows without the event for an annotated pool; atoms all weigh 1."""
-    names = [x.split()[0] for x in schema.split(", ")]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf["atoms"] = [sorted(set(a)) for a in pdf["atoms"]]
-        atoms = {a: 1.0 for a in sorted({a for x in pdf["atoms"] for a in x})}
-        rows = list(choose(pdf, atoms))
-        return pd.DataFrame([(pdf["event_id"].iloc[0], *r) for r in rows], columns=["event_id", *names])
+    def run(p: S.Pool):
+        p["atoms"] = [sorted(set(a)) for a in p["atoms"]]
+        return choose(p, {a: 1.0 for a in sorted({a for x in p["atoms"] for a in x})})
 
-    return S.grouped(annotated(spark, d), ["event_id"], best_first("base", "candidate_id"), POOL, run, f"event_id string, {schema}")
+    return S.grouped(annotated(spark, d), ["event_id"], best_first("base", "candidate_id"), POOL, run, schema)
 
 
 @query()
@@ -296,7 +284,7 @@ def g_bucket_slots(spark, d):
     return stepwise(spark, d, "slot int, candidate_id long, bucket int", choose)
 
 
-def _word_sim(p: pd.DataFrame) -> np.ndarray:
+def _word_sim(p: S.Pool) -> np.ndarray:
     words = [set(k.split()) for k in p["key"]]
     return np.array([[len(a & b) / max(1, len(a | b)) for b in words] for a in words])
 
@@ -396,7 +384,7 @@ def g_map_quality_greedy(spark, d):
     return stepwise(spark, d, "step int, candidate_id long", choose)
 
 
-def _items(p: pd.DataFrame, atoms: list[str]) -> list[cover.Item]:
+def _items(p: S.Pool, atoms: list[str]) -> list[cover.Item]:
     level = {"direct": 2, "partial": 1}
     return [cover.Item(f"{p['candidate_id'][i]:012d}", tuple(level.get(p["directness_name"][i], 0) if a in p["atoms"][i] else 0 for a in atoms), int(p["cost"][i])) for i in range(len(p))]
 
@@ -517,7 +505,7 @@ def g_set_search(spark, d):
         p = p.head(8)
         value = lambda s: S.chain_score(p, s)
         found = {"greedy": S.greedy_set(len(p), 3, value), "beam": S.beam_set(len(p), 3, value, 4), "exhaustive": S.exhaustive_set(len(p), 3, value)}
-        return [(how, [int(x) for x in p["candidate_id"].to_numpy()[list(s)]], value(s)) for how, s in found.items()]
+        return [(how, [int(p["candidate_id"][i]) for i in s], value(s)) for how, s in found.items()]
 
     return stepwise(spark, d, "search string, candidate_ids array<long>, score double", choose)
 
@@ -525,16 +513,14 @@ def g_set_search(spark, d):
 @query()
 def g_trajectories(spark, d):
     """Choices under four lambda schedules, with the mean relevance of each."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        score, sim = pdf["s"].to_numpy(), _sim(pdf)
-        rows = []
+    def run(p: S.Pool):
+        score, sim = p["s"], _sim(p)
         for seed in range(4):
             plan = S.hashed_schedule(seed, 5, LAMBDAS)
             at = S.mmr(score, sim, 5, plan)
-            rows += [(pdf["label"].iloc[0], seed, n, plan[n - 1], pdf["vec_id"].iloc[i], round(float(score[at].mean()), 9)) for n, i in enumerate(at, 1)]
-        return pd.DataFrame(rows, columns=["label", "schedule", "step", "lam", "vec_id", "utility"])
+            yield from ((seed, n, plan[n - 1], p["vec_id"][i], round(float(score[at].mean()), 9)) for n, i in enumerate(at, 1))
 
-    return S.grouped(dense_pool(spark, d), ["label"], best_first("s", "vec_id"), POOL, run, "label int, schedule int, step int, lam double, vec_id long, utility double")
+    return S.grouped(dense_pool(spark, d), ["label"], best_first("s", "vec_id"), POOL, run, "schedule int, step int, lam double, vec_id long, utility double")
 
 
 @query(f"""WITH r AS (SELECT event_id, candidate_id, rk, coalesce(map_confidence, 0.0) AS c FROM ({RANKED_CAND}) WHERE rk <= 5), u AS (SELECT event_id, candidate_id, 'trace' AS mode, rk::DOUBLE AS x, '' AS y FROM r UNION ALL SELECT event_id, candidate_id, 'same_set_score', -c, '' FROM r UNION ALL SELECT event_id, candidate_id, 'same_set_random', 0.0, md5('3|' || event_id || '|' || candidate_id) FROM r)

@@ -103,7 +103,7 @@ def _stop_ends(s: str, lo: int, i: int, j: int, hi: int) -> bool:
         start = s[k]
     else:
         # No space between two sentences: a word of small letters or a number, then a capital or a letter of its own script.
-        if nxt in CLOSERS or nxt in ",;:-–/@":
+        if nxt in ",;:-–/@" or nxt in CLOSERS and nxt not in OPENERS:
             return False
         w = i
         while w > lo and not s[w - 1].isspace():
@@ -111,7 +111,7 @@ def _stop_ends(s: str, lo: int, i: int, j: int, hi: int) -> bool:
         token = s[w:i]
         if "/" in token or "@" in token or "www." in token or len(token) < 2 or INNER.ends_at(s, i, lo):
             return False
-        if nxt.isupper() or nxt in "¿¡“„«":
+        if nxt.isupper() or nxt in "¿¡" or nxt in OPENERS and nxt not in "(（[":
             return prev.islower() or prev.isdigit() or prev in CLOSERS
         return nxt.isalpha() and prev.isalpha() and not nxt.islower() and not (prev.isascii() or CJK.match(nxt) or "฀" <= nxt <= "๿") and nxt >= "֐"
     if "฀" <= start <= "๿" or CJK.match(start):
@@ -200,9 +200,7 @@ def _block_units(s: str, lo: int, hi: int, out: list[tuple[int, int]]) -> None:
                 continue
             run = s[i:j]
             end = j
-            while end < hi and s[end] in CLOSERS and not (s[end] in OPENERS and s[end] != '"'):
-                end += 1
-            if end < hi and s[end] == '"':
+            while end < hi and s[end] in CLOSERS and (s[end] not in OPENERS or s[end] == '"' and not s[end + 1 : end + 2].isalnum()):
                 end += 1
             if end >= hi:
                 continue

@@ -19,6 +19,8 @@ CASES = [
     ("*** Notice. Read it. ***\n\n» By Ann\n \nText one\ngoes on. Two |", ["*** Notice.", "Read it. ***", "» By Ann", "Text one\ngoes on.", "Two |"]),
     ("Items:\n- one. two\n- three", ["Items:", "- one. two", "- three"]),
     ("See www.a-b.example/x.html?v=7.2 for more, e.g. this; that. Done", ["See www.a-b.example/x.html?v=7.2 for more, e.g. this; that.", "Done"]),
+    ('He went.“It is ours! It was!” shouted Bo. It cost 30 euros."Who paid?" Ann Lee asked.', ["He went.", "“It is ours! It was!” shouted Bo.", "It cost 30 euros.", '"Who paid?" Ann Lee asked.']),
+    ('Stop it!"It was," he said. Er ging.„Nie. Nein“, sagte er.', ["Stop it!", '"It was," he said.', "Er ging.", "„Nie. Nein“, sagte er."]),
     ('A quote " never closed. Next one.', ['A quote " never closed.', "Next one."]),
     (" \n\t\n ", []),
     ("", []),

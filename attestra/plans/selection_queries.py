@@ -31,6 +31,29 @@ def mmr_sql(k: int, lam: str = "0.7") -> str:
     done AS (SELECT label, chosen FROM pick WHERE n = {k}), steps AS (SELECT label, generate_subscripts(chosen, 1) AS step, unnest(chosen) AS rk FROM done)"""
 
 
+def greedy_sql(k: int, gain: str, state: dict[str, tuple[str, str]] | None = None, stop: str = "true") -> str:
+    """Steps of a greedy choice over ``pool(event_id, rk, ...)``: ``steps(event_id, step, rk, v)``.
+
+    ``gain`` may use the candidate c, the chosen ranks p.chosen and the state p.*; ``state``: name to (empty value, what a
+    candidate adds as a list). A step is taken while ``stop`` holds for its gain v.
+    """
+    state = state or {}
+    first = "".join(f", {e} AS {n}" for n, (e, _) in state.items())
+    held = "".join(f", p.{n}" for n in state)
+    added = "".join(f", list_concat({n}, arg_max(add_{n}, struct_pack(v := v, r := -rk))) AS {n}" for n in state)
+    adds = "".join(f", {a} AS add_{n}" for n, (_, a) in state.items())
+    names = "".join(f", {n}" for n in state)
+    return f"""pick AS (SELECT DISTINCT event_id, 0 AS n, []::BIGINT[] AS chosen, []::DOUBLE[] AS gains{first} FROM pool UNION ALL
+    SELECT event_id, n + 1, list_append(chosen, arg_max(rk, struct_pack(v := v, r := -rk))), list_append(gains, max(v)){added} FROM (
+    SELECT p.event_id, p.n, p.chosen, p.gains{held}, c.rk, round({gain}, 9) AS v{adds} FROM pick p JOIN pool c ON c.event_id = p.event_id AND NOT list_contains(p.chosen, c.rk) WHERE p.n < {k}) WHERE {stop} GROUP BY event_id, n, chosen, gains{names}),
+    done AS (SELECT event_id, arg_max(chosen, n) AS chosen, arg_max(gains, n) AS gains FROM pick GROUP BY event_id), steps AS (SELECT event_id, generate_subscripts(chosen, 1) AS step, unnest(chosen) AS rk, unnest(gains) AS v FROM done)"""
+
+
+JACCARD = "sim AS (SELECT a.event_id, a.rk AS i, b.rk AS j, CASE WHEN len(list_distinct(list_concat(a.w, b.w))) = 0 THEN 1.0 ELSE len(list_intersect(list_distinct(a.w), list_distinct(b.w))) * 1.0 / len(list_distinct(list_concat(a.w, b.w))) END AS sim FROM pool a JOIN pool b USING (event_id))"
+TOKEN_GAIN = "0.7 * c.score - 0.3 * coalesce((SELECT max(sim) FROM sim WHERE sim.event_id = p.event_id AND sim.i = c.rk AND list_contains(p.chosen, sim.j)), 0.0)"
+SPLIT_KEY = "regexp_split_to_array(key, '\\s+')"
+
+
 def dense_pool(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     q = e.groupBy("label").agg(F.min_by("v", "vec_id").alias("qv"))
@@ -147,7 +170,8 @@ def g_union_rules(spark, d):
 _UNION_REL = f"round({SCORE} + coalesce(rrf, 0.0) + 0.004 * coalesce(hits, 0), 9)"
 
 
-@query()
+@query(f"""{UNION_SQL.replace("WITH c AS", "WITH RECURSIVE c AS", 1)}, rel AS (SELECT *, {_UNION_REL} AS rel FROM both_pools), m AS (SELECT *, min(rel) OVER w AS lo, max(rel) OVER w AS hi, row_number() OVER (PARTITION BY event_id ORDER BY rel DESC, cand) AS rk FROM rel WINDOW w AS (PARTITION BY event_id)),
+    pool AS (SELECT event_id, rk, cand, {SPLIT_KEY} AS w, CASE WHEN hi - lo > 1e-8 THEN (rel - lo) / (hi - lo) ELSE 0.0 END AS score FROM m WHERE rk <= 30), {JACCARD}, {greedy_sql(8, TOKEN_GAIN)} SELECT event_id, step, cand FROM steps JOIN pool USING (event_id, rk)""")
 def g_union_mmr(spark, d):
     """MMR over both pools, closeness by shared words of the keys."""
     rows = union_pool(spark, d).withColumn("rel", F.expr(_UNION_REL))
@@ -164,13 +188,15 @@ def _words(p: S.Pool) -> list[set]:
     return [set(k.split()) for k in p["key"]]
 
 
-@query()
+@query(f"""{HYBRID_SQL.replace("WITH c AS", "WITH RECURSIVE c AS", 1)}, pool AS (SELECT * FROM (SELECT event_id, cand, {SPLIT_KEY} AS w, hybrid AS score, row_number() OVER (PARTITION BY event_id ORDER BY hybrid DESC, cand) AS rk FROM hybrid) WHERE rk <= 20), {JACCARD}, {greedy_sql(5, TOKEN_GAIN)}
+    SELECT event_id, step, cand FROM steps JOIN pool USING (event_id, rk)""")
 def g_token_mmr(spark, d):
     run = lambda p: [(n, p["cand"][i]) for n, i in enumerate(S.token_mmr(p["hybrid"], _words(p), 5), 1)]
     return S.grouped(ranked(spark, d), ["event_id"], best_first("hybrid", "cand"), POOL, run, "step long, cand long")
 
 
-@query()
+@query(f"""{RRF_SQL.replace("WITH c AS", "WITH RECURSIVE c AS", 1)}, pool AS (SELECT * FROM (SELECT event_id, idx, {SPLIT_KEY} AS w, rrf / max(rrf) OVER (PARTITION BY event_id) AS score, row_number() OVER (PARTITION BY event_id ORDER BY rrf DESC, max_score DESC, idx) AS rk FROM fused) WHERE rk <= 20), {JACCARD}, {greedy_sql(5, TOKEN_GAIN)}
+    SELECT event_id, step, idx FROM steps JOIN pool USING (event_id, rk)""")
 def g_rrf_mmr(spark, d):
     """MMR with the fused score as relevance."""
     run = lambda p: [(n, p["idx"][i]) for n, i in enumerate(S.token_mmr(p["rrf"] / p["rrf"].max(), _words(p), 5), 1)]
@@ -226,7 +252,16 @@ def stepwise(spark, d, schema: str, choose):
     return S.grouped(annotated(spark, d), ["event_id"], best_first("base", "candidate_id"), POOL, run, schema)
 
 
-@query()
+#: The annotated pool of an event, best twenty by base score.
+POOL_SQL = f"""a AS (SELECT event_id, candidate_id, coalesce(base_score, 0.0) AS base, coalesce(evidence_map_quality_score, 0.0) AS quality, list_sort(list_distinct(coalesce(covered_atom_ids, []))) AS atoms, r AS relation, directness, polarity, background, coalesce(source_group, '') AS source, coalesce(duplicate_group, '') AS dup FROM ({MAP_SQL}) WHERE event_id IS NOT NULL),
+    pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY base DESC, candidate_id) AS rk FROM a) WHERE rk <= 20)"""
+_NEW = "len(list_filter(c.atoms, lambda x: NOT list_contains(p.covered, x)))"
+_SLOT = f"c.base + 0.2 * c.directness + 0.1 * c.polarity - 0.2 * c.background + 0.35 * {_NEW} / greatest(1, t.total) - 0.15 * (CASE WHEN c.dup = '' THEN 0 ELSE len(list_filter(p.dups, lambda x: x = c.dup)) END) - 0.08 * len(list_filter(p.sources, lambda x: x = c.source))"
+
+
+@query(f"""WITH RECURSIVE {POOL_SQL}, total AS (SELECT event_id, count(DISTINCT x) AS total FROM (SELECT event_id, unnest(atoms) AS x FROM pool) GROUP BY 1),
+    {greedy_sql(5, _SLOT.replace("greatest(1, t.total)", "greatest(1, coalesce((SELECT total FROM total WHERE total.event_id = p.event_id), 1))"), {"covered": ("[]::VARCHAR[]", "c.atoms"), "sources": ("[]::VARCHAR[]", "[c.source]"), "dups": ("[]::VARCHAR[]", "[c.dup]")})}
+    SELECT event_id, step AS slot, candidate_id, v AS score FROM steps JOIN pool USING (event_id, rk)""")
 def g_slot_greedy(spark, d):
     return stepwise(spark, d, "slot int, candidate_id long, score double", lambda p, a: [(n, p["candidate_id"][i], s) for n, (i, s) in enumerate(S.slot_greedy(p, 5), 1)])
 
@@ -240,14 +275,20 @@ def g_map_ablations(spark, d):
     return top_k(m.select("event_id", "candidate_id", F.inline(variants)), ["event_id", "variant"], [F.desc("x"), F.desc("y"), F.asc("candidate_id")], 3).select("event_id", "variant", "candidate_id", "rank")
 
 
-@query()
+@query(f"""WITH RECURSIVE {POOL_SQL}, {greedy_sql(5, _NEW, {"covered": ("[]::VARCHAR[]", "c.atoms")}, "v > 0")} SELECT event_id, step, candidate_id, v AS gain FROM steps JOIN pool USING (event_id, rk)""")
 def g_set_cover(spark, d):
+    return stepwise(spark, d, "step int, candidate_id long, gain double", lambda p, a: [(n, p["candidate_id"][i], g) for n, (i, g) in enumerate(S.set_cover(list(p["atoms"]), a, 5), 1)])
+
+
+@query()
+def g_minimal_cover(spark, d):
+    """The cover without those that the others make needless."""
     def choose(p, atoms):
-        steps = S.set_cover(list(p["atoms"]), atoms, 5)
-        small = S.minimal_group(list(p["atoms"]), [i for i, _ in steps])
-        return [(n, p["candidate_id"][i], g, i in small) for n, (i, g) in enumerate(steps, 1)]
+        chosen = [i for i, _ in S.set_cover(list(p["atoms"]), atoms, 5)]
+        small = S.minimal_group(list(p["atoms"]), chosen)
+        return [(n, p["candidate_id"][i], i in small) for n, i in enumerate(chosen, 1)]
 
-    return stepwise(spark, d, "step int, candidate_id long, gain double, minimal boolean", choose)
+    return stepwise(spark, d, "step int, candidate_id long, minimal boolean", choose)
 
 
 @query(f"""WITH r AS ({RANKED_CAND}), u AS (SELECT event_id, candidate_id, 'hybrid' AS variant, -coalesce(base_score, 0.0) AS x, '' AS y FROM r UNION ALL SELECT event_id, candidate_id, 'random', 0.0, md5('7|' || event_id || '|' || candidate_id) FROM r)
@@ -408,7 +449,10 @@ def g_likelihood_topk(spark, d):
     return ranked_candidates(spark, d, 5).select("event_id", "candidate_id", "rank")
 
 
-@query()
+_HELD = "c.quality - 0.1 * len(list_filter(p.sources, lambda x: x = c.source)) - 0.05 * len(list_filter(p.stances, lambda x: x = c.relation))"
+
+
+@query(f"""WITH RECURSIVE {POOL_SQL}, {greedy_sql(5, f"CASE WHEN p.n < 2 THEN 1000 - c.rk ELSE {_HELD} END", {"sources": ("[]::VARCHAR[]", "[c.source]"), "stances": ("[]::VARCHAR[]", "[c.relation]")})} SELECT event_id, step, candidate_id FROM steps JOIN pool USING (event_id, rk)""")
 def g_constrained_likelihood(spark, d):
     return stepwise(spark, d, "step int, candidate_id long", lambda p, a: [(n, p["candidate_id"][i]) for n, i in enumerate(S.constrained_likelihood(list(p["quality"]), list(p["source"]), list(p["relation"]), 2, 5), 1)])
 

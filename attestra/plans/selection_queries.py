@@ -99,9 +99,16 @@ def g_mmr_pool(spark, d):
     return dense_select(spark, d, lambda p: S.mmr(p["s"], _sim(p), 12))
 
 
-@query()
+_GATE = "c.lam * c.s - (1 - c.lam) * greatest(0.0, coalesce((SELECT max(sim) FROM sim WHERE sim.label = c.label AND sim.i = c.rk AND list_contains(p.chosen, sim.j)), 0.0))"
+
+
+@query(f"""WITH RECURSIVE {DENSE_SQL.replace("pool AS", "dense AS").replace("FROM pool a JOIN pool b", "FROM dense a JOIN dense b")}, pool AS (SELECT label || '|' || lam AS event_id, label, lam, rk, s FROM dense, (VALUES (0.3), (0.7), (1.0)) t(lam)), {greedy_sql(5, _GATE)},
+    sets AS (SELECT label, list(rk) FILTER (lam = 0.3) AS low, list(rk) FILTER (lam = 0.7) AS base, list(rk) FILTER (lam = 1.0) AS high, avg(s) FILTER (lam = 0.3) AS s_low, avg(s) FILTER (lam = 1.0) AS s_high FROM steps JOIN pool USING (event_id, rk) GROUP BY label),
+    red AS (SELECT sets.label, avg(sim) AS redundancy FROM sets JOIN sim ON sim.label = sets.label AND i < j AND list_contains(high, i) AND list_contains(high, j) GROUP BY 1),
+    g AS (SELECT label, greatest(1 - len(list_intersect(low, base)) / len(list_distinct(list_concat(low, base))), 1 - len(list_intersect(low, high)) / len(list_distinct(list_concat(low, high)))) AS sens, redundancy, s_low >= 0.5 * greatest(s_high, 1e-12) AS holds FROM sets JOIN red USING (label))
+    SELECT label, CASE WHEN sens >= 0.3 AND redundancy >= 0.2 AND holds THEN 0.3 ELSE 0.7 END AS "lambda", round(sens, 6) AS sensitivity, round(redundancy, 6) AS redundancy FROM g""")
 def g_sensitivity_gate(spark, d):
-    return S.grouped(dense_pool(spark, d), ["label"], best_first("s", "vec_id"), POOL, lambda p: [S.sensitivity_gate(p["s"], _sim(p), 5)], "`lambda` double, sensitivity double, redundancy double")
+    return S.grouped(dense_pool(spark, d), ["label"], best_first("s", "vec_id"), POOL, lambda p: [tuple(round(x, 6) for x in S.sensitivity_gate(p["s"], _sim(p), 5))], "`lambda` double, sensitivity double, redundancy double")
 
 
 LAMBDAS = [0.3, 0.5, 0.7, 0.9]
@@ -253,7 +260,7 @@ def stepwise(spark, d, schema: str, choose):
 
 
 #: The annotated pool of an event, best twenty by base score.
-POOL_SQL = f"""a AS (SELECT event_id, candidate_id, coalesce(base_score, 0.0) AS base, coalesce(evidence_map_quality_score, 0.0) AS quality, list_sort(list_distinct(coalesce(covered_atom_ids, []))) AS atoms, r AS relation, directness, polarity, background, coalesce(source_group, '') AS source, coalesce(duplicate_group, '') AS dup FROM ({MAP_SQL}) WHERE event_id IS NOT NULL),
+POOL_SQL = f"""a AS (SELECT event_id, candidate_id, coalesce({KEY.format("text")}, '') AS key, coalesce(base_score, 0.0) AS base, coalesce(evidence_map_quality_score, 0.0) AS quality, list_sort(list_distinct(coalesce(covered_atom_ids, []))) AS atoms, r AS relation, directness, polarity, background, coalesce(source_group, '') AS source, coalesce(duplicate_group, '') AS dup FROM ({MAP_SQL}) WHERE event_id IS NOT NULL),
     pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY base DESC, candidate_id) AS rk FROM a) WHERE rk <= 20)"""
 _NEW = "len(list_filter(c.atoms, lambda x: NOT list_contains(p.covered, x)))"
 _SLOT = f"c.base + 0.2 * c.directness + 0.1 * c.polarity - 0.2 * c.background + 0.35 * {_NEW} / greatest(1, t.total) - 0.15 * (CASE WHEN c.dup = '' THEN 0 ELSE len(list_filter(p.dups, lambda x: x = c.dup)) END) - 0.08 * len(list_filter(p.sources, lambda x: x = c.source))"
@@ -365,7 +372,13 @@ def g_beam_chains(spark, d):
     return stepwise(spark, d, "position int, candidate_id long, score double", choose)
 
 
-@query()
+_SIDE = "CASE WHEN c.relation = 'support' THEN 'S' WHEN c.relation = 'refute' THEN 'R' WHEN c.relation IN ('qualify', 'mixed') THEN 'Q' ELSE 'U' END"
+_OTHER = f"len(list_filter(c.atoms, lambda x: list_contains(p.covered, x) AND NOT list_contains(p.seen, x || ':' || {_SIDE})))"
+_RULE = f"CASE WHEN {_SIDE} <> 'U' AND {_NEW} > 0 THEN 1000 + 10 * {_NEW} + c.quality WHEN {_SIDE} <> 'U' AND {_OTHER} > 0 THEN 500 + c.quality WHEN p.n < 5 THEN c.quality ELSE -1 END"
+
+
+@query(f"""WITH RECURSIVE {POOL_SQL}, {greedy_sql(10, _RULE, {"covered": ("[]::VARCHAR[]", "c.atoms"), "seen": ("[]::VARCHAR[]", f"list_transform(c.atoms, lambda x: x || ':' || {_SIDE})")}, "v >= 0")}
+    SELECT event_id, step, candidate_id, CASE WHEN v >= 1000 THEN 'P1' WHEN v >= 500 THEN 'P2' ELSE 'P3' END AS rule FROM steps JOIN pool USING (event_id, rk)""")
 def g_rule_steps(spark, d):
     return stepwise(spark, d, "step int, candidate_id long, rule string", lambda p, a: [(n, p["candidate_id"][i], r) for n, (i, r) in enumerate(S.rule_steps(p), 1)])
 
@@ -410,7 +423,10 @@ def g_marginal_no_map(spark, d):
     return stepwise(spark, d, "step int, candidate_id long, utility double", lambda p, a: [(n, p["candidate_id"][i], u) for n, (i, u) in enumerate(S.marginal_greedy(p, a, w, stop=0.2), 1)])
 
 
-@query()
+_MARKS = "CASE WHEN c.dup = '' THEN ['k:' || c.key] ELSE ['k:' || c.key, 'd:' || c.dup] END"
+
+
+@query(f"""WITH RECURSIVE {POOL_SQL}, {greedy_sql(5, f"CASE WHEN list_has_any(p.marks, {_MARKS}) THEN -1 ELSE c.quality END", {"marks": ("[]::VARCHAR[]", _MARKS)}, "v >= 0")} SELECT event_id, step, candidate_id FROM steps JOIN pool USING (event_id, rk)""")
 def g_map_quality_greedy(spark, d):
     """Best map quality first, one of each duplicate group and text."""
     def choose(p, _):

@@ -10,6 +10,7 @@ from attestra.operators.ranking import top_k
 from attestra.plans.common import CLAIMS_SQL, KEY, claims
 from attestra.plans.metric_queries import ORACLE_TEXTS
 from attestra.plans.selection_queries import RANKED_CAND, best_first, ranked_candidates
+from attestra.plans.text_queries import _split_sql
 from attestra.registry import query, table
 
 CANDS = "SELECT candidate_id, event_id FROM evidence_candidates WHERE event_id IS NOT NULL"
@@ -164,3 +165,18 @@ def m_hashed_vectors(spark, d):
     from attestra.operators.learners import hashed_vectors
 
     return hashed_vectors(table(spark, d, "evidence_candidates").where("text IS NOT NULL"), "candidate_id", "text", 64)
+
+
+_SPLIT = _split_sql("body")
+
+
+@query(f"""WITH r AS (SELECT event_id, report_id, max(report_content) AS body, min(link) AS link, min(domain) AS domain FROM anchors WHERE event_id IS NOT NULL AND report_id IS NOT NULL AND report_content IS NOT NULL GROUP BY 1, 2), n AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY report_id) - 1 AS report_no FROM r),
+    s AS (SELECT event_id, report_no, report_id, link, domain, generate_subscripts(x, 1) - 1 AS sent_idx, unnest(x) AS text FROM (SELECT *, {_SPLIT} AS x FROM n)) SELECT * FROM s WHERE length(text) >= 10""")
+def s_content_sentences(spark, d):
+    """Claims with their reports nested, then scanned as sentences; short ones are dropped after numbering."""
+    from attestra.sources.readers import TOKENIZED, content_sentences
+
+    rows = table(spark, d, "anchors").where("event_id IS NOT NULL AND report_id IS NOT NULL AND report_content IS NOT NULL")
+    reports = rows.groupBy("event_id", "report_id").agg(F.max("report_content").alias("content"), F.min("link").alias("link"), F.min("domain").alias("domain"))
+    nested = reports.groupBy("event_id").agg(F.array_sort(F.collect_list(F.struct("report_id", "link", "domain", "content", F.lit(None).cast(TOKENIZED).alias("tokenized"))), lambda a, b: F.when(a["report_id"] < b["report_id"], -1).when(a["report_id"] > b["report_id"], 1).otherwise(0)).alias("reports"))
+    return content_sentences(nested)

@@ -49,7 +49,7 @@ def t_anchor_coverage(spark, d):
     return m.groupBy("event_id", "kind").agg(F.count("*").alias("anchors"), F.count_if(F.col("hits") >= 0.75 * F.col("n")).alias("covered"))
 
 
-@query(f"WITH c AS ({CLAIMS_SQL}) SELECT event_id, 'A1' AS atom_id, {CLEAN.format('claim')} AS proposition, CASE WHEN length(claim) % 2 = 0 THEN 0.5 ELSE 1.0 END AS importance FROM c")
+@query(f"WITH c AS ({CLAIMS_SQL}) SELECT event_id, 'A1' AS atom_id, {CLEAN.format('claim')} AS proposition, CASE WHEN length(claim) % 2 = 0 THEN 0.5::DOUBLE ELSE 1.0 END AS importance FROM c")
 def t_parse_atoms(spark, d):
     """Atoms read back from answers: claims of even length come as fenced JSON with a repeated atom, the others as talk."""
     c = claims(spark, d)

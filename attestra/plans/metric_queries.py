@@ -95,10 +95,10 @@ def a_checkpoint_selection(spark, d):
 
 ORDER_SQL = """o AS (SELECT event_id, candidate_id AS item, row_number() OVER (PARTITION BY event_id ORDER BY coalesce(evidence_map_quality_score, 0.0) DESC, candidate_id) AS oracle, row_number() OVER (PARTITION BY event_id ORDER BY coalesce(base_score, 0.0) DESC, candidate_id) AS pred FROM evidence_candidates WHERE event_id IS NOT NULL)"""
 _ORDERED = f"""WITH {ORDER_SQL}, r AS (SELECT *, CASE WHEN oracle <= 5 THEN greatest(5 - (oracle - 1), 1) ELSE 0 END AS rel FROM o WHERE oracle <= 5 OR pred <= 5),
-    b AS (SELECT event_id, count(*) FILTER (oracle <= 5) AS no, count(*) FILTER (pred <= 5) AS np, count(*) FILTER (oracle <= 5 AND pred <= 5) AS shared, count(*) FILTER (oracle = pred AND oracle <= 5) AS same, max(CASE WHEN oracle = 1 AND pred = 1 THEN 1.0 ELSE 0.0 END) AS top1, count(*) FILTER (oracle = pred AND oracle <= 2) AS pre2,
+    b AS (SELECT event_id, count(*) FILTER (oracle <= 5) AS no, count(*) FILTER (pred <= 5) AS np, count(*) FILTER (oracle <= 5 AND pred <= 5) AS shared, count(*) FILTER (oracle = pred AND oracle <= 5) AS same, max(CASE WHEN oracle = 1 AND pred = 1 THEN 1.0::DOUBLE ELSE 0.0 END) AS top1, count(*) FILTER (oracle = pred AND oracle <= 2) AS pre2,
     sum(CASE WHEN pred <= 5 THEN (pow(2.0, rel) - 1) / log2(pred + 1) ELSE 0 END) AS dcg, sum(CASE WHEN oracle <= 5 THEN (pow(2.0, rel) - 1) / log2(oracle + 1) ELSE 0 END) AS idcg FROM r GROUP BY 1),
     q AS (SELECT x.event_id, count(*) AS pairs, avg((x.pred < y.pred)::INT) AS order_acc FROM r x JOIN r y ON x.event_id = y.event_id AND x.oracle < y.oracle WHERE x.oracle <= 5 AND x.pred <= 5 AND y.oracle <= 5 AND y.pred <= 5 GROUP BY 1),
-    m AS (SELECT event_id, shared / greatest(no, 1) AS recall, shared / greatest(np, 1) AS precision, shared / (no + np - shared) AS jaccard, top1, same / greatest(no, 1) AS position_hits, CASE WHEN no >= 2 AND np >= 2 AND pre2 = 2 THEN 1.0 ELSE 0.0 END AS prefix2, CASE WHEN idcg > 0 THEN dcg / idcg ELSE 0.0 END AS ndcg, coalesce(order_acc, 0.0) AS order_acc, coalesce(pairs, 0) AS pairs FROM b LEFT JOIN q USING (event_id))"""
+    m AS (SELECT event_id, shared / greatest(no, 1) AS recall, shared / greatest(np, 1) AS precision, shared / (no + np - shared) AS jaccard, top1, same / greatest(no, 1) AS position_hits, CASE WHEN no >= 2 AND np >= 2 AND pre2 = 2 THEN 1.0::DOUBLE ELSE 0.0 END AS prefix2, CASE WHEN idcg > 0 THEN dcg / idcg ELSE 0.0 END AS ndcg, coalesce(order_acc, 0.0) AS order_acc, coalesce(pairs, 0) AS pairs FROM b LEFT JOIN q USING (event_id))"""
 _MEASURES = ["recall", "precision", "jaccard", "top1", "position_hits", "prefix2", "ndcg", "order_acc"]
 
 
@@ -369,7 +369,7 @@ def a_metric_leaders(spark, d):
     return u.groupBy("metric").agg(F.max_by("run", F.struct(F.round("value", 9), "run")).alias("leader"), F.round(F.max("value"), 6).alias("value"))
 
 
-@query(f"""{PRED_SQL}, g AS (SELECT unnest([0.0, 50.0, 100.0, 150.0, 200.0]) AS threshold) SELECT threshold, count(*) AS n, round(avg((gold = CASE WHEN tokens >= threshold THEN pred ELSE 1 END)::INT), 6) AS accuracy FROM p, g WHERE gold >= 0 AND tokens IS NOT NULL GROUP BY 1""")
+@query(f"""{PRED_SQL}, g AS (SELECT unnest([0.0, 50.0, 100.0, 150.0, 200.0]::DOUBLE[]) AS threshold) SELECT threshold, count(*) AS n, round(avg((gold = CASE WHEN tokens >= threshold THEN pred ELSE 1 END)::INT), 6) AS accuracy FROM p, g WHERE gold >= 0 AND tokens IS NOT NULL GROUP BY 1""")
 def a_gate_grid(spark, d):
     """Accuracy at each threshold of a gate between a prediction and a constant one."""
     p = predictions(spark, d).where("gold >= 0 AND tokens IS NOT NULL").withColumn("threshold", F.explode(F.array(*(F.lit(float(x)) for x in (0, 50, 100, 150, 200)))))

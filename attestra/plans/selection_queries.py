@@ -106,7 +106,7 @@ _GATE = "c.lam * c.s - (1 - c.lam) * greatest(0.0, coalesce((SELECT max(sim) FRO
     sets AS (SELECT label, list(rk) FILTER (lam = 0.3) AS low, list(rk) FILTER (lam = 0.7) AS base, list(rk) FILTER (lam = 1.0) AS high, avg(s) FILTER (lam = 0.3) AS s_low, avg(s) FILTER (lam = 1.0) AS s_high FROM steps JOIN pool USING (event_id, rk) GROUP BY label),
     red AS (SELECT sets.label, avg(sim) AS redundancy FROM sets JOIN sim ON sim.label = sets.label AND i < j AND list_contains(high, i) AND list_contains(high, j) GROUP BY 1),
     g AS (SELECT label, greatest(1 - len(list_intersect(low, base)) / len(list_distinct(list_concat(low, base))), 1 - len(list_intersect(low, high)) / len(list_distinct(list_concat(low, high)))) AS sens, redundancy, s_low >= 0.5 * greatest(s_high, 1e-12) AS holds FROM sets JOIN red USING (label))
-    SELECT label, CASE WHEN sens >= 0.3 AND redundancy >= 0.2 AND holds THEN 0.3 ELSE 0.7 END AS "lambda", round(sens, 6) AS sensitivity, round(redundancy, 6) AS redundancy FROM g""")
+    SELECT label, CASE WHEN sens >= 0.3 AND redundancy >= 0.2 AND holds THEN 0.3::DOUBLE ELSE 0.7 END AS "lambda", round(sens, 6) AS sensitivity, round(redundancy, 6) AS redundancy FROM g""")
 def g_sensitivity_gate(spark, d):
     return S.grouped(dense_pool(spark, d), ["label"], best_first("s", "vec_id"), POOL, lambda p: [tuple(round(x, 6) for x in S.sensitivity_gate(p["s"], _sim(p), 5))], "`lambda` double, sensitivity double, redundancy double")
 
@@ -116,7 +116,7 @@ LAMBDAS = [0.3, 0.5, 0.7, 0.9]
 
 @query("""WITH u AS (SELECT event_id, list_transform([0.3, 0.5, 0.7, 0.9], lambda l: -abs(l - b)) AS u FROM (SELECT event_id, avg(base_score) AS b FROM evidence_candidates WHERE event_id IS NOT NULL AND base_score IS NOT NULL GROUP BY 1)),
     p AS (SELECT event_id, list_transform(list_transform(u, lambda x: exp(x / 0.1)), lambda e: e / list_sum(list_transform(u, lambda x: exp(x / 0.1)))) AS p FROM u)
-    SELECT event_id, [0.3, 0.5, 0.7, 0.9][list_position(p, list_max(p))] AS argmax_lambda, round(0.3 * p[1] + 0.5 * p[2] + 0.7 * p[3] + 0.9 * p[4], 6) AS expected_lambda, round(list_max(p) - 0.25, 6) AS weight FROM p""")
+    SELECT event_id, ([0.3, 0.5, 0.7, 0.9]::DOUBLE[])[list_position(p, list_max(p))] AS argmax_lambda, round(0.3 * p[1] + 0.5 * p[2] + 0.7 * p[3] + 0.9 * p[4], 6) AS expected_lambda, round(list_max(p) - 0.25, 6) AS weight FROM p""")
 def g_soft_lambda(spark, d):
     """Soft targets over lambdas from their utilities (here the closeness to the event's mean score): the likeliest, the expected, and a weight."""
     b = table(spark, d, "evidence_candidates").where("event_id IS NOT NULL AND base_score IS NOT NULL").groupBy("event_id").agg(F.avg("base_score").alias("b"))

@@ -105,7 +105,7 @@ def t_claim_surface(spark, d):
     regexp_matches(text, '[.?!"'']$') OR len(w) >= 10 AS boundary_ok, len({CONTENT.format("text")}) >= 4 AND NOT ({" OR ".join(f"regexp_matches(text, '{p}')" for p in T.FRAGMENTS)}) AS sound,
     list_has_any({CONTENT.format("text")}, {CONTENT.format("claim")}) AS overlap FROM f)
     SELECT candidate_id, length_ok, has_predicate, boundary_ok, length_ok AND sound AS not_fragment, overlap,
-    round(0.25 * length_ok::INT + 0.2 * has_predicate::INT + 0.15 * boundary_ok::INT + 0.15 * (length_ok AND sound)::INT + 0.25 * overlap::INT, 6) AS completeness FROM g""")
+    round(0.25::DOUBLE * length_ok::INT + 0.2 * has_predicate::INT + 0.15 * boundary_ok::INT + 0.15 * (length_ok AND sound)::INT + 0.25 * overlap::INT, 6) AS completeness FROM g""")
 def t_fragment_flags(spark, d):
     rows = table(spark, d, "evidence_candidates").where("text IS NOT NULL").join(claims(spark, d), "event_id")
     flagged = rows.select("candidate_id", *(c.alias(k) for k, c in T.fragment_flags("text", "claim").items()))

@@ -46,7 +46,7 @@ def p4_lines(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_sentences(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "sentence_items")
-    return boilerplate.strip_sentences(rows, boilerplate.repeated_lines(rows))
+    return boilerplate.strip_sentences(rows, boilerplate.repeated_lines(rows)).drop("fetched_at", "loaded_at")
 
 
 def p4_reports(spark: SparkSession, d: str) -> DataFrame:
@@ -121,7 +121,7 @@ def oracle_sql() -> dict[str, str]:
     UNION ALL SELECT 'anchors', anchor_id FROM (SELECT anchor_id, {DOMAIN} AS dom, {LINE.format("source_sentence")} AS line FROM anchors) JOIN rep USING (dom, line)""",
         "p4_sentences": f"""
     WITH rep AS ({lines})
-    SELECT s.* FROM sentence_items s WHERE NOT EXISTS (SELECT 1 FROM rep WHERE rep.dom = {DOMAIN.replace("domain", "s.domain")} AND rep.line = {LINE.format("s.text")})""",
+    SELECT s.* EXCLUDE (fetched_at, loaded_at) FROM sentence_items s WHERE NOT EXISTS (SELECT 1 FROM rep WHERE rep.dom = {DOMAIN.replace("domain", "s.domain")} AND rep.line = {LINE.format("s.text")})""",
         "p5_found": f"""
     WITH s AS ({sides}), alike AS ({_similar(f'SELECT id, side, {WORDS.format("claim")} AS words FROM s', 0.75, 'x.side <> y.side')})
     SELECT i AS sample_id_a, j AS sample_id_b FROM alike

@@ -31,9 +31,9 @@ def c_raw(spark, d):
 
 
 @query(f"""WITH s AS (SELECT *, {KEY.format("sent")} AS key FROM ({SENTS})), w AS (SELECT a.doc_id, a.idx, b.idx AS j, b.sent, row_number() OVER (PARTITION BY a.doc_id, a.idx, b.key ORDER BY b.idx) AS n
-    FROM s a JOIN s b ON a.doc_id = b.doc_id AND b.idx BETWEEN a.idx - 1 AND a.idx + 1) SELECT doc_id, idx, string_agg(sent, ' ' ORDER BY j) AS chunk, list(j ORDER BY j) AS members FROM w WHERE n = 1 GROUP BY 1, 2""")
+    FROM s a JOIN s b ON a.doc_id = b.doc_id AND b.idx BETWEEN a.idx - 1 AND a.idx + 1) SELECT doc_id, idx, string_agg(sent, ' ' ORDER BY j) AS chunk, array_to_string(list(j ORDER BY j), ',') AS members FROM w WHERE n = 1 GROUP BY 1, 2""")
 def c_ctx_window(spark, d):
-    return C.context_windows(doc_sentences(spark, d), ["doc_id"], 1)
+    return C.context_windows(doc_sentences(spark, d), ["doc_id"], 1).withColumn("members", F.array_join("members", ","))
 
 
 @query("""WITH e AS (SELECT *, list_dot_product(lag(embedding) OVER w, embedding) AS s FROM (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS embedding FROM embeddings) WINDOW w AS (PARTITION BY label ORDER BY vec_id))

@@ -38,14 +38,14 @@ _A = f"SELECT event_id, {KEY.format('text')} AS key, rk AS rank, base_score AS s
 _B = f"SELECT event_id, {KEY.format('text')} AS key, row_number() OVER (PARTITION BY event_id ORDER BY coalesce(map_confidence, 0.0) DESC, candidate_id) AS rank, map_confidence AS score, 'map' AS route FROM evidence_candidates WHERE event_id IS NOT NULL AND text IS NOT NULL"
 
 
-@query(f"SELECT event_id, key, min(rank) AS rank, round(max(score), 6) AS score, list_sort(list_distinct(list(route))) AS routes FROM ({_A} UNION ALL SELECT * FROM ({_B}) WHERE rank <= 5) GROUP BY 1, 2")
+@query(f"SELECT event_id, key, min(rank) AS rank, round(max(score), 6) AS score, array_to_string(list_sort(list_distinct(list(route))), ',') AS routes FROM ({_A} UNION ALL SELECT * FROM ({_B}) WHERE rank <= 5) GROUP BY 1, 2")
 def j_merge_candidates(spark, d):
     """Two rankings of an event merged on the text: best rank, best score, both routes."""
     one = ranked_candidates(spark, d, 5).select("event_id", T.canonical_key("text").alias("key"), "rank", F.col("base_score").alias("score"), F.array(F.lit("base")).alias("routes"))
     rows = table(spark, d, "evidence_candidates").where("event_id IS NOT NULL AND text IS NOT NULL").withColumn("c", F.coalesce("map_confidence", F.lit(0.0)))
     two = top_k(rows, ["event_id"], best_first("c", "candidate_id"), 5).select("event_id", T.canonical_key("text").alias("key"), "rank", F.col("map_confidence").alias("score"), F.array(F.lit("map")).alias("routes"))
     fold = lambda df: df.groupBy("event_id", "key").agg(F.min("rank").alias("rank"), F.max("score").alias("score"), F.first("routes").alias("routes"))
-    return J.merge_candidates(fold(one), fold(two), ["event_id", "key"], ["rank"], ["score"], ["routes"]).withColumn("score", F.round("score", 6))
+    return J.merge_candidates(fold(one), fold(two), ["event_id", "key"], ["rank"], ["score"], ["routes"]).withColumns({"score": F.round("score", 6), "routes": F.array_join("routes", ",")})
 
 
 @query("""WITH m AS (SELECT report_id, max(sentence_count) AS sentences, max(status) AS status FROM strategy_renders WHERE report_id IS NOT NULL GROUP BY 1), r AS (SELECT DISTINCT report_id FROM anchors WHERE report_id IS NOT NULL)

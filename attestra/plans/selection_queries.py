@@ -492,11 +492,11 @@ def g_score_modes(spark, d):
 
 
 @query(f"""WITH p AS (SELECT event_id, candidate_id AS i, round(coalesce(map_confidence, 0.0) - 0.05 * rk, 9) AS s FROM ({RANKED_CAND}) WHERE rk <= 8), t AS (SELECT a.event_id, [a.i, b.i, c.i] AS set, round(a.s + b.s + c.s, 9) AS total FROM p a JOIN p b ON a.event_id = b.event_id AND a.i < b.i JOIN p c ON b.event_id = c.event_id AND b.i < c.i)
-    SELECT event_id, set, total FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY total DESC, set) AS n FROM t) WHERE n = 1""")
+    SELECT event_id, array_to_string(set, ',') AS set, total FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY total DESC, set) AS n FROM t) WHERE n = 1""")
 def g_exhaustive_sets(spark, d):
     """The best three of the top eight by summed score."""
     p = ranked_candidates(spark, d, 8).select("event_id", F.col("candidate_id").alias("i"), F.round(F.coalesce("map_confidence", F.lit(0.0)) - 0.05 * F.col("rank"), 9).alias("s"))
-    return pools.best_subset(p, "event_id", "i", "s", 3)
+    return pools.best_subset(p, "event_id", "i", "s", 3).withColumn("set", F.array_join("set", ","))
 
 
 @query("""WITH s AS (SELECT event_id, evidence_arm AS arm, avg(prompt_token_count) AS u FROM prepared_samples WHERE event_id IS NOT NULL AND evidence_arm IS NOT NULL AND prompt_token_count IS NOT NULL GROUP BY 1, 2)
@@ -549,13 +549,13 @@ def g_tail_truncation(spark, d):
 
 
 @query(f"""WITH r AS (SELECT event_id, candidate_id, rk, coalesce(map_confidence, 0.0) AS s FROM ({RANKED_CAND}) WHERE rk <= 10), a AS (SELECT event_id, list(candidate_id ORDER BY rk) AS anchors, sum(s) AS base FROM r WHERE rk <= 2 GROUP BY event_id)
-    SELECT event_id, list_append(anchors, candidate_id) AS set, round(s - base / 2, 6) AS delta, s > base / 2 AS positive FROM a JOIN r USING (event_id) WHERE rk > 2""")
+    SELECT event_id, array_to_string(list_append(anchors, candidate_id), ',') AS set, round(s - base / 2, 6) AS delta, s > base / 2 AS positive FROM a JOIN r USING (event_id) WHERE rk > 2""")
 def g_anchor_sets(spark, d):
     """The first two fixed, with each further candidate: its score above theirs."""
     r = ranked_candidates(spark, d, 10).withColumn("s", F.coalesce("map_confidence", F.lit(0.0)))
     a = r.where("rank <= 2").groupBy("event_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "candidate_id"))), lambda x: x["candidate_id"]).alias("anchors"), F.sum("s").alias("base"))
     j = r.where("rank > 2").join(a, "event_id")
-    return j.select("event_id", F.array_append("anchors", F.col("candidate_id")).alias("set"), F.round(F.col("s") - F.col("base") / 2, 6).alias("delta"), (F.col("s") > F.col("base") / 2).alias("positive"))
+    return j.select("event_id", F.array_join(F.array_append("anchors", F.col("candidate_id")), ",").alias("set"), F.round(F.col("s") - F.col("base") / 2, 6).alias("delta"), (F.col("s") > F.col("base") / 2).alias("positive"))
 
 
 @query()

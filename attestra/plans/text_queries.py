@@ -37,14 +37,14 @@ def t_sentence_split(spark, d):
     return table(spark, d, "documents").select("doc_id", F.explode(T.split_sentences("text")).alias("sentence"))
 
 
-@query(f"SELECT doc_id, {WORDS.format('text')} AS words FROM documents WHERE text IS NOT NULL")
+@query(f"SELECT doc_id, array_to_string({WORDS.format('text')}, ' ') AS words FROM documents WHERE text IS NOT NULL")
 def t_word_tokens(spark, d):
-    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", T.word_tokens("text").alias("words"))
+    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.array_join(T.word_tokens("text"), " ").alias("words"))
 
 
-@query(f"SELECT row_id, {CONTENT.format('text')} AS content FROM sentence_items WHERE text IS NOT NULL")
+@query(f"SELECT row_id, array_to_string({CONTENT.format('text')}, ' ') AS content FROM sentence_items WHERE text IS NOT NULL")
 def t_content_tokens(spark, d):
-    return table(spark, d, "sentence_items").where("text IS NOT NULL").select("row_id", T.content_tokens("text").alias("content"))
+    return table(spark, d, "sentence_items").where("text IS NOT NULL").select("row_id", F.array_join(T.content_tokens("text"), " ").alias("content"))
 
 
 @query(f"SELECT row_id, t AS term, count(*) AS tf FROM (SELECT row_id, unnest({CONTENT.format('text')}) AS t FROM sentence_items WHERE text IS NOT NULL) GROUP BY row_id, t")

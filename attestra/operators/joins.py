@@ -80,8 +80,15 @@ def merge_shards(shards: list[DataFrame], on: list[str]) -> DataFrame:
     return require_unique(out, on)
 
 
-def differences(df: DataFrame, by: list[str], positive: str, features: list[str], item: str) -> DataFrame:
-    """Feature differences of every positive and negative item of a group, for pairwise learners on bounded pools."""
-    x, y = df.where(positive).alias("x"), df.where(f"NOT {positive}").alias("y")
-    pairs = x.join(y, [F.col(f"x.{c}") == F.col(f"y.{c}") for c in by])
+def differences(df: DataFrame, by: list[str], positive: str, features: list[str], item: str, dealt: int = 256) -> DataFrame:
+    """Feature differences of every positive and negative item of a group, for pairwise learners.
+
+    A group's positives are dealt by hash into parts of some ``dealt`` items that each meet all its negatives, so the pairs of a
+    hot group are made by many tasks.
+    """
+    x, y = df.where(positive), df.where(f"NOT {positive}")
+    parts = x.groupBy(*by).agg(F.ceil(F.count("*") / dealt).cast("int").alias("__parts"))
+    x = x.join(parts, by).withColumn("__part", F.pmod(F.xxhash64(item), F.col("__parts")).cast("int")).alias("x")
+    y = y.join(parts, by).withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))).alias("y")
+    pairs = x.join(y, [F.col(f"x.{c}") == F.col(f"y.{c}") for c in [*by, "__part"]])
     return pairs.select(*(F.col(f"x.{c}").alias(c) for c in by), F.col(f"x.{item}").alias("winner"), F.col(f"y.{item}").alias("loser"), *((F.col(f"x.{f}") - F.col(f"y.{f}")).alias(f) for f in features))

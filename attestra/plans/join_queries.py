@@ -80,7 +80,8 @@ def j_pairwise_differences(spark, d):
 
 
 def pair_features(spark, d):
-    p = ranked_candidates(spark, d, 10).select("event_id", F.col("candidate_id").alias("i"), F.coalesce("base_score", F.lit(0.0)).alias("b"), F.coalesce("map_confidence", F.lit(0.0)).alias("c"), (F.coalesce(F.lower("map_directness"), F.lit("")) == "direct").alias("pos"))
+    """Differences of all an event's direct and other candidates."""
+    p = table(spark, d, "evidence_candidates").where("event_id IS NOT NULL AND text IS NOT NULL").select("event_id", F.col("candidate_id").alias("i"), F.coalesce("base_score", F.lit(0.0)).alias("b"), F.coalesce("map_confidence", F.lit(0.0)).alias("c"), (F.coalesce(F.lower("map_directness"), F.lit("")) == "direct").alias("pos"))
     return J.differences(p, ["event_id"], "pos", ["b", "c"], "i")
 
 

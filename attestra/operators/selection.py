@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from attestra.functions.vectors import dot
 from attestra.operators.ranking import top_k
 
 
@@ -100,6 +101,31 @@ def mmr(score: np.ndarray, sim: np.ndarray, k: int, lam: float | Sequence[float]
     return chosen
 
 
+def mmr_rounds(df: DataFrame, by: list[str], item: str, vector: str, query: DataFrame, runs: dict[str, Sequence[float]]) -> DataFrame:
+    """``mmr`` over groups of any size: ``by, run, q, lams, n, chosen``, the chosen with ``item``, ``vector`` and score ``s``, in order.
+
+    ``query`` has one vector ``q`` for each group; ``runs`` has each run's lambda for each step. A step is one aggregate over
+    all rows, which meet the chosen so far in a broadcast: each task keeps one row for each group and run.
+    """
+    steps = {len(x) for x in runs.values()}
+    assert len(steps) == 1
+    kind = f"array<struct<{item}:{df.schema[item].dataType.simpleString()},{vector}:{df.schema[vector].dataType.simpleString()},s:double>>"
+    each = F.array(*(F.struct(F.lit(r).alias("run"), F.array(*(F.lit(float(x)) for x in lams)).alias("lams")) for r, lams in runs.items()))
+    state = query.select(*by, "q", F.inline(each)).withColumns({"n": F.lit(0).cast("long"), "chosen": F.array().cast(kind)})
+    for step in range(steps.pop()):
+        rows = df.join(F.broadcast(state), by).withColumn("s", F.round(dot(F.col(vector), F.col("q")), 9))
+        lam = F.get("lams", F.lit(step))
+        close = F.array_max(F.transform("chosen", lambda x: F.greatest(F.lit(0.0), F.round(dot(F.col(vector), x[vector]), 9))))
+        # The first step, and groups with no more rows than steps, go by score alone.
+        gain = F.col("s") if step == 0 else F.when(F.col("n") <= len(next(iter(runs.values()))), F.col("s")).otherwise(F.round(lam * F.col("s") - (1 - lam) * close, 9))
+        free = ~F.exists("chosen", lambda x: x[item] == F.col(item))
+        best = F.max_by(F.struct(item, vector, "s"), F.when(free, F.struct(gain.alias("gain"), F.col("s"), (-F.col(item)).alias("tie"))))
+        held = [F.first(c).alias(c) for c in ("q", "lams", "chosen")]
+        state = rows.groupBy(*by, "run").agg(*held, F.count("*").alias("n"), best.alias("best"))
+        state = state.withColumn("chosen", F.when(F.col("best").isNull(), F.col("chosen")).otherwise(F.array_append("chosen", F.col("best")))).drop("best")
+    return state
+
+
 def token_mmr(score: np.ndarray, tokens: list[set], k: int, lam: float = 0.7) -> list[int]:
     sim = np.array([[len(a & b) / len(a | b) if a | b else 1.0 for b in tokens] for a in tokens]).reshape(len(tokens), len(tokens))
     chosen: list[int] = []
@@ -487,12 +513,15 @@ def sensitivity_gate(score: np.ndarray, sim: np.ndarray, k: int, low: float = 0.
     """``(lambda, sensitivity, redundancy)``: the low lambda where the choice depends on it, the top is redundant and relevance holds."""
     if len(score) <= k:
         return base, 0.0, 0.0
-    runs = {x: mmr(score, sim, k, x) for x in (low, base, high)}
-    apart = lambda a, b: 1 - len(set(runs[a]) & set(runs[b])) / len(set(runs[a]) | set(runs[b]))
-    sensitivity = max(apart(low, base), apart(low, high))
-    top = runs[high]
-    redundancy = float(np.mean([sim[i, j] for i, j in itertools.combinations(top, 2)])) if k > 1 else 0.0
-    holds = score[runs[low]].mean() >= floor * max(score[top].mean(), 1e-12)
+    return gate(score, sim, *(mmr(score, sim, k, x) for x in (low, base, high)), low, base, change, redundant, floor)
+
+
+def gate(score: np.ndarray, sim: np.ndarray, at_low: list[int], at_base: list[int], at_high: list[int], low: float = 0.3, base: float = 0.7, change: float = 0.3, redundant: float = 0.2, floor: float = 0.5) -> tuple[float, float, float]:
+    """``sensitivity_gate`` from what each lambda chose."""
+    apart = lambda a, b: 1 - len(set(a) & set(b)) / len(set(a) | set(b))
+    sensitivity = max(apart(at_low, at_base), apart(at_low, at_high))
+    redundancy = float(np.mean([sim[i, j] for i, j in itertools.combinations(at_high, 2)])) if len(at_high) > 1 else 0.0
+    holds = score[at_low].mean() >= floor * max(score[at_high].mean(), 1e-12)
     return (low if sensitivity >= change and redundancy >= redundant and holds else base), round(sensitivity, 9), round(redundancy, 9)
 
 

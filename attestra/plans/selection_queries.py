@@ -54,28 +54,31 @@ TOKEN_GAIN = "0.7 * c.score - 0.3 * coalesce((SELECT max(sim) FROM sim WHERE sim
 SPLIT_KEY = "regexp_split_to_array(key, '\\s+')"
 
 
-def dense_pool(spark, d):
+def dense(spark, d):
+    """Vectors of each label, and the label's first one as its query."""
     e = table(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    q = e.groupBy("label").agg(F.min_by("v", "vec_id").alias("qv"))
-    return e.join(q, "label").select("label", "vec_id", "v", F.round(V.dot(F.col("v"), F.col("qv")), 9).alias("s"))
+    return e, e.groupBy("label").agg(F.min_by("v", "vec_id").alias("q"))
+
 
+def dense_pool(spark, d):
+    e, q = dense(spark, d)
+    return e.join(q, "label").select("label", "vec_id", "v", F.round(V.dot(F.col("v"), F.col("q")), 9).alias("s"))
 
-def _sim(p: S.Pool) -> np.ndarray:
-    m = np.stack(p["v"])
-    return np.round(m @ m.T, 9)
 
+def dense_runs(spark, d, runs):
+    """What MMR over all vectors of a label chooses under each run's lambdas."""
+    e, q = dense(spark, d)
+    return S.mmr_rounds(e, ["label"], "vec_id", "v", q, runs)
 
-def dense_select(spark, d, choose):
-    """``choose`` picks positions of a label's pool."""
-    def run(p: S.Pool):
-        return [(n, p["vec_id"][i]) for n, i in enumerate(choose(p), 1)]
 
-    return S.grouped(dense_pool(spark, d), ["label"], best_first("s", "vec_id"), POOL, run, "step long, vec_id long")
+def dense_select(spark, d, lams):
+    at = dense_runs(spark, d, {"": lams}).select("label", F.posexplode("chosen").alias("n", "c"))
+    return at.select("label", (F.col("n") + 1).cast("long").alias("step"), "c.vec_id")
 
 
 @query(f"WITH RECURSIVE {DENSE_SQL}, {mmr_sql(5)} SELECT label, step, vec_id FROM steps JOIN pool USING (label, rk)")
 def g_mmr(spark, d):
-    return dense_select(spark, d, lambda p: S.mmr(p["s"], _sim(p), 5))
+    return dense_select(spark, d, [0.7] * 5)
 
 
 STEP_LAMBDAS = [0.7, 0.9, 0.7, 0.5, 0.3]
@@ -83,7 +86,7 @@ STEP_LAMBDAS = [0.7, 0.9, 0.7, 0.5, 0.3]
 
 @query(f"WITH RECURSIVE {DENSE_SQL}, {mmr_sql(5, '(1.1 - 0.2 * p.n)')} SELECT label, step, vec_id FROM steps JOIN pool USING (label, rk)")
 def g_mmr_stepwise(spark, d):
-    return dense_select(spark, d, lambda p: S.mmr(p["s"], _sim(p), 5, STEP_LAMBDAS))
+    return dense_select(spark, d, STEP_LAMBDAS)
 
 
 @query(f"WITH RECURSIVE {DENSE_SQL}, {mmr_sql(5)} SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY s DESC, vec_id) AS rank FROM steps JOIN pool USING (label, rk)")
@@ -96,7 +99,7 @@ def g_mmr_resorted(spark, d):
 @query(f"WITH RECURSIVE {DENSE_SQL}, {mmr_sql(12)} SELECT label, step, vec_id FROM steps JOIN pool USING (label, rk)")
 def g_mmr_pool(spark, d):
     """A pool of twelve in the order in which MMR takes them."""
-    return dense_select(spark, d, lambda p: S.mmr(p["s"], _sim(p), 12))
+    return dense_select(spark, d, [0.7] * 12)
 
 
 _GATE = "c.lam * c.s - (1 - c.lam) * greatest(0.0, coalesce((SELECT max(sim) FROM sim WHERE sim.label = c.label AND sim.i = c.rk AND list_contains(p.chosen, sim.j)), 0.0))"
@@ -108,7 +111,19 @@ _GATE = "c.lam * c.s - (1 - c.lam) * greatest(0.0, coalesce((SELECT max(sim) FRO
     g AS (SELECT label, greatest(1 - len(list_intersect(low, base)) / len(list_distinct(list_concat(low, base))), 1 - len(list_intersect(low, high)) / len(list_distinct(list_concat(low, high)))) AS sens, redundancy, s_low >= 0.5 * greatest(s_high, 1e-12) AS holds FROM sets JOIN red USING (label))
     SELECT label, CASE WHEN sens >= 0.3 AND redundancy >= 0.2 AND holds THEN 0.3::DOUBLE ELSE 0.7 END AS "lambda", round(sens, 6) AS sensitivity, round(redundancy, 6) AS redundancy FROM g""")
 def g_sensitivity_gate(spark, d):
-    return S.grouped(dense_pool(spark, d), ["label"], best_first("s", "vec_id"), POOL, lambda p: [tuple(round(x, 6) for x in S.sensitivity_gate(p["s"], _sim(p), 5))], "`lambda` double, sensitivity double, redundancy double")
+    def run(p: S.Pool):
+        if p["n"][0] <= 5:
+            return [(0.7, 0.0, 0.0)]
+        chosen = dict(zip(p["run"], p["chosen"]))
+        rows = {c["vec_id"]: c for x in chosen.values() for c in x}
+        place = {k: i for i, k in enumerate(rows)}
+        m = np.stack([c["v"] for c in rows.values()])
+        at = [[place[c["vec_id"]] for c in chosen[x]] for x in ("low", "base", "high")]
+        return [tuple(round(x, 6) for x in S.gate(np.array([c["s"] for c in rows.values()]), np.round(m @ m.T, 9), *at))]
+
+    runs = dense_runs(spark, d, {"low": [0.3] * 5, "base": [0.7] * 5, "high": [1.0] * 5})
+    packed = runs.groupBy("label").agg(F.collect_list(F.struct("run", "n", "chosen")).alias("runs"))
+    return S.per_row(packed, ["label"], "runs", run, "`lambda` double, sensitivity double, redundancy double")
 
 
 LAMBDAS = [0.3, 0.5, 0.7, 0.9]
@@ -573,14 +588,10 @@ def g_set_search(spark, d):
 @query()
 def g_trajectories(spark, d):
     """Choices under four lambda schedules, with the mean relevance of each."""
-    def run(p: S.Pool):
-        score, sim = p["s"], _sim(p)
-        for seed in range(4):
-            plan = S.hashed_schedule(seed, 5, LAMBDAS)
-            at = S.mmr(score, sim, 5, plan)
-            yield from ((seed, n, plan[n - 1], p["vec_id"][i], round(float(score[at].mean()), 9)) for n, i in enumerate(at, 1))
-
-    return S.grouped(dense_pool(spark, d), ["label"], best_first("s", "vec_id"), POOL, run, "schedule int, step int, lam double, vec_id long, utility double")
+    runs = dense_runs(spark, d, {str(seed): S.hashed_schedule(seed, 5, LAMBDAS) for seed in range(4)})
+    mean = F.round(V.total(F.col("chosen.s")) / F.size("chosen"), 9)
+    at = runs.select("label", F.col("run").cast("int").alias("schedule"), "lams", mean.alias("utility"), F.posexplode("chosen").alias("n", "c"))
+    return at.select("label", "schedule", (F.col("n") + 1).alias("step"), F.get("lams", F.col("n")).alias("lam"), "c.vec_id", "utility")
 
 
 @query(f"""WITH r AS (SELECT event_id, candidate_id, rk, coalesce(map_confidence, 0.0) AS c FROM ({RANKED_CAND}) WHERE rk <= 5), u AS (SELECT event_id, candidate_id, 'trace' AS mode, rk::DOUBLE AS x, '' AS y FROM r UNION ALL SELECT event_id, candidate_id, 'same_set_score', -c, '' FROM r UNION ALL SELECT event_id, candidate_id, 'same_set_random', 0.0, md5('3|' || event_id || '|' || candidate_id) FROM r)

@@ -2,10 +2,12 @@
 
 import os
 
+import numpy as np
 import pytest
 
 from attestra import registry
 from attestra.operators import joins
+from attestra.operators import selection as S
 
 FIELDS = "candidate_id long, event_id string, text string, base_score double, map_confidence double, map_directness string"
 
@@ -30,3 +32,57 @@ def test_pairs_of_a_dealt_group(spark):
     df = spark.createDataFrame([("e", i, float(i), i < 9) for i in range(20)] + [("f", 20, 1.0, True), ("g", 21, 1.0, False)], "g string, i int, s double, pos boolean")
     got = sorted((r.g, r.winner, r.loser, r.s) for r in joins.differences(df, ["g"], "pos", ["s"], "i", dealt=2).collect())
     assert got == sorted(("e", a, b, float(a - b)) for a in range(9) for b in range(9, 20))
+
+
+@pytest.fixture(scope="module")
+def vectors(spark, tmp_path_factory):
+    """Two labels of sixty vectors in tight bunches, so that the twenty best of a label are much alike, and one of four."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for label, n in ((0, 60), (1, 60), (2, 4)):
+        heads = np.abs(rng.normal(size=(6, 8)))
+        for i in range(n):
+            v = heads[i % 6] + 0.05 * rng.normal(size=8)
+            rows.append((100 * label + i, (v / np.linalg.norm(v)).tolist(), label))
+    d = str(tmp_path_factory.mktemp("vectors"))
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").write.parquet(os.path.join(d, "embeddings.parquet"))
+    groups = {}
+    for label in range(3):
+        own = [r for r in rows if r[2] == label]
+        m = np.array([r[1] for r in own])
+        sim = np.round(m @ m.T, 9)
+        best = np.lexsort((np.arange(len(own)), -sim[0]))  # ties go to the earlier by score, then id
+        groups[label] = [own[i][0] for i in best], sim[0][best], sim[np.ix_(best, best)]
+    return d, groups
+
+
+def chosen(df, *by):
+    out = {}
+    for r in sorted(df.collect(), key=lambda r: r["step"]):
+        out.setdefault(tuple(r[b] for b in by), []).append(r["vec_id"])
+    return out
+
+
+def test_mmr_over_whole_labels(spark, vectors):
+    d, groups = vectors
+    q = registry.queries()
+    for name, k, lam in (("g_mmr", 5, 0.7), ("g_mmr_pool", 12, 0.7), ("g_mmr_stepwise", 5, [0.7, 0.9, 0.7, 0.5, 0.3])):
+        assert chosen(q[name](spark, d), "label") == {(x,): [ids[i] for i in S.mmr(s, sim, k, lam)] for x, (ids, s, sim) in groups.items()}
+    want = {x: [ids[i] for i in sorted(S.mmr(s, sim, 5), key=lambda i: (-s[i], i))] for x, (ids, s, sim) in groups.items()}
+    got = q["g_mmr_resorted"](spark, d).collect()
+    assert {x: [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.label == x] for x in want} == want
+
+
+def test_trajectories_and_gate_over_whole_labels(spark, vectors):
+    d, groups = vectors
+    q = registry.queries()
+    plans = {seed: S.hashed_schedule(seed, 5, [0.3, 0.5, 0.7, 0.9]) for seed in range(4)}
+    got = q["g_trajectories"](spark, d)
+    assert chosen(got, "label", "schedule") == {(x, seed): [ids[i] for i in S.mmr(s, sim, 5, plan)] for x, (ids, s, sim) in groups.items() for seed, plan in plans.items()}
+    for r in got.collect():
+        ids, s, sim = groups[r.label]
+        assert r.lam == plans[r.schedule][r.step - 1] and r.utility == pytest.approx(s[S.mmr(s, sim, 5, plans[r.schedule])].mean(), abs=2e-9)
+    gates = {r.label: (r["lambda"], r.sensitivity, r.redundancy) for r in q["g_sensitivity_gate"](spark, d).collect()}
+    assert gates.keys() == groups.keys()
+    for x, (_, s, sim) in groups.items():
+        assert gates[x] == pytest.approx(S.sensitivity_gate(s, sim, 5), abs=2e-6)

@@ -147,7 +147,7 @@ def m_cross_fit(spark, d):
     """Out-of-fold scores: each event is scored by weights fitted on the other folds."""
     from attestra.operators.learners import cross_fit
 
-    rows = ranked_candidates(spark, d, 20).select("event_id", "candidate_id", F.coalesce("base_score", F.lit(0.0)).alias("b"), F.coalesce("map_confidence", F.lit(0.0)).alias("c"), (F.coalesce(F.lower("map_directness"), F.lit("")) == "direct").cast("double").alias("y"))
+    rows = table(spark, d, "evidence_candidates").where("event_id IS NOT NULL AND text IS NOT NULL").select("event_id", "candidate_id", F.coalesce("base_score", F.lit(0.0)).alias("b"), F.coalesce("map_confidence", F.lit(0.0)).alias("c"), (F.coalesce(F.lower("map_directness"), F.lit("")) == "direct").cast("double").alias("y"))
     return cross_fit(rows, "event_id", ["b", "c"], "y", 3)
 
 

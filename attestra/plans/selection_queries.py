@@ -567,9 +567,10 @@ def g_tail_truncation(spark, d):
     SELECT event_id, array_to_string(list_append(anchors, candidate_id), ',') AS set, round(s - base / 2, 6) AS delta, s > base / 2 AS positive FROM a JOIN r USING (event_id) WHERE rk > 2""")
 def g_anchor_sets(spark, d):
     """The first two fixed, with each further candidate: its score above theirs."""
-    r = ranked_candidates(spark, d, 10).withColumn("s", F.coalesce("map_confidence", F.lit(0.0)))
-    a = r.where("rank <= 2").groupBy("event_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "candidate_id"))), lambda x: x["candidate_id"]).alias("anchors"), F.sum("s").alias("base"))
-    j = r.where("rank > 2").join(a, "event_id")
+    rows = table(spark, d, "evidence_candidates").where("event_id IS NOT NULL AND text IS NOT NULL").select("event_id", "candidate_id", F.coalesce("map_confidence", F.lit(0.0)).alias("s"))
+    r = ranked_candidates(spark, d, 2).withColumn("s", F.coalesce("map_confidence", F.lit(0.0)))
+    a = r.groupBy("event_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "candidate_id"))), lambda x: x["candidate_id"]).alias("anchors"), F.sum("s").alias("base"))
+    j = rows.join(a, "event_id").where(~F.array_contains("anchors", F.col("candidate_id")))
     return j.select("event_id", F.array_join(F.array_append("anchors", F.col("candidate_id")), ",").alias("set"), F.round(F.col("s") - F.col("base") / 2, 6).alias("delta"), (F.col("s") > F.col("base") / 2).alias("positive"))
 
 

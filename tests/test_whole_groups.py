@@ -86,3 +86,17 @@ def test_trajectories_and_gate_over_whole_labels(spark, vectors):
     assert gates.keys() == groups.keys()
     for x, (_, s, sim) in groups.items():
         assert gates[x] == pytest.approx(S.sensitivity_gate(s, sim, 5), abs=2e-6)
+
+
+def test_anchor_sets_of_all_candidates(spark, candidates):
+    d, rows = candidates
+    got = {r.set: (r.delta, r.positive) for r in registry.queries()["g_anchor_sets"](spark, d).collect()}
+    base = (rows[0][4] + rows[1][4]) / 2
+    assert got.keys() == {f"0,1,{i}" for i in range(2, 30)}
+    assert all(got[f"0,1,{r[0]}"] == (pytest.approx(r[4] - base, abs=1e-6), r[4] > base) for r in rows[2:])
+
+
+def test_cross_fit_scores_all_candidates(spark, candidates):
+    d, rows = candidates
+    got = registry.queries()["m_cross_fit"](spark, d).collect()
+    assert sorted(r.candidate_id for r in got) == [r[0] for r in rows] and all(r.score is not None for r in got)

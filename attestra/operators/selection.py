@@ -14,7 +14,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -71,8 +71,8 @@ def per_row(df: DataFrame, keys: list[str], packed: str, fn: Callable[[Pool], It
     return df.select(*keys, packed).mapInArrow(run, out)
 
 
-def grouped(df: DataFrame, by: list[str], order: list[Column], pool: int, fn: Callable[[Pool], Iterable[tuple]], schema: str) -> DataFrame:
-    """``by`` and what ``fn`` makes of each group's best ``pool`` rows, which it gets in that order."""
+def grouped(df: DataFrame, by: list[str], order: list[Column], pool: int | None, fn: Callable[[Pool], Iterable[tuple]], schema: str) -> DataFrame:
+    """``by`` and what ``fn`` makes of each group's best ``pool`` rows, or all, which it gets in that order."""
     best = top_k(df, by, order, pool)
     fields = ["rank", *(c for c in best.columns if c not in by and c != "rank")]
     packed = best.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*fields)), lambda a, b: a["rank"] - b["rank"]).alias("pool"))
@@ -127,14 +127,28 @@ def mmr_rounds(df: DataFrame, by: list[str], item: str, vector: str, query: Data
 
 
 def token_mmr(score: np.ndarray, tokens: list[set], k: int, lam: float = 0.7) -> list[int]:
-    sim = np.array([[len(a & b) / len(a | b) if a | b else 1.0 for b in tokens] for a in tokens]).reshape(len(tokens), len(tokens))
     chosen: list[int] = []
+    close = [0.0] * len(score)
     while len(chosen) < min(k, len(score)):
-        gain = np.array([-np.inf if i in chosen else round(lam * score[i] - (1 - lam) * max((sim[i, j] for j in chosen), default=0.0), 9) for i in range(len(score))])
+        gain = np.array([-np.inf if i in chosen else round(lam * score[i] - (1 - lam) * close[i], 9) for i in range(len(score))])
         chosen.append(int(np.argmax(gain)))
+        last = tokens[chosen[-1]]
+        close = [max(c, len(t & last) / len(t | last) if t | last else 1.0) for c, t in zip(close, tokens)]
     return chosen
 
 
+def may_win(df: DataFrame, by: list[str], order: list[Column], score: str, k: int, lam: float = 0.7) -> DataFrame:
+    """Rows that ``token_mmr`` can choose at all, ``order`` being by score first.
+
+    While fewer than k are chosen, one of the k best is free, and its gain is at least ``lam * score - (1 - lam)``; a row whose
+    gain stays below that even at closeness 0 never wins.
+    """
+    ranked = top_k(df, by, order, name="__n")
+    kth = F.max(F.when(F.col("__n") == k, F.col(score))).over(Window.partitionBy(*by))
+    least = F.coalesce(lam * kth - (1 - lam) - 1e-8, F.lit(-np.inf))
+    return ranked.withColumn("__least", least).where((F.col("__n") <= k) | (lam * F.col(score) >= F.col("__least"))).drop("__n", "__least")
+
+
 class SlotWeights(NamedTuple):
     """What a slot's score weighs: base, newly covered atoms, directness, polarity, and penalties."""
 

@@ -214,7 +214,9 @@ def _words(p: S.Pool) -> list[set]:
     SELECT event_id, step, cand FROM steps JOIN pool USING (event_id, rk)""")
 def g_token_mmr(spark, d):
     run = lambda p: [(n, p["cand"][i]) for n, i in enumerate(S.token_mmr(p["hybrid"], _words(p), 5), 1)]
-    return S.grouped(ranked(spark, d), ["event_id"], best_first("hybrid", "cand"), POOL, run, "step long, cand long")
+    order = best_first("hybrid", "cand")
+    rows = S.may_win(ranked(spark, d).select("event_id", "cand", "key", "hybrid"), ["event_id"], order, "hybrid", 5)
+    return S.grouped(rows, ["event_id"], order, None, run, "step long, cand long")
 
 
 @query(f"""{RRF_SQL.replace("WITH c AS", "WITH RECURSIVE c AS", 1)}, pool AS (SELECT * FROM (SELECT event_id, idx, {SPLIT_KEY} AS w, rrf / max(rrf) OVER (PARTITION BY event_id) AS score, row_number() OVER (PARTITION BY event_id ORDER BY rrf DESC, max_score DESC, idx) AS rk FROM fused) WHERE rk <= 20), {JACCARD}, {greedy_sql(5, TOKEN_GAIN)}

@@ -1,13 +1,18 @@
 """Queries see whole groups: nothing is cut from events and labels larger than any pool."""
 
 import os
+import random
 
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from attestra import registry
+from attestra.functions import text as T
 from attestra.operators import joins
 from attestra.operators import selection as S
+from attestra.plans.ranking_queries import ranked
 
 FIELDS = "candidate_id long, event_id string, text string, base_score double, map_confidence double, map_directness string"
 
@@ -100,3 +105,27 @@ def test_cross_fit_scores_all_candidates(spark, candidates):
     d, rows = candidates
     got = registry.queries()["m_cross_fit"](spark, d).collect()
     assert sorted(r.candidate_id for r in got) == [r[0] for r in rows] and all(r.score is not None for r in got)
+
+
+def test_token_mmr_over_whole_events(spark, tmp_path):
+    """Forty near-copies of the best sentence push weaker ones of other words beyond rank twenty."""
+    words, stops = [f"w{i}" for i in range(12)], sorted(T.STOP_WORDS)[:20]
+    rows = [(i, "e", " ".join([*words[:8], *stops, f"copy{i}"]), "r", i) for i in range(40)] + [(40 + i, "e", " ".join([*words[:8], f"other{i}", f"more{i}"]), "r", 40 + i) for i in range(6)]
+    rows += [(100 + i, "e", f"far{i} away{i}", "r", 100 + i) for i in range(3)]
+    spark.createDataFrame(rows, "row_id long, event_id string, text string, report_id string, sent_idx int").write.parquet(str(tmp_path / "sentence_items.parquet"))
+    spark.createDataFrame([("e", " ".join(words), "true", "s")], "event_id string, claim string, label string, label_schema string").write.parquet(str(tmp_path / "claims.parquet"))
+    pool = ranked(spark, str(tmp_path)).orderBy(F.desc("hybrid"), "cand").collect()
+    want = [pool[i].cand for i in S.token_mmr([r.hybrid for r in pool], [set(r.key.split()) for r in pool], 5)]
+    assert any(w >= 40 for w in want)
+    assert chosen(registry.queries()["g_token_mmr"](spark, str(tmp_path)).withColumnRenamed("cand", "vec_id"), "event_id") == {("e",): want}
+
+
+def test_rows_left_out_never_win(spark):
+    rnd = random.Random(5)
+    rows = [(g, i, round(rnd.random(), 2), " ".join(rnd.sample("abcdefgh", 3))) for g in range(20) for i in range(rnd.choice((3, 60)))]
+    df = spark.createDataFrame(rows, "g int, i int, s double, key string")
+    kept = S.may_win(df, ["g"], [F.desc("s"), F.asc("i")], "s", 5).collect()
+    assert len(kept) < len(rows)
+    pick = lambda own: [own[i][1] for i in S.token_mmr([r[2] for r in own], [set(r[3].split()) for r in own], 5)]
+    best = lambda rs, g: sorted((tuple(r) for r in rs if r[0] == g), key=lambda r: (-r[2], r[1]))
+    assert all(pick(best(kept, g)) == pick(best(rows, g)) for g in range(20))

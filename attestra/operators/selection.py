@@ -388,9 +388,9 @@ def edge_weight(c: Pool, i: int, j: int) -> float:
     return w
 
 
-def chain_score(c: Pool, chain: Sequence[int]) -> float:
-    """Coverage, quality and ties of a set of evidence, whatever its order."""
-    total = max(1, len({x for atoms in c["atoms"] for x in atoms}))
+def chain_score(c: Pool, chain: Sequence[int], total: int | None = None) -> float:
+    """Coverage, quality and ties of a set of evidence, whatever its order; ``total`` is the pool's number of atoms if known."""
+    total = max(1, len({x for atoms in c["atoms"] for x in atoms})) if total is None else total
     cover = len({x for i in chain for x in c["atoms"][i]}) / total
     ties = [edge_weight(c, i, j) for i, j in itertools.combinations(sorted(chain), 2)]
     return round(cover + 0.5 * float(np.mean([c["quality"][i] for i in chain])) + 0.25 * (sum(ties) / len(ties) if ties else 0.0), 9)

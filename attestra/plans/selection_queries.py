@@ -267,13 +267,13 @@ def annotated(spark, d):
     return rows.join(feats, "candidate_id").fillna({"directness_name": "none", "key": "", "cost": 0})
 
 
-def stepwise(spark, d, schema: str, choose):
-    """``choose`` yields rows without the event for an annotated pool; atoms all weigh 1."""
+def stepwise(spark, d, schema: str, choose, pool: int | None = POOL):
+    """``choose`` yields rows without the event for an annotated pool, all of the event if None; atoms all weigh 1."""
     def run(p: S.Pool):
         p["atoms"] = [sorted(set(a)) for a in p["atoms"]]
         return choose(p, {a: 1.0 for a in sorted({a for x in p["atoms"] for a in x})})
 
-    return S.grouped(annotated(spark, d), ["event_id"], best_first("base", "candidate_id"), POOL, run, schema)
+    return S.grouped(annotated(spark, d), ["event_id"], best_first("base", "candidate_id"), pool, run, schema)
 
 
 #: The annotated pool of an event, best twenty by base score.
@@ -511,9 +511,10 @@ def g_score_modes(spark, d):
 @query(f"""WITH p AS (SELECT event_id, candidate_id AS i, round(coalesce(map_confidence, 0.0) - 0.05 * rk, 9) AS s FROM ({RANKED_CAND}) WHERE rk <= 8), t AS (SELECT a.event_id, [a.i, b.i, c.i] AS set, round(a.s + b.s + c.s, 9) AS total FROM p a JOIN p b ON a.event_id = b.event_id AND a.i < b.i JOIN p c ON b.event_id = c.event_id AND b.i < c.i)
     SELECT event_id, array_to_string(set, ',') AS set, total FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY total DESC, set) AS n FROM t) WHERE n = 1""")
 def g_exhaustive_sets(spark, d):
-    """The best three of the top eight by summed score."""
-    p = ranked_candidates(spark, d, 8).select("event_id", F.col("candidate_id").alias("i"), F.round(F.coalesce("map_confidence", F.lit(0.0)) - 0.05 * F.col("rank"), 9).alias("s"))
-    return pools.best_subset(p, "event_id", "i", "s", 3).withColumn("set", F.array_join("set", ","))
+    """The best three by summed score: a sum is greatest for the three best, and of equal ones the least items come first."""
+    p = ranked_candidates(spark, d).select("event_id", F.col("candidate_id").alias("i"), F.round(F.coalesce("map_confidence", F.lit(0.0)) - 0.05 * F.col("rank"), 9).alias("s"))
+    sets = top_k(p, ["event_id"], best_first("s", "i"), 3).groupBy("event_id").agg(F.sort_array(F.collect_list("i")).alias("set"), F.round(F.sum("s"), 9).alias("total"))
+    return sets.where(F.size("set") == 3).withColumn("set", F.array_join("set", ","))
 
 
 @query("""WITH s AS (SELECT event_id, evidence_arm AS arm, avg(prompt_token_count) AS u FROM prepared_samples WHERE event_id IS NOT NULL AND evidence_arm IS NOT NULL AND prompt_token_count IS NOT NULL GROUP BY 1, 2)
@@ -578,14 +579,13 @@ def g_anchor_sets(spark, d):
 
 @query()
 def g_set_search(spark, d):
-    """The best three of the top eight by chain score, found greedily, by beam and exhaustively."""
-    def choose(p, _):
-        p = p.head(8)
-        value = lambda s: S.chain_score(p, s)
-        found = {"greedy": S.greedy_set(len(p), 3, value), "beam": S.beam_set(len(p), 3, value, 4), "exhaustive": S.exhaustive_set(len(p), 3, value)}
+    """The best three by chain score, found greedily and by beam among all candidates, and exhaustively among the first fifteen."""
+    def choose(p, atoms):
+        value = lambda s: S.chain_score(p, s, max(1, len(atoms)))
+        found = {"greedy": S.greedy_set(len(p), 3, value), "beam": S.beam_set(len(p), 3, value, 4), "exhaustive": S.exhaustive_set(min(15, len(p)), 3, value)}
         return [(how, [int(p["candidate_id"][i]) for i in s], value(s)) for how, s in found.items()]
 
-    return stepwise(spark, d, "search string, candidate_ids array<long>, score double", choose)
+    return stepwise(spark, d, "search string, candidate_ids array<long>, score double", choose, None)
 
 
 @query()

@@ -1,5 +1,6 @@
 """Queries see whole groups: nothing is cut from events and labels larger than any pool."""
 
+import itertools
 import os
 import random
 
@@ -12,6 +13,7 @@ from attestra import registry
 from attestra.functions import text as T
 from attestra.operators import joins
 from attestra.operators import selection as S
+from attestra.plans import selection_queries
 from attestra.plans.ranking_queries import ranked
 
 FIELDS = "candidate_id long, event_id string, text string, base_score double, map_confidence double, map_directness string"
@@ -129,3 +131,35 @@ def test_rows_left_out_never_win(spark):
     pick = lambda own: [own[i][1] for i in S.token_mmr([r[2] for r in own], [set(r[3].split()) for r in own], 5)]
     best = lambda rs, g: sorted((tuple(r) for r in rs if r[0] == g), key=lambda r: (-r[2], r[1]))
     assert all(pick(best(kept, g)) == pick(best(rows, g)) for g in range(20))
+
+
+def test_best_summed_set_of_all_candidates(spark, tmp_path):
+    """A late candidate whose confidence outweighs its rank belongs to the best set."""
+    rnd = random.Random(2)
+    rows = [(i, g, f"text {i}", 1 - i / 100, round(rnd.random() / 10 + 0.06 * (i % 20), 3), "none") for g, n in (("e", 20), ("f", 3), ("g", 2)) for i in range(n)]
+    spark.createDataFrame(rows, FIELDS).write.parquet(str(tmp_path / "evidence_candidates.parquet"))
+    got = {r.event_id: (r.set, r.total) for r in registry.queries()["g_exhaustive_sets"](spark, str(tmp_path)).collect()}
+    want = {}
+    for g in ("e", "f"):
+        value = {r[0]: round(r[4] - 0.05 * (r[0] + 1), 9) for r in rows if r[1] == g}
+        best = min(itertools.combinations(sorted(value), 3), key=lambda s: (-round(sum(value[i] for i in s), 9), s))
+        want[g] = ",".join(map(str, best)), pytest.approx(sum(value[i] for i in best), abs=1e-8)
+    assert got == want and max(map(int, want["e"][0].split(","))) >= 8
+
+
+@pytest.fixture(scope="module")
+def annotated_pool(spark):
+    """Thirty candidates of an event; the late ones have all the quality."""
+    atoms = lambda i: [f"A{i % 7}"] if i < 13 else [f"A{i % 7}", f"B{i}"]
+    rows = [("e", i, f"k{i}", atoms(i), "support" if i % 2 else "refute", "direct", f"s{i}", "", 1 - i / 100, 0.1 if i < 13 else 0.9, 1.0, 1.0, 0.0, 0.5, 5) for i in range(30)]
+    names = "event_id string, candidate_id long, key string, atoms array<string>, relation string, directness_name string, source string, dup string, base double, quality double, directness double, polarity double, background double, confidence double, cost int"
+    return spark.createDataFrame(rows, names), S.Pool({k: [r[i] for r in rows] for i, k in enumerate(x.split()[0] for x in names.split(", "))})
+
+
+def test_set_search_over_all_candidates(spark, annotated_pool, monkeypatch):
+    df, p = annotated_pool
+    monkeypatch.setattr(selection_queries, "annotated", lambda *_: df)
+    got = {r.search: tuple(r.candidate_ids) for r in registry.queries()["g_set_search"](spark, "").collect()}
+    value = lambda s: S.chain_score(p, s)
+    assert got == {"greedy": S.greedy_set(30, 3, value), "beam": S.beam_set(30, 3, value, 4), "exhaustive": S.exhaustive_set(15, 3, value)}
+    assert max(got["greedy"]) >= 8 and max(got["beam"]) >= 8

@@ -382,7 +382,6 @@ def g_evidence_edges(spark, d):
 @query()
 def g_beam_chains(spark, d):
     def choose(p, _):
-        p = p.head(12)
         score, chain = S.beam_chains(p)[0]
         return [(n, p["candidate_id"][i], score) for n, i in enumerate(S.best_order(p, chain), 1)]
 

@@ -163,3 +163,12 @@ def test_set_search_over_all_candidates(spark, annotated_pool, monkeypatch):
     value = lambda s: S.chain_score(p, s)
     assert got == {"greedy": S.greedy_set(30, 3, value), "beam": S.beam_set(30, 3, value, 4), "exhaustive": S.exhaustive_set(15, 3, value)}
     assert max(got["greedy"]) >= 8 and max(got["beam"]) >= 8
+
+
+def test_beam_chains_extend_to_all_twenty(spark, annotated_pool, monkeypatch):
+    df, p = annotated_pool
+    monkeypatch.setattr(selection_queries, "annotated", lambda *_: df)
+    got = registry.queries()["g_beam_chains"](spark, "").collect()
+    score, chain = S.beam_chains(p.head(20))[0]
+    assert sorted(r.candidate_id for r in got) == sorted(chain) and max(chain) >= 12
+    assert {r.score for r in got} == {score}

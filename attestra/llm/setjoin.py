@@ -1,20 +1,19 @@
-"""Word sets and seeds shared by the operators on similar texts.
+"""Word sets, their segments and their keys, shared by the operators on similar texts.
 
 A text is its set of words, as sorted 64-bit hashes. Words are ordered from rare to common by a frequency sketch: counts of
 word occurrences in ``2 ** SKETCH_BITS`` hash buckets, so what is collected and broadcast has a fixed size at any scale.
 Any order gives the same result; a sharper one gives fewer candidates.
 
-Seeds: with similarity (Jaccard) ``t``, two sets of n and m words share at least ``o = ceil(t * max(n, m))``. Words fall into
-classes by frequency; class k takes part in groups of k words. Among the first ``n - ceil(t n) + 1 + sum(k - 1)`` words of
-either set, two similar sets share k words of some class k, so they share a seed: one rare word, a pair of more frequent
-ones, or three common ones. No seed of a rare word is in more than ``CLASS_LIMITS[0]`` sets. Small sets, where o is too
-small for that, and large ones, where the groups would be too many, have seeds of one word in name spaces of their own.
+Two sets of n and m words with similarity (Jaccard) ``t`` share at least ``o = ceil(t * max(n, m))`` words. The words are cut
+into segments: the rare ones, and the others by their hash. Of the ``n - o + 1 + E`` rarest words of either set they share
+at least ``1 + E``, ``E`` being ``DEPTH - 1`` for each segment of frequent words, so they share a rare word, or ``DEPTH``
+words of one segment of frequent words (pigeonhole). The first word is a key if it is rare; else the first two, if not many
+sets have them, or the first three. The number of a set's keys is bounded however frequent all its words are, as
+larger sets have more segments (``bands``), and no key of one or two words is in many sets.
 """
 
 from __future__ import annotations
 
-import itertools
-import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -24,13 +23,20 @@ from pyspark.sql import functions as F
 
 from attestra.llm.runtime import checkpoint, words
 
-SKETCH_BITS = 20
-CLASS_LIMITS = (512, 16384)
-EXTRA = sum(range(len(CLASS_LIMITS) + 1))
-LARGE = 128
+SKETCH_BITS = 22
+#: Words, and pairs of words, up to this frequency in their sketch are keys by themselves.
+RARE = 128
+DEPTH = 3
+#: Pairs that must share fewer words than this are in one segment of frequent words; each doubling doubles the segments.
+ONE_SEGMENT = 33
 SLACK = 1e-9
 
 
+def bands() -> np.ndarray:
+    """The least o of each band: band 0 has single words only, band k ``2 ** (k - 1)`` segments of frequent words."""
+    return np.array([1, DEPTH, ONE_SEGMENT, *(((ONE_SEGMENT - 1) << k) + 1 for k in range(1, 26))])
+
+
 def word_sets(df: DataFrame, id_col: str, text: str) -> DataFrame:
     """``id, toks, k1, k2``: each row's set of words as sorted hashes, and a 128-bit key of the set; rows without a word are left out."""
     toks = F.array_sort(F.array_distinct(F.transform(words(text), lambda w: F.xxhash64(w))))
@@ -47,9 +53,9 @@ def sketch(sets: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
     """Occurrences of words by hash bucket: at most ``2 ** bits`` rows reach the driver, whatever the input."""
     mask = (1 << bits) - 1
     counted = sets.select(F.explode("toks").alias("w")).groupBy(F.col("w").bitwiseAND(F.lit(mask)).cast("int").alias("b")).agg(F.count("*").alias("c"))
-    out = np.zeros(1 << bits, np.int64)
+    out = np.zeros(1 << bits, np.int32)
     got = counted.toArrow()
-    out[got.column("b").to_numpy()] = got.column("c").to_numpy()
+    out[got.column("b").to_numpy()] = np.minimum(got.column("c").to_numpy(), np.iinfo(np.int32).max)
     return out
 
 
@@ -60,49 +66,76 @@ def rare_first(flat: np.ndarray, lengths: np.ndarray, counts: np.ndarray) -> tup
     return flat[order], freq[order]
 
 
-def least_shared(n: int, t: float) -> int:
-    return math.ceil(t * n - SLACK)
+def mix(*values: np.ndarray) -> np.ndarray:
+    """64-bit hashes of rows of words."""
+    h = np.full(len(values[-1]), 0x9E3779B97F4A7C15 * len(values) & 0xFFFFFFFFFFFFFFFF, np.uint64)
+    for v in values:
+        h = (h ^ np.asarray(v).astype(np.int64).view(np.uint64)) * np.uint64(0xFF51AFD7ED558CCD)
+        h ^= h >> np.uint64(32)
+    return h.view(np.int64)
 
 
-def _mix(values: tuple[int, ...]) -> int:
-    """A signed 64-bit hash of a group of words."""
-    h = 0x9E3779B97F4A7C15 * len(values)
-    for v in values:
-        h = ((h ^ (v & 0xFFFFFFFFFFFFFFFF)) * 0xFF51AFD7ED558CCD) & 0xFFFFFFFFFFFFFFFF
-        h ^= h >> 32
-    return h - (1 << 64) if h >> 63 else h
+def segment_of(flat: np.ndarray, segments: int) -> np.ndarray:
+    """Segment of each word, from bits of its hash; twice the segments halve each one."""
+    return (flat.view(np.uint64) >> np.uint64(32 - (segments.bit_length() - 1)) & np.uint64(segments - 1)).astype(np.int64)
+
 
+def _spread(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Owner and number, from 0, of ``count[i]`` items of each i."""
+    owner = np.repeat(np.arange(len(count)), count)
+    return owner, np.arange(len(owner)) - (np.cumsum(count) - count)[owner]
 
-def seeds(flat: np.ndarray, freq: np.ndarray, lengths: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(set, position of the first word, seed)`` of sets whose words are in rare-first order."""
+
+def segment_keys(flat: np.ndarray, freq: np.ndarray, lengths: np.ndarray, t: float, frequent_pairs: np.ndarray | None = None, rare: int = RARE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(set, key, words in the key)`` of sets whose words are in rare-first order.
+
+    ``frequent_pairs``: whether a bucket of two-word keys is full. Without it all keys of frequent words have two, to be counted.
+    """
+    starts = bands()
     begin = np.cumsum(lengths) - lengths
     n = lengths.astype(np.int64)
-    shared = np.ceil(t * n - SLACK).astype(np.int64)
-    short = np.minimum(n, n - shared + 1)
-    reach = np.minimum(n, n - shared + 1 + EXTRA)
-    owner = np.repeat(np.arange(len(n)), n)
-    pos = np.arange(len(flat)) - begin[owner]
-    level = np.searchsorted(np.array(CLASS_LIMITS), freq, side="left") + 1
-    main = n[owner] <= LARGE
-    one = main & (pos < reach[owner]) & (level == 1)
-    out = [(owner[one], pos[one], flat[one])]
-    tiny = (shared[owner] < 1 + EXTRA) & (pos < short[owner])
-    large = (n[owner] > math.floor(LARGE * t)) & (pos < short[owner])
-    for space, who in ((0x2545F4914F6CDD1D, tiny), (0x5851F42D4C957F2D, large)):
-        out.append((owner[who], pos[who], flat[who] ^ np.int64(space)))
-    for k in range(2, len(CLASS_LIMITS) + 2):
-        at = np.flatnonzero(main & (pos < reach[owner]) & (level == k))
-        if not len(at):
+    o = np.ceil(t * n - SLACK).astype(np.int64)
+    # A set meets the partners of its own band, and larger ones: a pair shares no more than n words.
+    low, high = (np.searchsorted(starts, x, side="right") - 1 for x in (o, n))
+    out: list[tuple[np.ndarray, np.ndarray, int]] = []
+    for k in range(int(low.min(initial=0)), int(high.max(initial=-1)) + 1):
+        segments = 1 << max(0, k - 1)
+        extra = segments * (DEPTH - 1) if k else 0
+        sets = np.flatnonzero((low <= k) & (high >= k))
+        # The pair shares at least ``starts[k]`` words, so that many less ``extra`` may be left unread.
+        reach = n[sets] - np.maximum(o[sets], starts[k]) + 1 + extra
+        owner, at = _spread(reach)
+        at += begin[sets][owner]
+        word, often = flat[at], freq[at]
+        single = (often <= rare) | (k == 0)
+        space = np.int64(k)
+        out.append((sets[owner[single]], mix(np.full(int(single.sum()), space), word[single]), 1))
+        if k == 0:
             continue
-        doc, start = np.unique(owner[at], return_index=True)
-        found = [(int(d), int(pos[g[0]]), _mix(tuple(int(flat[i]) for i in g))) for d, group in zip(doc, np.split(at, start[1:])) if len(group) >= k for g in itertools.combinations(group.tolist(), k)]
-        if found:
-            out.append(tuple(np.array(c, np.int64) for c in zip(*found)))
-    return tuple(np.concatenate(c) for c in zip(*out))
+        owner, word = owner[~single], word[~single]
+        seg = segment_of(word, segments)
+        order = np.lexsort((np.arange(len(word)), seg, owner))
+        owner, word, seg = owner[order], word[order], seg[order]
+        first = np.flatnonzero(np.concatenate((np.ones(min(1, len(owner)), bool), (owner[1:] != owner[:-1]) | (seg[1:] != seg[:-1]))))
+        size = np.diff(np.append(first, len(owner)))
+        left = np.repeat(first + size, size) - np.arange(len(owner)) - DEPTH  # first words of a key that still follow
+        head = np.flatnonzero(left >= 0)
+        i, j = _spread(left[head] + 1)
+        a, b, rest = head[i], head[i] + 1 + j, left[head][i] - j
+        key = mix(np.full(len(a), space), word[a], word[b])
+        two = np.ones(len(key), bool) if frequent_pairs is None else ~frequent_pairs[key & (len(frequent_pairs) - 1)]
+        out.append((sets[owner[a[two]]], key[two], 2))
+        a, b, rest = a[~two], b[~two], rest[~two]
+        i, j = _spread(rest + 1)
+        a, b, c = a[i], b[i], b[i] + 1 + j
+        out.append((sets[owner[a]], mix(np.full(len(a), space), word[a], word[b], word[c]), 3))
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int8)
+    return np.concatenate([d for d, _, _ in out]), np.concatenate([x for _, x, _ in out]), np.concatenate([np.full(len(d), w, np.int8) for d, _, w in out])
 
 
 def masks(flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """256 bits of each set as four 64-bit segments: bit ``hash >> 24 & 255`` is set for each word."""
+    """256 bits of each set as four 64-bit numbers: bit ``hash >> 24 & 255`` is set for each word; eight segments of 32 bits."""
     out = np.zeros(len(lengths) * 4, np.uint64)
     bit = flat.view(np.uint64) >> np.uint64(24) & np.uint64(255)
     cell = np.repeat(np.arange(len(lengths)), lengths) * 4 + (bit >> np.uint64(6)).astype(np.int64)
@@ -110,56 +143,78 @@ def masks(flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out.view(np.int64).reshape(-1, 4)
 
 
-def differences() -> list[str]:
-    """SQL: differing bits of each segment of sets x and y, at most their differing words there."""
-    return [f"bit_count(x.m{i} ^ y.m{i})" for i in range(4)]
+def flat_lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    lengths = np.diff(column.offsets.to_numpy())
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), lengths
 
 
-def tau(t: float) -> str:
-    """SQL: words in which sets x and y of similarity t may differ."""
-    return f"({(1 - t) / (1 + t)!r} * (x.size + y.size) + {SLACK!r})"
+def frequent_pairs(sets: DataFrame, counts: np.ndarray, t: float, rare: int = RARE, bits: int = SKETCH_BITS) -> np.ndarray:
+    """Whether a hash bucket of two-word keys holds more than ``rare`` of them; at most ``2 ** bits`` rows reach the driver."""
+    shared = sets.sparkSession.sparkContext.broadcast(counts)
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(1 << bits, np.int32)
+        for b in batches:
+            flat, lengths = flat_lists(b.column(0))
+            _, key, size = segment_keys(*rare_first(flat, lengths, shared.value), lengths, t, None, rare)
+            np.add.at(cells, key[size == 2] & (len(cells) - 1), 1)
+        at = np.flatnonzero(cells)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(cells[at])], ["b", "c"])
+
+    out = np.zeros(1 << bits, bool)
+    got = sets.select("toks").mapInArrow(run, "b int, c int").groupBy("b").agg(F.sum("c").alias("c")).where(F.col("c") > rare).select("b").toArrow()
+    out[got.column("b").to_numpy()] = True
+    return out
 
-def budget(t: float) -> str:
-    """SQL condition: the differing bits of all segments are within what similarity t allows."""
-    return f"{' + '.join(differences())} <= {tau(t)}"
 
+def key_rows(sets: DataFrame, t: float, counts: np.ndarray | None = None, carry: tuple[str, ...] = (), rare: int = RARE) -> DataFrame:
+    """``seed, cls, size, m0..m3`` of each key of each set, and the carried columns, which are never null."""
+    sc, counts = sets.sparkSession.sparkContext, sketch(sets) if counts is None else counts
+    shared, pairs = sc.broadcast(counts), sc.broadcast(frequent_pairs(sets, counts, t, rare))
+    field = sets.select("cls", "toks", *carry)
 
-def flat_lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    lengths = np.diff(column.offsets.to_numpy())
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), lengths
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            flat, lengths = flat_lists(b.column(1))
+            flat, freq = rare_first(flat, lengths, shared.value)
+            doc, key, _ = segment_keys(flat, freq, lengths, t, pairs.value, rare)
+            m, take = masks(flat, lengths)[doc], pa.array(doc)
+            cols = [pa.array(key), b.column(0).take(take), pa.array(lengths[doc], pa.int32()), *(pa.array(m[:, i]) for i in range(4)), *(b.column(2 + i).take(take) for i in range(len(carry)))]
+            yield pa.RecordBatch.from_arrays(cols, ["seed", "cls", "size", "m0", "m1", "m2", "m3", *carry])
+
+    kind = {c: field.schema[c].dataType.simpleString() for c in ("cls", *carry)}
+    columns = {"seed": "bigint", "cls": kind["cls"], "size": "int", **dict.fromkeys(("m0", "m1", "m2", "m3"), "bigint"), **{c: kind[c] for c in carry}}
+    return field.mapInArrow(run, ", ".join(f"{n} {k} not null" for n, k in columns.items()))
 
 
-def seed_rows(sets: DataFrame, counts: np.ndarray, t: float, suffix: int = 0, carry: tuple[str, ...] = ()) -> DataFrame:
-    """``seed, cls, size, m0..m3`` of each seed and the carried columns; with ``suffix`` also ``pos`` and up to that many words from there on."""
+def sequences(sets: DataFrame, counts: np.ndarray) -> DataFrame:
+    """``cls, words``: each set's words from rare to common."""
     shared = sets.sparkSession.sparkContext.broadcast(counts)
-    field = sets.select("cls", "toks", *carry)
+    field = sets.select("cls", "toks")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
             flat, lengths = flat_lists(b.column(1))
-            flat, freq = rare_first(flat, lengths, shared.value)
-            doc, pos, seed = seeds(flat, freq, lengths, t)
-            m = masks(flat, lengths)[doc]
-            cols = [pa.array(seed, pa.int64()), b.column(0).take(pa.array(doc)), pa.array(lengths[doc], pa.int32()), *(pa.array(m[:, i]) for i in range(4))]
-            cols += [b.column(2 + i).take(pa.array(doc)) for i in range(len(carry))]
-            names = ["seed", "cls", "size", "m0", "m1", "m2", "m3", *carry]
-            if suffix:
-                begin = np.cumsum(lengths) - lengths
-                lo = begin[doc] + pos
-                hi = np.minimum(lo + suffix, (begin + lengths)[doc])
-                size = hi - lo
-                at = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                offsets = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
-                cols += [pa.array(pos, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat[at]))]
-                names += ["pos", "tail"]
-            yield pa.RecordBatch.from_arrays(cols, names)
-
-    kind = field.schema["cls"].dataType.simpleString()
-    more = "".join(f", {c} {field.schema[c].dataType.simpleString()}" for c in carry) + (", pos int, tail array<bigint>" if suffix else "")
-    return field.mapInArrow(run, f"seed bigint, cls {kind}, size int, m0 bigint, m1 bigint, m2 bigint, m3 bigint{more}")
+            flat, _ = rare_first(flat, lengths, shared.value)
+            offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["cls", "words"])
+
+    return field.mapInArrow(run, f"cls {field.schema['cls'].dataType.simpleString()}, words array<bigint>")
+
+
+def tau(t: float) -> str:
+    """SQL: words in which sets x and y of similarity t may differ. A literal without D would be a decimal."""
+    return f"int({(1 - t) / (1 + t)!r}D * (x.size + y.size) + {SLACK!r}D)"
+
+
+def within(t: float) -> str:
+    """SQL condition: the differing bits of x and y, at most their differing words, are within ``tau``."""
+    return f"{' + '.join(f'bit_count(x.m{i} ^ y.m{i})' for i in range(4))} <= {tau(t)}"
+
+
+def sizes(t: float) -> str:
+    """SQL condition: the sizes of x and y allow similarity t."""
+    return f"least(x.size, y.size) >= {t!r}D * greatest(x.size, y.size) - {SLACK!r}D"
 
 
 def verify(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:

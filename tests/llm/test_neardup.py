@@ -35,14 +35,14 @@ def frame(spark, rows):
     return spark.createDataFrame(rows, "candidate_id long, text string, id string, toks string, n int, cls int")
 
 
-def test_pairs_equal_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(setjoin, "CLASS_LIMITS", (8, 40))  # so that all classes of words take part
+def test_pairs_equal_brute_force(spark):
     rows = list(enumerate(edited(random.Random(5), 260)))
     rows += [(1000, None), (1001, ""), (1002, " .. "), (1003, rows[0][1]), (1004, rows[0][1].upper())]
     df = frame(spark, [(i, x, "a", "b", 1, 2) for i, x in rows])
     for t in (0.7, 0.8, 0.9):
-        got = sorted(tuple(r) for r in neardup.similar_pairs(df, t=t).collect())
-        assert got == brute(rows, t)
+        for rare in (128, 4):  # a low limit makes keys of two and three words
+            got = sorted(tuple(r) for r in neardup.similar_pairs(df, t=t, rare=rare).collect())
+            assert got == brute(rows, t)
     assert neardup.similar_pairs(df.limit(0)).count() == 0
 
 
@@ -60,19 +60,42 @@ def test_components(spark):
     assert got == {i: 1 for i in range(1, 41)} | {100: 1, 200: 200, 201: 200}
 
 
+def test_ring_prunes_before_the_whole_distance(spark):
+    rows = list(enumerate(edited(random.Random(6), 300)))
+    sets = setjoin.prepare(frame(spark, [(i, x, "", "", 0, 0) for i, x in rows]), "candidate_id", "text")[1]
+    keys = setjoin.checkpoint(setjoin.key_rows(sets, 0.7, rare=4))
+    met = neardup.met(keys, 0.7)
+    kept = met.where(neardup.ring(0.7))
+    similar = {(r.a, r.b) for r in neardup.class_pairs(sets, 0.7).collect()}
+    n, left = met.count(), kept.selectExpr("x.cls AS a", "y.cls AS b").collect()
+    assert 0 < len(left) < n  # pairs dropped by the ring alone
+    assert similar <= {(r.a, r.b) for r in left}
+    assert met.where(neardup.ring(0.7, 1)).count() >= len(left)  # a longer chain drops more
+
+
+@given(st.lists(st.integers(0, 9), min_size=8, max_size=8), st.integers(0, 40), st.integers(1, 8))
+def test_ring_keeps_every_pair_within_the_budget(d, budget, chain):
+    viable = any(all(8 * sum(d[(i + k) % 8] for k in range(n)) <= n * budget for n in range(1, chain + 1)) for i in range(8))
+    assert viable or sum(d) > budget
+
+
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.sets(st.integers(0, 30), min_size=1, max_size=25), min_size=2, max_size=12), st.sampled_from([0.5, 0.7, 0.75, 0.9]))
-def test_similar_sets_share_a_seed(sets, t):
+@given(st.lists(st.sets(st.integers(0, 90), min_size=1, max_size=80), min_size=2, max_size=12), st.sampled_from([0.5, 0.7, 0.75, 0.9]), st.sampled_from([0, 1, 500]))
+def test_similar_sets_share_a_key(sets, t, common):
     import numpy as np
 
+    sets += [s ^ {min(s)} | {95} for s in sets]
     flat = np.array([hash(("w", x)) for s in sets for x in sorted(s)], np.int64)
     lengths = np.array([len(s) for s in sets])
-    counts = np.zeros(1 << setjoin.SKETCH_BITS, np.int64)
-    np.add.at(counts, flat & (len(counts) - 1), [1, 2000, 40000][len(sets) % 3])
+    counts = np.zeros(1 << setjoin.SKETCH_BITS, np.int32)
+    np.add.at(counts, flat & (len(counts) - 1), common)
     ordered, freq = setjoin.rare_first(flat, lengths, counts)
-    doc, pos, seed = setjoin.seeds(ordered, freq, lengths, t)
-    of = [set(seed[doc == i].tolist()) for i in range(len(sets))]
-    for i, a in enumerate(sets):
-        for j, b in enumerate(sets[:i]):
-            if len(a & b) / len(a | b) >= t:
-                assert of[i] & of[j]
+    full = np.zeros(1 << 8, bool)
+    full[::2] = True
+    for pairs in (full, None):
+        doc, key, _ = setjoin.segment_keys(ordered, freq, lengths, t, pairs, 3)
+        of = [set(key[doc == i].tolist()) for i in range(len(sets))]
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                if len(a & b) / len(a | b) >= t:
+                    assert of[i] & of[j]

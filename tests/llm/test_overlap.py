@@ -25,6 +25,20 @@ def test_pairs_equal_brute_force(spark):
     assert sum(r.pairs for r in report) == len(want) and sum(r.rows for r in report) == sum(not s for s in side.values())
 
 
+def test_spans_cover_what_is_shared(spark):
+    a = "one two three four five six seven eight nine ten eleven twelve"
+    b = a.replace("seven", "seventy")
+    rows = [(1, "train", "s", "e1", a), (2, "test", "s", "e2", b), (3, "test", "s", "e3", a), (4, "train", "s", "e4", "others"), (5, "dev", "s", "e5", "nothing alike here")]
+    df = frame(spark, rows)
+    got = {(r.train_id, r.eval_id): (r.covered, round(r.similarity, 6)) for r in overlap.overlaps(df).collect()}
+    assert got == {(1, 2): (11, round(11 / 13, 6)), (1, 3): (12, 1.0)}
+    assert {r.sample_id: (r.words, r.covered, r.train_records) for r in overlap.coverage(df).collect()} == {2: (12, 11, 1), 3: (12, 12, 1)}
+    report = {r.split: (r.similar_rows, r.words, r.covered_words) for r in overlap.report(df).collect()}
+    assert report == {"test": (2, 24, 23), "dev": (0, 0, 0)}
+    spans = overlap.claim_links(overlap.sides(df))[0].where("a <> b").first().spans
+    assert sum(s.n for s in spans) == 11 and len(spans) <= 3
+
+
 def test_empty(spark):
     df = frame(spark, [])
     assert overlap.found(df).count() == 0 and overlap.report(df).count() == 0

@@ -20,7 +20,7 @@ CLAUSE_WORDS = "and or but while although because if when since after before whe
 TIME_WORDS = "year years month months week weeks day days today yesterday tomorrow before after during".split()
 COMPARISON_WORDS = "more less fewer higher lower greater smaller increase decrease double half compared than".split()
 # Verbs taken for a predicate, and texts that are no sentence.
-PREDICATE_WORDS = "are be been being can claim did do does found had has have is made said say says show shows was were will".split()
+PREDICATE_WORDS = "am are be been being can claim did do does found had has have is made said say says show shows was were will".split()
 FRAGMENTS = [r"(?i)skip to (content|navigation)", r"(?i)update your browser", r"^\W*\d+\W*$", r"(?i)^(home|menu|share|subscribe|advertisement)\W*$"]
 # Surface patterns of a claim, on its lower-cased text.
 SURFACE = {

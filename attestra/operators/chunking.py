@@ -1,7 +1,8 @@
-"""Chunks of consecutive sentences: from rows ``doc, idx, sent`` with one row per sentence, ``idx`` ascending within ``doc``.
+"""Chunks of consecutive sentences.
 
-All but the claim-aware strategy are window and group-by plans over single documents; the claim-aware one keeps its
-sequential split and merge steps in one grouped function per document.
+Whole texts, windows and candidates are array expressions on a document's own row, so no sentence is shuffled. The semantic
+strategies are window plans over rows ``doc, idx, vector``; the claim-aware one keeps its sequential split and merge steps
+in one function per document.
 """
 
 from __future__ import annotations
@@ -23,19 +24,21 @@ def explode_sentences(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     return df.select(*keys, F.posexplode(split_sentences(text)).alias("idx", "sent"))
 
 
-def raw_chunks(df: DataFrame, keys: list[str]) -> DataFrame:
-    """The whole document, its sentences joined by spaces."""
-    parts = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("idx", "sent"))).alias("s"))
-    return parts.select(*keys, F.array_join(F.transform("s", lambda x: x["sent"]), " ").alias("chunk"), F.size("s").alias("sentences"))
+def raw_chunks(df: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """``keys, chunk, sentences``: the whole document, its sentences joined by spaces; documents without a sentence are left out."""
+    parts = df.select(*keys, split_sentences(text).alias("s")).where("size(s) > 0")
+    return parts.select(*keys, F.array_join("s", " ").alias("chunk"), F.size("s").alias("sentences"))
 
 
-def context_windows(df: DataFrame, keys: list[str], k: int = 1) -> DataFrame:
-    """Each sentence with k before and after it; a sentence repeated in the window, but for case and spaces, is kept once."""
-    w = Window.partitionBy(*keys).orderBy("idx")
-    around = df.withColumn("w", F.collect_list(F.struct("idx", "sent", canonical_key("sent").alias("key"))).over(w.rowsBetween(-k, k)))
-    seen = F.transform("w", lambda x: x["key"])
-    kept = F.filter("w", lambda x, i: F.array_position(seen, x["key"]) == i + 1)
-    return around.select(*keys, "idx", F.array_join(F.transform(kept, lambda x: x["sent"]), " ").alias("chunk"), F.transform(kept, lambda x: x["idx"]).alias("members"))
+def context_windows(df: DataFrame, keys: list[str], text: str, k: int = 1) -> DataFrame:
+    """``keys, idx, chunk, members``: each sentence with k before and after it; one repeated in the window, but for case and spaces, is kept once."""
+    each = df.select(*keys, split_sentences(text).alias("s")).withColumn("k", F.transform("s", canonical_key))
+    at = each.select(*keys, "s", "k", F.posexplode("s").alias("idx", "sent"))
+    near = F.sequence(F.greatest(F.lit(0), F.col("idx") - k), F.least(F.size("s") - 1, F.col("idx") + k))
+    first = F.greatest(F.lit(0), F.col("idx") - k)
+    # A sentence stays if the first place of its key within the window is its own.
+    kept = F.filter(near, lambda j: F.array_position(F.slice("k", first + 1, j - first + 1), F.get("k", j)) == j - first + 1)
+    return at.withColumn("members", kept).select(*keys, "idx", F.array_join(F.transform("members", lambda j: F.get("s", j)), " ").alias("chunk"), "members")
 
 
 def islands(df: DataFrame, keys: list[str], idx: str, starts: Column, name: str = "chunk") -> DataFrame:
@@ -61,7 +64,7 @@ def context_semantic_chunks(df: DataFrame, keys: list[str], idx: str, embedding:
     return semantic_chunks(unit, keys, "window", "v", threshold).drop("v")
 
 
-def claim_aware_spans(rel: np.ndarray, sims: np.ndarray, leaning: list[bool], lengths: list[int], w_sem: float = 0.65, w_rel: float = 0.35, spread: float = 0.5, discount: float = 0.1, max_sentences: int = 4, max_tokens: int = 160, min_tokens: int = 12, keep_alone: float = 0.6) -> list[tuple[int, int]]:
+def claim_aware_spans(rel: np.ndarray, sims: np.ndarray, leaning: list[bool], lengths: list[int], w_sem: float = 0.75, w_rel: float = 0.25, spread: float = 0.5, discount: float = 0.1, max_sentences: int = 3, max_tokens: int = 150, min_tokens: int = 20, keep_alone: float = 0.55) -> list[tuple[int, int]]:
     """Spans of sentences: cut at peaks of dissimilarity and of change in relevance, then overlong spans are cut further at
     their strongest boundary, and short irrelevant ones joined to the more similar neighbour (the right one of equals)."""
     n = len(rel)
@@ -127,23 +130,22 @@ def claim_aware_chunks(df: DataFrame, keys: list[str], **settings) -> DataFrame:
     return per_row(packed, keys, "s", run, "first int, last int, sentences int, tokens int, relevance double, anchor int")
 
 
-def materialise(chunks: DataFrame, kept: DataFrame, keys: list[str], group: str, order: list[str]) -> DataFrame:
-    """Chunks as candidates: the anchor is the first kept sentence of a chunk, a chunk without one is dropped, and of chunks
-    with the same text within ``group`` the first in ``order`` stays. ``chunks``: ``keys, chunk_id, text, members``."""
-    member = chunks.select(*keys, "chunk_id", F.explode("members").alias("idx")).join(kept.select(*keys, "idx"), [*keys, "idx"])
-    anchor = member.groupBy(*keys, "chunk_id").agg(F.min("idx").alias("anchor"))
-    rows = chunks.join(anchor, [*keys, "chunk_id"]).withColumn("key", canonical_key("text"))
+def materialise(chunks: DataFrame, keys: list[str], group: str, order: list[str]) -> DataFrame:
+    """Chunks as candidates: those without an anchor are dropped, and of chunks with the same text within ``group`` the first in
+    ``order`` stays. ``chunks``: ``keys, chunk_id, text, anchor``, the anchor being the first kept sentence or null."""
+    rows = chunks.where("anchor IS NOT NULL").withColumn("key", canonical_key("text"))
     first = rows.groupBy(group, "key").agg(F.min_by(F.struct(*keys, "chunk_id", "anchor", "text"), F.struct(*order)).alias("r"))
     return first.select(group, "key", *(F.col(f"r.{c}").alias(c) for c in [*keys, "chunk_id", "anchor", "text"] if c != group))
 
 
-def windowed_evidence(gold: DataFrame, corpus: DataFrame, doc: str, window: int = 1) -> DataFrame:
+def windowed_evidence(gold: DataFrame, corpus: DataFrame, doc: str, text: str, window: int = 1) -> DataFrame:
     """Gold sentence of each row with its neighbours; an index past the end is the last sentence and flagged.
 
-    ``gold``: ``id, doc, sent_idx``; ``corpus``: ``doc, idx, sent``. Rows whose document is missing have null evidence.
+    ``gold``: ``id, doc, sent_idx``; ``corpus``: ``doc, text``, one row per document. Rows whose document is missing or has no sentence have null evidence.
     """
-    sizes = corpus.groupBy(doc).agg((F.max("idx")).alias("last"))
-    placed = gold.join(sizes, doc, "left").withColumn("clamped", F.col("sent_idx") > F.col("last")).withColumn("at", F.least("sent_idx", "last"))
-    near = placed.alias("g").join(corpus.alias("c"), F.expr(f"g.{doc} = c.{doc} AND c.idx BETWEEN g.at - {window} AND g.at + {window}"), "left")
-    parts = near.groupBy("g.id", f"g.{doc}", "g.sent_idx", "g.clamped").agg(F.array_sort(F.collect_list(F.when(F.col("c.idx").isNotNull(), F.struct("c.idx", "c.sent")))).alias("s"))
-    return parts.select("id", doc, "sent_idx", "clamped", F.when(F.size("s") > 0, F.array_join(F.transform("s", lambda x: x["sent"]), " ")).alias("evidence"))
+    sents = corpus.select(F.col(doc), split_sentences(text).alias("s")).where("size(s) > 0")
+    last = F.size("s") - 1
+    at = F.least(F.col("sent_idx").cast("int"), last)
+    first = F.greatest(F.lit(0), at - window)
+    near = F.array_join(F.slice("s", first + 1, F.least(last, at + window) - first + 1), " ")
+    return gold.join(sents, doc, "left").select("id", doc, "sent_idx", (F.col("sent_idx") > last).alias("clamped"), F.when(F.col("s").isNotNull() & (at + window >= 0), near).alias("evidence"))

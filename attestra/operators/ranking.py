@@ -43,12 +43,14 @@ def hybrid(df: DataFrame, by: list[str], weights: dict[str, float], name: str =
     return scaled.withColumn(name, F.round(total, 9))
 
 
-def rrf(routes: DataFrame, by: list[str], key: str, route: str, rank: str, score: str, idx: str, weight: Column | float = 1.0, k: int = 60) -> DataFrame:
-    """Reciprocal rank fusion: ``rrf, max_score, hits, idx`` per group and key; ``idx`` is that of the best-scored entry."""
+def rrf(routes: DataFrame, by: list[str], key: str, route: str, rank: str, score: str, idx: str, weight: Column | float = 1.0, k: int = 60, keep: dict[str, str] | None = None) -> DataFrame:
+    """Reciprocal rank fusion: ``rrf, max_score, hits, idx`` per group and key; ``idx`` is that of the best-scored entry,
+    ``keep`` the greatest value of further columns by their new names."""
     w = weight if isinstance(weight, Column) else F.lit(float(weight))
     return routes.groupBy(*by, key).agg(
         F.round(F.sum(w / (k + F.col(rank))), 9).alias("rrf"),
         F.max(score).alias("max_score"),
         F.count_distinct(route).alias("hits"),
         F.max_by(idx, F.struct(F.col(score), -F.col(idx))).alias("idx"),
+        *(F.max(c).alias(n) for n, c in (keep or {}).items()),
     )

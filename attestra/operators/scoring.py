@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from attestra.functions.text import content_tokens
 
+#: Query terms that are broadcast to the scan of a collection.
+BROADCAST_TERMS = 200_000
+
 
 def term_counts(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     """``keys, term, tf, n``: counts of content tokens, with the number of all tokens of the row."""
@@ -75,10 +78,19 @@ def okapi(queries: DataFrame, docs: DataFrame, by: list[str], cand: list[str], q
     documents for ``scope=[]``; then ``by`` names the query and every query meets every document that has one of its terms.
     """
     scope = by if scope is None else scope
-    s = term_counts(docs, scope + cand, text)
-    q = term_counts(queries, by, query_text).select(*by, "term")
-    lengths = docs.select(*scope, *cand, F.size(content_tokens(text)).alias("n"))
-    stats = lengths.groupBy(*scope).agg(F.count("*").alias("docs"), F.greatest(F.avg("n"), F.lit(1.0)).alias("mean"))
+    q = queries.select(*by, F.explode(F.array_distinct(content_tokens(query_text))).alias("term"))
+    rows = docs.select(*scope, *cand, content_tokens(text).alias("t"))
+    stats = rows.groupBy(*scope).agg(F.count("*").alias("docs"), F.greatest(F.avg(F.size("t")), F.lit(1.0)).alias("mean"))
+    # Only the terms of queries leave a document's row: those of its own query, or any of the queries' where all are asked.
+    if scope:
+        wanted = queries.select(*by, F.array_distinct(content_tokens(query_text)).alias("__q"))
+        near = rows.join(wanted, by).select(*scope, *cand, F.size("t").alias("n"), F.explode(F.filter("t", lambda x: F.array_contains("__q", x))).alias("term"))
+    else:
+        terms = q.select("term").distinct()
+        # Sent to all tasks only while few; a join by the term takes over beyond.
+        terms = F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
+        near = rows.select(*cand, F.size("t").alias("n"), F.explode("t").alias("term")).join(terms, "term", "left_semi")
+    s = near.groupBy(*scope, *cand, "term").agg(F.count("*").alias("tf"), F.first("n").alias("n"))
     df = s.groupBy(*scope, "term").agg(F.count("*").alias("df"))
     hit = s.join(df, [*scope, "term"]).join(q, [*scope, "term"])
     hit = hit.join(stats, scope) if scope else hit.join(F.broadcast(stats))  # without a scope one row of numbers

@@ -162,14 +162,13 @@ class SlotWeights(NamedTuple):
 
 
 def slot_greedy(c: Pool, k: int, w: SlotWeights = SlotWeights()) -> list[tuple[int, float]]:
-    """Slots filled one after another by the best score given what is chosen; ``(position, score)``."""
-    total = max(1, len({a for atoms in c["atoms"] for a in atoms}))
+    """Slots filled one after another by the best score given what is chosen; ``(position, score)``. An atom weighs 1."""
     fixed = w.base * c["base"] + w.directness * c["directness"] + w.polarity * c["polarity"] - w.background * c["background"]
     covered: set = set()
     sources, duplicates, out, left = Counter(), Counter(), [], list(range(len(c)))
     while left and len(out) < k:
         def value(i: int) -> float:
-            new = len(set(c["atoms"][i]) - covered) / total
+            new = len(set(c["atoms"][i]) - covered)
             dup = duplicates[c["dup"][i]] if c["dup"][i] else 0
             return round(float(fixed[i]) + w.coverage * new - w.duplicate * dup - w.source * sources[c["source"][i]], 9)
 

@@ -73,7 +73,7 @@ def j_shard_merge(spark, d):
     return J.merge_shards([rows.where(F.col("shard") == i).drop("shard") for i in range(4)], ["sample_id"])
 
 
-@query(f"""WITH p AS (SELECT event_id, candidate_id AS i, coalesce(base_score, 0.0) AS b, coalesce(map_confidence, 0.0) AS c, coalesce(lower(map_directness), '') = 'direct' AS pos FROM ({RANKED_CAND}) WHERE rk <= 10)
+@query(f"""WITH p AS (SELECT event_id, candidate_id AS i, coalesce(base_score, 0.0) AS b, coalesce(map_confidence, 0.0) AS c, coalesce(lower(map_directness), '') = 'direct' AS pos FROM ({RANKED_CAND}))
     SELECT x.event_id, x.i AS winner, y.i AS loser, round(x.b - y.b, 6) AS b, round(x.c - y.c, 6) AS c FROM p x JOIN p y ON x.event_id = y.event_id AND x.pos AND NOT y.pos""")
 def j_pairwise_differences(spark, d):
     return pair_features(spark, d).select("event_id", "winner", "loser", F.round("b", 6).alias("b"), F.round("c", 6).alias("c"))

@@ -95,21 +95,22 @@ def s_inverted_index(spark, d):
 
 
 #: Routes: each candidate ranked by three scorers within its event.
-ROUTES_SQL = f"""{HYBRID_SQL}, routes AS (SELECT event_id, cand, key, hybrid, route, row_number() OVER (PARTITION BY event_id, route ORDER BY score DESC, cand) AS rk
+ROUTES_SQL = f"""{HYBRID_SQL}, routes AS (SELECT event_id, cand, key, hybrid, lex, route, row_number() OVER (PARTITION BY event_id, route ORDER BY score DESC, cand) AS rk
     FROM (SELECT *, unnest(['cos', 'lex', 'bm25']) AS route, round(unnest([cos, lex, bm25]), 9) AS score FROM hybrid) WHERE score > 0)"""
-RRF_SQL = f"""{ROUTES_SQL}, fused AS (SELECT event_id, key, round(sum((CASE WHEN route = 'cos' THEN 1.2 ELSE 1.0 END) / (60 + rk)), 9) AS rrf, max(hybrid) AS max_score, count(DISTINCT route) AS hits, arg_max(cand, struct_pack(a := hybrid, b := -cand)) AS idx
+RRF_SQL = f"""{ROUTES_SQL}, fused AS (SELECT event_id, key, round(sum((CASE WHEN route = 'cos' THEN 1.2 ELSE 1.0 END) / (60 + rk)), 9) AS rrf, max(hybrid) AS max_score, count(DISTINCT route) AS hits, max(lex) AS lex, arg_max(cand, struct_pack(a := hybrid, b := -cand)) AS idx
     FROM routes WHERE rk <= 20 GROUP BY 1, 2)"""
 
 
 def routes(spark, d, k: int = 20):
     rows = ranked(spark, d)
     each = F.inline(F.array(*(F.struct(F.lit(r).alias("route"), F.round(r, 9).alias("score")) for r in ("cos", "lex", "bm25"))))
-    long = rows.select("event_id", "cand", "key", "hybrid", each).where("score > 0")
+    long = rows.select("event_id", "cand", "key", "hybrid", F.col("lex").alias("overlap"), each).where("score > 0")
     return top_k(long, ["event_id", "route"], best_first("score", "cand"), k)
 
 
-def fused(spark, d):
-    return rrf(routes(spark, d), ["event_id"], "key", "route", "rank", "hybrid", "cand", F.when(F.col("route") == "cos", 1.2).otherwise(1.0))
+def fused(spark, d, overlap: str | None = None):
+    rows = routes(spark, d)
+    return rrf(rows, ["event_id"], "key", "route", "rank", "hybrid", "cand", F.when(F.col("route") == "cos", 1.2).otherwise(1.0), keep={overlap: "overlap"} if overlap else None)
 
 
 @query(f"{ROUTES_SQL} SELECT event_id, route, cand, rk AS rank FROM routes WHERE rk <= 20")
@@ -144,10 +145,11 @@ def r_page_hybrid(spark, d):
     return both.select("s.event_id", "cand", F.round(0.6 * (b / (1 + F.abs(b))) + 0.3 * F.col("lex") + 0.1 / F.col("page_rank"), 6).alias("score"))
 
 
-@query(f"{RRF_SQL} SELECT event_id, idx, round(greatest(max_score, least(1.0, 20 * rrf)), 6) AS retrieval, round(0.7 * max_score + 0.3 * least(1.0, 20 * rrf), 6) AS gate, max_score >= 0.5 AND 20 * rrf >= 0.15 AS passed FROM fused")
+@query(f"{RRF_SQL} SELECT event_id, idx, round(greatest(max_score, least(1.0, 20 * rrf)), 6) AS retrieval, round(0.7 * greatest(max_score, least(1.0, 20 * rrf)) + 0.3 * lex, 6) AS gate, max_score >= 0.5 AND 20 * rrf >= 0.15 AS passed FROM fused")
 def r_gates(spark, d):
-    x = F.least(F.lit(1.0), 20 * F.col("rrf"))
-    return fused(spark, d).select("event_id", "idx", F.round(F.greatest("max_score", x), 6).alias("retrieval"), F.round(0.7 * F.col("max_score") + 0.3 * x, 6).alias("gate"), ((F.col("max_score") >= 0.5) & (20 * F.col("rrf") >= 0.15)).alias("passed"))
+    """Retrieval score, the better of the hybrid and twenty times the fused one, and the gate, which adds the overlap with the claim."""
+    score = F.greatest(F.col("max_score"), F.least(F.lit(1.0), 20 * F.col("rrf")))
+    return fused(spark, d, "lex").select("event_id", "idx", F.round(score, 6).alias("retrieval"), F.round(0.7 * score + 0.3 * F.col("lex"), 6).alias("gate"), ((F.col("max_score") >= 0.5) & (20 * F.col("rrf") >= 0.15)).alias("passed"))
 
 
 _STANCE = "list_transform(range(1, 11), lambda c: exp(-(s - c) * (s - c)))"

@@ -14,11 +14,12 @@ from attestra.plans.common import CONTENT, HYBRID_SQL, KEY
 from attestra.plans.ranking_queries import MAP_SQL, RRF_SQL, best_first, fused, map_features, ranked
 from attestra.registry import query, table
 
+#: The candidates of an event that the selectors on evidence maps and chains read, best first: the default of their parameter.
 POOL = 20
 EMB = "SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings"
-#: Vectors of a label scored by their closeness to the label's first one; the best twenty.
+#: Vectors of a label scored by their closeness to the label's first one.
 DENSE_SQL = f"""e AS ({EMB}), q AS (SELECT label, arg_min(v, vec_id) AS qv FROM e GROUP BY label),
-    pool AS (SELECT * FROM (SELECT e.label, vec_id, v, round(list_dot_product(v, qv), 9) AS s, row_number() OVER (PARTITION BY e.label ORDER BY round(list_dot_product(v, qv), 9) DESC, vec_id) AS rk FROM e JOIN q USING (label)) WHERE rk <= 20),
+    pool AS (SELECT e.label, vec_id, v, round(list_dot_product(v, qv), 9) AS s, row_number() OVER (PARTITION BY e.label ORDER BY round(list_dot_product(v, qv), 9) DESC, vec_id) AS rk FROM e JOIN q USING (label)),
     sim AS (SELECT a.label, a.rk AS i, b.rk AS j, round(list_dot_product(a.v, b.v), 9) AS sim FROM pool a JOIN pool b USING (label))"""
 
 
@@ -131,13 +132,16 @@ LAMBDAS = [0.3, 0.5, 0.7, 0.9]
 
 @query("""WITH u AS (SELECT event_id, list_transform([0.3, 0.5, 0.7, 0.9], lambda l: -abs(l - b)) AS u FROM (SELECT event_id, avg(base_score) AS b FROM evidence_candidates WHERE event_id IS NOT NULL AND base_score IS NOT NULL GROUP BY 1)),
     p AS (SELECT event_id, list_transform(list_transform(u, lambda x: exp(x / 0.1)), lambda e: e / list_sum(list_transform(u, lambda x: exp(x / 0.1)))) AS p FROM u)
-    SELECT event_id, ([0.3, 0.5, 0.7, 0.9]::DOUBLE[])[list_position(p, list_max(p))] AS argmax_lambda, round(0.3 * p[1] + 0.5 * p[2] + 0.7 * p[3] + 0.9 * p[4], 6) AS expected_lambda, round(list_max(p) - 0.25, 6) AS weight FROM p""")
+    SELECT event_id, ([0.3, 0.5, 0.7, 0.9]::DOUBLE[])[list_position(p, list_max(p))] AS argmax_lambda, round(0.3 * p[1] + 0.5 * p[2] + 0.7 * p[3] + 0.9 * p[4], 6) AS expected_lambda, round(list_reverse_sort(u)[1] - list_reverse_sort(u)[2], 6) AS gap, round(list_max(u) - u[3], 6) AS margin FROM p JOIN u USING (event_id)""")
 def g_soft_lambda(spark, d):
-    """Soft targets over lambdas from their utilities (here the closeness to the event's mean score): the likeliest, the expected, and a weight."""
+    """Soft targets over lambdas from their utilities: the likeliest, the expected, and two weights of the sample, the gap of the
+    two best utilities and the margin of the best over the base lambda 0.7. A utility is, for want of a trained verifier, the
+    closeness of the lambda to the event's mean score."""
     b = table(spark, d, "evidence_candidates").where("event_id IS NOT NULL AND base_score IS NOT NULL").groupBy("event_id").agg(F.avg("base_score").alias("b"))
     lams = F.array(*(F.lit(x) for x in LAMBDAS))
-    p = b.select("event_id", V.softmax(F.transform(lams, lambda x: -F.abs(x - F.col("b")) / 0.1)).alias("p"))
-    return p.select("event_id", F.get(lams, V.argmax(F.col("p"))).alias("argmax_lambda"), F.round(V.dot(F.col("p"), lams), 6).alias("expected_lambda"), F.round(F.array_max("p") - 0.25, 6).alias("weight"))
+    u = b.select("event_id", F.transform(lams, lambda x: -F.abs(x - F.col("b"))).alias("u"))
+    p = u.select("event_id", "u", V.softmax(F.transform("u", lambda x: x / 0.1)).alias("p"))
+    return p.select("event_id", F.get(lams, V.argmax(F.col("p"))).alias("argmax_lambda"), F.round(V.dot(F.col("p"), lams), 6).alias("expected_lambda"), F.round(V.margin(F.col("u")), 6).alias("gap"), F.round(F.array_max("u") - F.get("u", F.lit(LAMBDAS.index(0.7))), 6).alias("margin"))
 
 
 # Pools of two routes: the hybrid ranking, and the fused routes.
@@ -146,9 +150,22 @@ UNION_SQL = f"{RRF_SQL}, {BASE_POOL}, both_pools AS (SELECT event_id, key, coale
 
 
 def union_pool(spark, d):
-    base = top_k(ranked(spark, d), ["event_id"], best_first("hybrid", "cand"), 15, "brk").select("event_id", "key", "cand", "hybrid", "brk")
-    route = top_k(fused(spark, d), ["event_id"], [F.desc("rrf"), F.desc("max_score"), F.desc("hits"), F.asc("idx")], 15, "rrk").select("event_id", "key", "idx", "rrf", "hits", "max_score", "rrk")
-    return pools.union_pools(base, route, ["event_id"], "key").withColumn("cand", F.coalesce("cand", "idx"))
+    """Both pools from one scored frame: the base ranking is one more route, and one aggregate makes a key's row."""
+    each = F.inline(F.array(F.struct(F.lit("base").alias("route"), F.col("hybrid").alias("score")), *(F.struct(F.lit(r).alias("route"), F.round(r, 9).alias("score")) for r in ("cos", "lex", "bm25"))))
+    long = ranked(spark, d).select("event_id", "cand", "key", "hybrid", each).where("route = 'base' OR score > 0")
+    best = top_k(long, ["event_id", "route"], best_first("score", "cand"), 20).where("route <> 'base' OR rank <= 15")
+    routed, base = F.col("route") != "base", F.col("route") == "base"
+    weight = F.when(F.col("route") == "cos", 1.2).otherwise(1.0)
+    keyed = best.groupBy("event_id", "key").agg(
+        F.max(F.when(base, F.col("rank"))).alias("brk"), F.max(F.when(base, F.col("hybrid"))).alias("hybrid"), F.round(F.sum(F.when(routed, weight / (60 + F.col("rank")))), 9).alias("rrf"),
+        F.count_if(routed).alias("hits"), F.max(F.when(routed, F.col("hybrid"))).alias("max_score"), F.min("cand").alias("cand"),
+    )
+    # Routes bring at most sixty keys an event, so this rank needs no limit.
+    placed = top_k(keyed, ["event_id"], [F.desc_nulls_last("rrf"), F.desc("max_score"), F.desc("hits"), F.asc("cand")], name="rrk")
+    inside = F.col("rrf").isNotNull() & (F.col("rrk") <= 15)
+    held = [F.when(inside, F.col(c)).alias(c) for c in ("rrk", "rrf", "hits", "max_score")]
+    rows = placed.select("event_id", "key", "cand", "brk", "hybrid", *held, F.col("brk").isNotNull().alias("in_base"), inside.alias("in_routes"))
+    return rows.where("in_base OR in_routes")
 
 
 @query(f"{UNION_SQL} SELECT event_id, cand, brk, rrk, in_base, in_routes FROM both_pools")
@@ -210,7 +227,7 @@ def _words(p: S.Pool) -> list[set]:
     return [set(k.split()) for k in p["key"]]
 
 
-@query(f"""{HYBRID_SQL.replace("WITH c AS", "WITH RECURSIVE c AS", 1)}, pool AS (SELECT * FROM (SELECT event_id, cand, {SPLIT_KEY} AS w, hybrid AS score, row_number() OVER (PARTITION BY event_id ORDER BY hybrid DESC, cand) AS rk FROM hybrid) WHERE rk <= 20), {JACCARD}, {greedy_sql(5, TOKEN_GAIN)}
+@query(f"""{HYBRID_SQL.replace("WITH c AS", "WITH RECURSIVE c AS", 1)}, pool AS (SELECT event_id, cand, {SPLIT_KEY} AS w, hybrid AS score, row_number() OVER (PARTITION BY event_id ORDER BY hybrid DESC, cand) AS rk FROM hybrid), {JACCARD}, {greedy_sql(5, TOKEN_GAIN)}
     SELECT event_id, step, cand FROM steps JOIN pool USING (event_id, rk)""")
 def g_token_mmr(spark, d):
     run = lambda p: [(n, p["cand"][i]) for n, i in enumerate(S.token_mmr(p["hybrid"], _words(p), 5), 1)]
@@ -219,12 +236,12 @@ def g_token_mmr(spark, d):
     return S.grouped(rows, ["event_id"], order, None, run, "step long, cand long")
 
 
-@query(f"""{RRF_SQL.replace("WITH c AS", "WITH RECURSIVE c AS", 1)}, pool AS (SELECT * FROM (SELECT event_id, idx, {SPLIT_KEY} AS w, rrf / max(rrf) OVER (PARTITION BY event_id) AS score, row_number() OVER (PARTITION BY event_id ORDER BY rrf DESC, max_score DESC, idx) AS rk FROM fused) WHERE rk <= 20), {JACCARD}, {greedy_sql(5, TOKEN_GAIN)}
+@query(f"""{RRF_SQL.replace("WITH c AS", "WITH RECURSIVE c AS", 1)}, pool AS (SELECT event_id, idx, {SPLIT_KEY} AS w, rrf / max(rrf) OVER (PARTITION BY event_id) AS score, row_number() OVER (PARTITION BY event_id ORDER BY rrf DESC, max_score DESC, idx) AS rk FROM fused), {JACCARD}, {greedy_sql(5, TOKEN_GAIN)}
     SELECT event_id, step, idx FROM steps JOIN pool USING (event_id, rk)""")
 def g_rrf_mmr(spark, d):
-    """MMR with the fused score as relevance."""
+    """MMR with the fused score as relevance, over all fused candidates: at most twenty of each of three routes."""
     run = lambda p: [(n, p["idx"][i]) for n, i in enumerate(S.token_mmr(p["rrf"] / p["rrf"].max(), _words(p), 5), 1)]
-    return S.grouped(fused(spark, d), ["event_id"], [F.desc("rrf"), F.desc("max_score"), F.asc("idx")], POOL, run, "step long, idx long")
+    return S.grouped(fused(spark, d), ["event_id"], [F.desc("rrf"), F.desc("max_score"), F.asc("idx")], None, run, "step long, idx long")
 
 
 RANKED_CAND = "SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY coalesce(base_score, 0.0) DESC, candidate_id) AS rk FROM evidence_candidates WHERE event_id IS NOT NULL AND text IS NOT NULL"
@@ -280,11 +297,11 @@ def stepwise(spark, d, schema: str, choose, pool: int | None = POOL):
 POOL_SQL = f"""a AS (SELECT event_id, candidate_id, coalesce({KEY.format("text")}, '') AS key, coalesce(base_score, 0.0) AS base, coalesce(evidence_map_quality_score, 0.0) AS quality, list_sort(list_distinct(coalesce(covered_atom_ids, []))) AS atoms, r AS relation, directness, polarity, background, coalesce(source_group, '') AS source, coalesce(duplicate_group, '') AS dup FROM ({MAP_SQL}) WHERE event_id IS NOT NULL),
     pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY base DESC, candidate_id) AS rk FROM a) WHERE rk <= 20)"""
 _NEW = "len(list_filter(c.atoms, lambda x: NOT list_contains(p.covered, x)))"
-_SLOT = f"c.base + 0.2 * c.directness + 0.1 * c.polarity - 0.2 * c.background + 0.35 * {_NEW} / greatest(1, t.total) - 0.15 * (CASE WHEN c.dup = '' THEN 0 ELSE len(list_filter(p.dups, lambda x: x = c.dup)) END) - 0.08 * len(list_filter(p.sources, lambda x: x = c.source))"
+_SLOT = f"c.base + 0.2 * c.directness + 0.1 * c.polarity - 0.2 * c.background + 0.35 * {_NEW} - 0.15 * (CASE WHEN c.dup = '' THEN 0 ELSE len(list_filter(p.dups, lambda x: x = c.dup)) END) - 0.08 * len(list_filter(p.sources, lambda x: x = c.source))"
 
 
-@query(f"""WITH RECURSIVE {POOL_SQL}, total AS (SELECT event_id, count(DISTINCT x) AS total FROM (SELECT event_id, unnest(atoms) AS x FROM pool) GROUP BY 1),
-    {greedy_sql(5, _SLOT.replace("greatest(1, t.total)", "greatest(1, coalesce((SELECT total FROM total WHERE total.event_id = p.event_id), 1))"), {"covered": ("[]::VARCHAR[]", "c.atoms"), "sources": ("[]::VARCHAR[]", "[c.source]"), "dups": ("[]::VARCHAR[]", "[c.dup]")})}
+@query(f"""WITH RECURSIVE {POOL_SQL},
+    {greedy_sql(5, _SLOT, {"covered": ("[]::VARCHAR[]", "c.atoms"), "sources": ("[]::VARCHAR[]", "[c.source]"), "dups": ("[]::VARCHAR[]", "[c.dup]")})}
     SELECT event_id, step AS slot, candidate_id, v AS score FROM steps JOIN pool USING (event_id, rk)""")
 def g_slot_greedy(spark, d):
     return stepwise(spark, d, "slot int, candidate_id long, score double", lambda p, a: [(n, p["candidate_id"][i], s) for n, (i, s) in enumerate(S.slot_greedy(p, 5), 1)])
@@ -507,7 +524,7 @@ def g_score_modes(spark, d):
     return top_k(rows, ["event_id", "mode"], best_first("s", "candidate_id"), 3).select("event_id", "mode", "candidate_id", "rank")
 
 
-@query(f"""WITH p AS (SELECT event_id, candidate_id AS i, round(coalesce(map_confidence, 0.0) - 0.05 * rk, 9) AS s FROM ({RANKED_CAND}) WHERE rk <= 8), t AS (SELECT a.event_id, [a.i, b.i, c.i] AS set, round(a.s + b.s + c.s, 9) AS total FROM p a JOIN p b ON a.event_id = b.event_id AND a.i < b.i JOIN p c ON b.event_id = c.event_id AND b.i < c.i)
+@query(f"""WITH p AS (SELECT event_id, candidate_id AS i, round(coalesce(map_confidence, 0.0) - 0.05 * rk, 9) AS s FROM ({RANKED_CAND})), t AS (SELECT a.event_id, [a.i, b.i, c.i] AS set, round(a.s + b.s + c.s, 9) AS total FROM p a JOIN p b ON a.event_id = b.event_id AND a.i < b.i JOIN p c ON b.event_id = c.event_id AND b.i < c.i)
     SELECT event_id, array_to_string(set, ',') AS set, total FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY total DESC, set) AS n FROM t) WHERE n = 1""")
 def g_exhaustive_sets(spark, d):
     """The best three by summed score: a sum is greatest for the three best, and of equal ones the least items come first."""
@@ -557,15 +574,15 @@ def g_state_budget(spark, d):
     return stepwise(spark, d, "kept int", choose)
 
 
-@query(f"""WITH r AS (SELECT event_id, candidate_id, rk, {CONTENT.format("text")} AS toks FROM ({RANKED_CAND}) WHERE rk <= 10), b AS (SELECT *, 50 - coalesce(sum(len(toks)) OVER (PARTITION BY event_id ORDER BY rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM r)
+@query(f"""WITH r AS (SELECT event_id, candidate_id, rk, {CONTENT.format("text")} AS toks FROM ({RANKED_CAND})), b AS (SELECT *, 50 - coalesce(sum(len(toks)) OVER (PARTITION BY event_id ORDER BY rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM r)
     SELECT event_id, candidate_id, array_to_string(toks[1:CAST(room AS INT)], ' ') AS kept FROM b WHERE room > 0""")
 def g_tail_truncation(spark, d):
     """Ranked evidence cut to 50 tokens: the last one that fits is clipped."""
-    rows = ranked_candidates(spark, d, 10).withColumn("toks", T.content_tokens("text"))
+    rows = ranked_candidates(spark, d).withColumn("toks", T.content_tokens("text"))
     return pools.fit_budget(rows, ["event_id"], "rank", "toks", F.lit(50)).select("event_id", "candidate_id", F.array_join("toks", " ").alias("kept"))
 
 
-@query(f"""WITH r AS (SELECT event_id, candidate_id, rk, coalesce(map_confidence, 0.0) AS s FROM ({RANKED_CAND}) WHERE rk <= 10), a AS (SELECT event_id, list(candidate_id ORDER BY rk) AS anchors, sum(s) AS base FROM r WHERE rk <= 2 GROUP BY event_id)
+@query(f"""WITH r AS (SELECT event_id, candidate_id, rk, coalesce(map_confidence, 0.0) AS s FROM ({RANKED_CAND})), a AS (SELECT event_id, list(candidate_id ORDER BY rk) AS anchors, sum(s) AS base FROM r WHERE rk <= 2 GROUP BY event_id)
     SELECT event_id, array_to_string(list_append(anchors, candidate_id), ',') AS set, round(s - base / 2, 6) AS delta, s > base / 2 AS positive FROM a JOIN r USING (event_id) WHERE rk > 2""")
 def g_anchor_sets(spark, d):
     """The first two fixed, with each further candidate: its score above theirs."""

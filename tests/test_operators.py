@@ -68,8 +68,9 @@ def test_lexical_scores_by_hand(spark):
 
 
 def test_chunking(spark):
-    s = spark.createDataFrame([("d", i, t) for i, t in enumerate(["A one.", "a  ONE.", "B two.", "C three."])], "k string, idx int, sent string")
-    w = {r.idx: (r.chunk, r.members) for r in C.context_windows(s, ["k"], 1).collect()}
+    s = spark.createDataFrame([("d", "A one. A  ONE. B two. C three."), ("e", ""), ("f", None)], "k string, text string")
+    w = {r.idx: (r.chunk, r.members) for r in C.context_windows(s, ["k"], "text", 1).collect()}
+    assert [(r.k, r.chunk, r.sentences) for r in C.raw_chunks(s, ["k"], "text").collect()] == [("d", "A one. A ONE. B two. C three.", 4)]
     assert w[0] == ("A one.", [0]) and w[1] == ("A one. B two.", [0, 2]) and w[3] == ("B two. C three.", [2, 3])
     e = spark.createDataFrame([("d", 0, [1.0, 0.0]), ("d", 1, [1.0, 0.0]), ("d", 2, [0.0, 1.0]), ("d", 3, [0.0, 1.0])], "k string, idx int, v array<double>")
     assert [r.chunk for r in C.semantic_chunks(e, ["k"], "idx", "v", 0.7).orderBy("idx").collect()] == [0, 0, 1, 1]
@@ -79,9 +80,9 @@ def test_chunking(spark):
     assert C.claim_aware_spans(np.array([0.1] * 6), np.array([0.9] * 5), [False] * 6, [50] * 6, max_tokens=100) != [] and C.claim_aware_spans(np.array([]), np.array([]), [], []) == []
     covered = [i for a, b in C.claim_aware_spans(np.linspace(0, 1, 30), np.cos(np.arange(29)), [False] * 30, [9] * 30) for i in range(a, b + 1)]
     assert covered == list(range(30))
-    g = spark.createDataFrame([("q", "d", 9), ("r", "none", 0)], "id string, k string, sent_idx int")
-    got = {r.id: r for r in C.windowed_evidence(g, s, "k", 1).collect()}
-    assert got["q"].clamped and got["q"].evidence == "B two. C three." and got["r"].evidence is None
+    g = spark.createDataFrame([("q", "d", 9), ("r", "none", 0), ("s", "e", 0)], "id string, k string, sent_idx int")
+    got = {r.id: r for r in C.windowed_evidence(g, s, "k", "text", 1).collect()}
+    assert got["q"].clamped and got["q"].evidence == "B two. C three." and got["r"].evidence is None and got["s"].evidence is None
 
 
 def test_mmr_rules():

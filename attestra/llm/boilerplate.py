@@ -3,8 +3,9 @@
 Reports with the same lines are collapsed into one cluster first, so a republished article brings each of its lines to the
 count once, with the number of reports it stands for. Each line of a domain is then counted over clusters, reports and
 publication dates. A line is repeated if it stands in at least ``min_reports`` different reports; ``n_clusters`` and
-``n_dates`` tell boilerplate from a text republished often, and ``min_clusters`` / ``min_dates`` ask for them where wanted
-(1 by default, since the statement of the problem counts reports).
+``n_dates`` tell boilerplate from a text republished often, and ``min_clusters`` / ``min_dates`` ask for them where wanted:
+``repeated_lines`` counts reports, as the statement of the problem does, ``boilerplate_lines`` clusters, and these are what is
+removed, so that the lines of an article that was republished stay.
 
 Domains are compared trimmed, lower-cased and without a leading ``www.``; a null domain has no lines. Two lines are equal if
 their words, joined by single spaces and with each run of digits as ``0``, are equal; texts without a word are no lines.
@@ -60,6 +61,11 @@ def repeated_lines(sentences: DataFrame, min_reports: int = MIN_REPORTS, min_clu
     return line_counts(sentences, **columns).where((F.col("n_reports") >= min_reports) & (F.col("n_clusters") >= min_clusters) & (F.col("n_dates") >= min_dates))
 
 
+def boilerplate_lines(sentences: DataFrame, least: int = MIN_REPORTS, **columns: str) -> DataFrame:
+    """The lines to be removed: those in at least ``least`` clusters of different reports."""
+    return repeated_lines(sentences, least, least, **columns)
+
+
 def in_lines(df: DataFrame, lines: DataFrame, row_id: str, domain: str, text: str) -> DataFrame:
     """Ids of the rows whose text is one of the lines of their domain."""
     return keyed(df, domain, text, row_id).join(lines.select("dom", "h1", "h2"), ["dom", "h1", "h2"], "left_semi").select(row_id)
@@ -90,21 +96,38 @@ def strip_sentences(sentences: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def strip_reports(anchors: DataFrame, lines: DataFrame, id_col: str = "anchor_id", text: str = "report_content") -> DataFrame:
-    """``anchor_id, source_sentence, report_content`` with repeated lines gone: each line of a report between line breaks or
-    set off by blank lines is held against the list; a hard-wrapped notice is held as one line. A null text stays null, a
-    ``source_sentence`` that is a repeated line becomes null.
+    """``anchor_id, source_sentence, report_content`` with repeated lines gone.
+
+    Each block set off by blank lines is held against the list as one line, so that a hard-wrapped notice goes, and each line
+    between line breaks within the blocks that stay. A null text stays null, a ``source_sentence`` that is a repeated line
+    becomes null. Rows without an id are given back as they are. Only keys are shuffled with the list, a text once with its hits.
     """
-    base = anchors.select(F.col(id_col).alias("id"), domain_key("domain").alias("dom"), "source_sentence", F.col(text).alias("body"))
-    pieces = base.select("id", "dom", F.posexplode(F.array_append(F.split("body", r"\n[ \t\r]*\n"), F.lit("\x00"))).alias("pos", "piece"))
-    # The marker after the last block keeps reports of which every line goes; the sentence rides along as position -1.
-    pieces = pieces.unionByName(base.where("source_sentence IS NOT NULL").select("id", "dom", F.lit(-1).alias("pos"), F.col("source_sentence").alias("piece")))
-    pieces = pieces.withColumns({"line": line_key("piece")}).withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
-    known = lines.select("dom", "h1", "h2", F.lit(True).alias("hit"))
-    kept = pieces.join(known, ["dom", "h1", "h2"], "left").where("hit IS NULL")
-    out = kept.groupBy("id").agg(
-        F.max(F.when(F.col("pos") == -1, F.col("piece"))).alias("source_sentence"),
-        F.max(F.when(F.col("piece") == "\x00", True)).alias("had_body"),
-        F.array_sort(F.collect_list(F.when((F.col("pos") >= 0) & (F.col("piece") != "\x00"), F.struct("pos", "piece")))).alias("parts"),
+    base = anchors.select(F.col(id_col).alias("id"), domain_key("domain").alias("dom"), "source_sentence", F.col(text).alias("body")).withColumn("blocks", F.split("body", r"\n[ \t\r]*\n"))
+    parts = F.flatten(F.transform("blocks", lambda b, i: F.concat(F.array(F.struct(i.alias("pos"), F.lit(-1).alias("at"), b.alias("piece"))), _lines(b, i))))
+    sentence = F.array(F.struct(F.lit(-1).alias("pos"), F.lit(-1).alias("at"), F.col("source_sentence").alias("piece")))
+    pieces = base.where("id IS NOT NULL AND dom IS NOT NULL").select("id", "dom", F.explode(F.concat(sentence, F.coalesce(parts, F.array().cast(PIECES)))).alias("p"))
+    keys = pieces.select("id", "dom", "p.pos", "p.at", line_key("p.piece").alias("line")).where("line <> ''")
+    keys = keys.select("id", "dom", "pos", "at", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
+    hits = keys.join(lines.select("dom", "h1", "h2"), ["dom", "h1", "h2"], "left_semi").groupBy("id").agg(F.collect_set(F.struct("pos", "at")).alias("hits"))
+    known = lambda pos, at: F.array_contains("hits", F.struct(pos.cast("int").alias("pos"), at.cast("int").alias("at")))
+
+    def kept(b: Column, i: Column) -> Column:
+        left = F.filter(F.split(b, "\n"), lambda l, j: ~known(i, j))
+        return F.when(known(i, F.lit(-1)) | (F.size(left) == 0), None).when(F.instr(b, "\n") > 0, F.array_join(left, "\n")).otherwise(b)
+
+    both = base.join(hits, "id", "left")
+    body = F.array_join(F.filter(F.transform("blocks", kept), lambda b: b.isNotNull()), "\n\n")
+    return both.select(
+        F.col("id").alias(id_col),
+        F.when(F.col("hits").isNotNull() & known(F.lit(-1), F.lit(-1)), None).otherwise(F.col("source_sentence")).alias("source_sentence"),
+        F.when(F.col("hits").isNull(), F.array_join("blocks", "\n\n")).otherwise(body).alias(text),
     )
-    made = out.select("id", "source_sentence", F.when(F.col("had_body"), F.array_join(F.transform("parts", lambda p: p["piece"]), "\n\n")).alias(text))
-    return base.select("id").join(made, "id", "left").withColumnRenamed("id", id_col)
+
+
+PIECES = "array<struct<pos:int,at:int,piece:string>>"
+
+
+def _lines(block: Column, i: Column) -> Column:
+    """The lines of a block of several, with their places."""
+    lines = F.transform(F.split(block, "\n"), lambda l, j: F.struct(i.alias("pos"), j.alias("at"), l.alias("piece")))
+    return F.when(F.instr(block, "\n") > 0, lines).otherwise(F.array().cast(PIECES))

@@ -29,51 +29,66 @@ from attestra.llm.runtime import blocks, strings
 # Letters drawn alike in different scripts, "prototype: look-alikes".
 LOOKALIKES = """
 A: А Α Ꭺ ꓮ
-B: В Β Ᏼ ꓐ
-C: С Ϲ Ꮯ ꓚ
+B: В Β Ᏼ ꓐ Ⲃ
+C: С Ϲ Ꮯ ꓚ Ⲥ
 D: Ꭰ ꓓ
 E: Е Ε Ꭼ ꓰ
 F: Ϝ ꓝ
 G: Ԍ Ꮐ ꓖ
-H: Н Η Ꮋ ꓧ
-I: І Ι Ӏ ꓲ
+H: Н Η Ꮋ ꓧ Ⲏ
+I: І Ι Ӏ ꓲ Ⲓ
 J: Ј Ϳ Ꭻ ꓙ
-K: К Κ Ꮶ ꓗ
+K: К Κ Ꮶ ꓗ Ⲕ
 L: Լ Ꮮ ꓡ
-M: М Μ Ϻ Ꮇ ꓟ
-N: Ν ꓠ
-O: О Ο Օ ꓳ
-P: Р Ρ Ꮲ ꓑ
+M: М Μ Ϻ Ꮇ ꓟ Ⲙ
+N: Ν ꓠ Ⲛ
+O: О Ο Օ ꓳ Ⲟ
+P: Р Ρ Ꮲ ꓑ Ⲣ
 Q: Ԛ
 R: Ꭱ ꓣ
 S: Ѕ Տ Ꮪ ꓢ
-T: Т Τ Ꭲ ꓔ
+T: Т Τ Ꭲ ꓔ Ⲧ
 U: Ս ꓴ
 V: Ѵ Ꮩ ꓦ
 W: Ԝ Ꮃ ꓪ
-X: Х Χ ꓫ
-Y: У Υ Ү Ꭹ ꓬ
+X: Х Χ ꓫ Ⲭ
+Y: У Υ Ү Ꭹ ꓬ Ⲩ
 Z: Ζ Ꮓ ꓜ
 a: а α ɑ
-c: с ϲ
+c: с ϲ ⲥ ꮯ
 d: ԁ
 e: е
 g: ɡ ց
 h: һ հ
-i: і ι
+i: і ι ɩ ꭵ
 j: ј ϳ
-k: к κ
+k: к κ ⲕ
 l: ӏ
 n: ո
-o: о ο օ
-p: р ρ
+o: о ο օ ⲟ
+p: р ρ ⲣ
 q: ԛ զ
-s: ѕ
+s: ѕ ꮪ
 u: υ ս
-v: ν ѵ
-w: ԝ
-x: х χ
+v: ν ѵ ꮩ
+w: ԝ ꮃ
+x: х χ ⲭ
 y: у γ ү
+r: ꮁ
+z: ꮓ
+ə: ә
+Ə: Ә
+æ: ӕ
+Æ: Ӕ
+ε: ɛ
+θ: ѳ
+Γ: Г Ⲅ
+Δ: Ⲇ
+Θ: Ѳ Ⲑ
+Λ: Ʌ Ⲗ
+Π: П Ⲡ
+Σ: Ʃ
+Φ: Ф Ⲫ
 ç: ҫ
 Ç: Ҫ
 ロ: 口
@@ -85,6 +100,7 @@ y: у γ ү
 ト: 卜
 オ: 才
 ヘ: へ
+リ: り
 ー: 一
 """
 # Decomposition tags whose forms can be told apart by eye.

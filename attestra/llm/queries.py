@@ -46,11 +46,12 @@ def p4_lines(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_sentences(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "sentence_items")
-    return boilerplate.strip_sentences(rows, boilerplate.repeated_lines(rows)).drop("fetched_at", "loaded_at")
+    left = boilerplate.strip_sentences(rows, boilerplate.boilerplate_lines(rows))
+    return left.withColumns({c: F.unix_micros(F.col(c).cast("timestamp")) for c in ("fetched_at", "loaded_at")})
 
 
 def p4_reports(spark: SparkSession, d: str) -> DataFrame:
-    return boilerplate.strip_reports(table(spark, d, "anchors"), boilerplate.repeated_lines(table(spark, d, "sentence_items")))
+    return boilerplate.strip_reports(table(spark, d, "anchors"), boilerplate.boilerplate_lines(table(spark, d, "sentence_items")))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -120,8 +121,9 @@ def oracle_sql() -> dict[str, str]:
     SELECT 'sentence_items' AS origin, row_id FROM (SELECT row_id, {DOMAIN} AS dom, {LINE.format("text")} AS line FROM sentence_items) JOIN rep USING (dom, line)
     UNION ALL SELECT 'anchors', anchor_id FROM (SELECT anchor_id, {DOMAIN} AS dom, {LINE.format("source_sentence")} AS line FROM anchors) JOIN rep USING (dom, line)""",
         "p4_sentences": f"""
-    WITH rep AS ({lines})
-    SELECT s.* EXCLUDE (fetched_at, loaded_at) FROM sentence_items s WHERE NOT EXISTS (SELECT 1 FROM rep WHERE rep.dom = {DOMAIN.replace("domain", "s.domain")} AND rep.line = {LINE.format("s.text")})""",
+    WITH o AS (SELECT DISTINCT report_id, {DOMAIN} AS dom, {LINE.format("text")} AS line FROM sentence_items), u AS (SELECT * FROM o WHERE dom IS NOT NULL AND line <> '' AND report_id IS NOT NULL),
+    g AS (SELECT dom, report_id, md5(string_agg(line, chr(10) ORDER BY line)) AS same FROM u GROUP BY 1, 2), rep AS (SELECT dom, line FROM u JOIN g USING (dom, report_id) GROUP BY 1, 2 HAVING count(DISTINCT same) >= 6)
+    SELECT s.* REPLACE (epoch_us(fetched_at) AS fetched_at, epoch_us(loaded_at) AS loaded_at) FROM sentence_items s WHERE NOT EXISTS (SELECT 1 FROM rep WHERE rep.dom = {DOMAIN.replace("domain", "s.domain")} AND rep.line = {LINE.format("s.text")})""",
         "p5_found": f"""
     WITH s AS ({sides}), alike AS ({_similar(f'SELECT id, side, {WORDS.format("claim")} AS words FROM s', 0.75, 'x.side <> y.side')})
     SELECT i AS sample_id_a, j AS sample_id_b FROM alike

@@ -1,19 +1,21 @@
 """Problem 1: sentence units across languages and scripts.
 
-A pushdown automaton reads the marks of a text (end marks, quotes, brackets, Thai spaces, list bullets) from left to right.
-Its stack holds the open quotes and brackets; an end mark ends a unit only where the stack is empty, a quote or bracket
-may end one where it closes. Full stops are looked up in a trie of abbreviations, read backwards from the stop. Offsets are
+A pushdown automaton reads the marks of a text (list markers, end marks, quotes, brackets, Thai spaces) from left to right.
+Its stack holds the levels of the list that is open, each with its indentation, kind of marker and last number or letter,
+and within an item the open quotes and brackets; an end mark ends a unit only where no quote or bracket is open, a quote or
+bracket may end one where it closes. Full stops are looked up in a trie of abbreviations, read backwards from the stop. Offsets are
 code points of the text as delivered; a unit has no white space at either end.
 
-Rules: a blank line ends a unit, a single line break does not, bulleted lines do. A quote with the words that introduce or
+Rules: a blank line ends a unit, a single line break does not, a list marker does, and belongs to the unit that it opens. A quote with the words that introduce or
 attribute it is one unit; a sentence in parentheses of its own is one. In Thai running text a space ends a unit unless a
 digit, a Latin letter or a full stop stands beside it. Null, empty and blank texts have no units. A quote or bracket that is
-never closed within its block is read as an ordinary character.
+never closed within its block is read as an ordinary character. The time is linear in the text, whatever its marks.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -57,9 +59,10 @@ EVENT = re.compile(rf"[.．…!?。！？｡؟।॥۔։]+|[“”„«»‹›
 BLANK = re.compile(r"\n[^\S\n]*(?:\n[^\S\n]*)+|\r(?:[^\S\r\n]*\r)+")
 SPACE = re.compile(r"\s*")
 WORD = re.compile(r"[^\W_]")
-BULLET = re.compile(r"^[ \t]*([•‣◦▪●*\-–—]|\d{1,3}[.)])[ \t]+", re.M)
+MARKER = re.compile(r"^([ \t]*)([•‣◦▪●*\-–—]|(?:\d{1,3}|[A-Za-z])[.)])[ \t]+(?=\S)", re.M)
 SAID = re.compile(SAYING)
-CLAUSE = re.compile(r"[^.!?。！？؟।\n]*(?:\n[^.!?。！？؟।\n]+)*")
+CLAUSE_END = re.compile(r"[.!?。！？؟।]")
+IN_TOKEN = re.compile(r"(\s)|/|@|www\.")
 HIRAGANA = re.compile("[ぁ-ゟ]")
 CJK = re.compile("[぀-ヿ㐀-鿿豈-﫿]")
 CAMEL = re.compile(r"[^\W\d_]?[a-zà-ÿ]{1,2}[A-ZÀ-Ý]")
@@ -94,7 +97,42 @@ INNER, FINAL = Trie(INNER_ABBREVIATIONS), Trie(FINAL_ABBREVIATIONS)
 MONTH = frozenset(MONTHS.split())
 
 
-def _stop_ends(s: str, lo: int, i: int, j: int, hi: int) -> bool:
+class Reader:
+    """What the automaton looks up in a block ``s[lo:hi]``, each part of which is read once however often it is asked for."""
+
+    def __init__(self, s: str, lo: int, hi: int):
+        self.s, self.lo, self.hi = s, lo, hi
+        self.last: dict[str, int] = {}
+        self.ahead: dict[re.Pattern, tuple[int, int, int]] = {}
+        self.read, self.space, self.mark = lo, lo - 1, lo - 1
+
+    def comes(self, ch: str, at: int) -> bool:
+        """Whether ``ch`` stands at ``at`` or later."""
+        if ch not in self.last:
+            self.last[ch] = self.s.rfind(ch, self.lo, self.hi)
+        return self.last[ch] >= at
+
+    def next(self, pattern: re.Pattern, at: int) -> tuple[int, int]:
+        """Range of the first match from ``at`` on, or the block's end; ``at`` may only grow."""
+        since, begin, end = self.ahead.get(pattern, (at + 1, 0, 0))
+        if not since <= at <= begin:
+            m = pattern.search(self.s, at, self.hi)
+            begin, end = m.span() if m else (self.hi, self.hi + 1)
+            self.ahead[pattern] = (at, begin, end)
+        return begin, end
+
+    def token(self, at: int) -> tuple[int, bool]:
+        """Start of the run of visible characters before ``at``, and whether an address or a slash is in it."""
+        for m in IN_TOKEN.finditer(self.s, self.read, at):
+            if m.group(1):
+                self.space = m.start()
+            else:
+                self.mark = m.start()
+        self.read = max(self.read, at - 3 if self.s.startswith("www", at - 3) else at)
+        return self.space + 1, self.mark > self.space
+
+
+def _stop_ends(s: str, lo: int, i: int, j: int, hi: int, r: Reader) -> bool:
     """Whether the single full stop at ``i`` (``j`` just after it) ends the sentence begun at ``lo``."""
     prev = s[i - 1] if i > lo else " "
     nxt = s[j]
@@ -105,11 +143,8 @@ def _stop_ends(s: str, lo: int, i: int, j: int, hi: int) -> bool:
         # No space between two sentences: a word of small letters or a number, then a capital or a letter of its own script.
         if nxt in ",;:-–/@" or nxt in CLOSERS and nxt not in OPENERS:
             return False
-        w = i
-        while w > lo and not s[w - 1].isspace():
-            w -= 1
-        token = s[w:i]
-        if "/" in token or "@" in token or "www." in token or len(token) < 2 or INNER.ends_at(s, i, lo):
+        w, address = r.token(i)
+        if address or i - max(w, lo) < 2 or INNER.ends_at(s, i, lo):
             return False
         if nxt.isupper() or nxt in "¿¡" or nxt in OPENERS and nxt not in "(（[":
             return prev.islower() or prev.isdigit() or prev in CLOSERS
@@ -161,38 +196,44 @@ def _next_goes_on(s: str, j: int, hi: int) -> bool:
     return k == j and bool(HIRAGANA.match(ch)) and SAID.match(s, k) is not None
 
 
-def _attributed(s: str, j: int, hi: int) -> bool:
+def _attributed(s: str, j: int, r: Reader) -> bool:
     """Whether the clause after a closed quote tells who said it."""
-    k = SPACE.match(s, j, hi).end()
-    if k < hi and s[k] in OPENERS:
+    k = SPACE.match(s, j, r.hi).end()
+    if k < r.hi and s[k] in OPENERS:
         return False
-    return SAID.search(CLAUSE.match(s, j, min(hi, j + 160)).group()) is not None
+    return r.next(SAID, j)[1] <= r.next(CLAUSE_END, j)[0]
 
 
-def _block_units(s: str, lo: int, hi: int, out: list[tuple[int, int]]) -> None:
-    """Units of ``s[lo:hi]``, which begins and ends with a visible character."""
+def _block_units(s: str, lo: int, hi: int, out: list[tuple[int, int]], body: int) -> None:
+    """Units of ``s[lo:hi]``, which begins and ends with a visible character; up to ``body`` it is a list marker."""
+    r = Reader(s, body, hi)
     stack: list[tuple[str, int, bool]] = []
-    thai = not THAI_NOTICE.match(s, lo, hi)
+    closing = Counter()  # how many open marks each closing mark would close
+    thai = not THAI_NOTICE.match(s, body, hi)
     start = begin = lo
-    done = lo  # events before it are spent
+    done = body  # events before it are spent
+    low = False  # whether a low opening quote has been seen
+    word = r.next(WORD, body)[0]  # the first letter or digit of the unit
 
     def cut(end: int) -> int:
-        nonlocal start
+        nonlocal start, word
         while end > start and s[end - 1].isspace():
             end -= 1
         out.append((start, end))
         start = SPACE.match(s, end, hi).end()
+        word = r.next(WORD, start)[0]
         return start
 
-    for m in EVENT.finditer(s, lo, hi):
+    for m in EVENT.finditer(s, body, hi):
         i, j = m.span()
+        low = low or s[i] == "„"
         if i < done:
             if j <= done:
                 continue
             i = done
         ch = s[i]
         if ch.isspace():
-            if thai and not stack and WORD.search(s, start, i):
+            if thai and not stack and word < i:
                 done = cut(i)
             continue
         if ch in ENDS:
@@ -205,17 +246,18 @@ def _block_units(s: str, lo: int, hi: int, out: list[tuple[int, int]]) -> None:
             if end >= hi:
                 continue
             if len(run) == 1 and ch in ".．":
-                over = _stop_ends(s, start, i, j, hi) if end == j else not _next_goes_on(s, end, hi)
+                over = _stop_ends(s, start, i, j, hi, r) if end == j else not _next_goes_on(s, end, hi)
             elif not (set(run) & STRONG):
                 k = SPACE.match(s, end, hi).end()
                 over = k > end and not s[k].islower() and (s[k].isupper() or s[k] in OPENERS or s[k] in "¿¡")
             else:
                 over = not _next_goes_on(s, end, hi)
-            if over and WORD.search(s, start, i):
+            if over and word < i:
                 done = cut(end)
             continue
         if stack and ch in CLOSES[stack[-1][0]]:
             opener, at, introduced = stack.pop()
+            closing.subtract(CLOSES[opener])
             if stack:
                 continue
             k = i
@@ -227,42 +269,72 @@ def _block_units(s: str, lo: int, hi: int, out: list[tuple[int, int]]) -> None:
             if opener in BRACKETS:
                 over = not introduced
             else:
-                over = introduced or not _attributed(s, j, hi)
+                over = introduced or not _attributed(s, j, r)
             if over:
                 done = cut(j)
             continue
         if ch in OPENERS:
             if ch == "‘" and i > lo and s[i - 1].isalnum():
                 continue
-            if ch == "“" and i > lo and s[i - 1] in ENDS and "„" in s[lo:i]:
+            if ch == "“" and i > lo and s[i - 1] in ENDS and low:
                 continue  # a stray closing mark
             closers = CLOSES[ch]
-            if any(s.find(c, j, hi) >= 0 for c in closers):
-                stack.append((ch, i, WORD.search(s, start, i) is not None))
+            if any(r.comes(c, j) for c in closers):
+                stack.append((ch, i, word < i))
+                closing.update(closers)
             continue
         # A closing mark that the top of the stack doesn't expect: an inner quote was left open.
-        for d in range(len(stack) - 1, -1, -1):
-            if ch in CLOSES[stack[d][0]]:
-                del stack[d:]
+        while closing[ch] > 0:
+            opener = stack.pop()[0]
+            closing.subtract(CLOSES[opener])
+            if ch in CLOSES[opener]:
                 break
     if start < hi:
-        if begin < start and not WORD.search(s, start, hi) and out:
+        if begin < start and word >= hi and out:
             out[-1] = (out[-1][0], hi)  # marks left over belong to the unit before
         else:
             out.append((start, hi))
 
 
-def _list_starts(s: str, lo: int, hi: int) -> list[int]:
-    """Starts of list items of a block: at least two bulleted lines, the first of which begins it or follows a colon."""
-    items = list(BULLET.finditer(s, lo, hi)) if "\n" in s[lo:hi] else []
-    items = [m for m in items if m.start() == lo or s[m.start() - 1] == "\n"]
-    if len(items) < 2 or not (items[0].start() == lo or s[lo : items[0].start()].rstrip().endswith((":", "："))):
+def _after_colon(s: str, lo: int, at: int) -> bool:
+    while at > lo and s[at - 1].isspace():
+        at -= 1
+    return at > lo and s[at - 1] in ":："
+
+
+def _list_items(s: str, lo: int, hi: int) -> list[tuple[int, int]]:
+    """``(start, end of the marker)`` of the list items of a block, whose lists begin it or follow a colon.
+
+    A stack holds the open levels. A marker goes on with the innermost level of its kind and indentation whose number or
+    letter it follows, closing the levels inside; else it opens a level inside the item before, with its first number or
+    letter. Levels of one item are no lists; lines that fit nowhere are text.
+    """
+    if s.find("\n", lo, hi) < 0 and not MARKER.match(s, lo, hi):
         return []
-    marks = [m.group(1) for m in items]
-    if marks[0][:-1].isdigit():
-        numbers = [int(x[:-1]) for x in marks if x[:-1].isdigit()]
-        return [m.start() for m in items] if numbers == list(range(numbers[0], numbers[0] + len(marks))) else []
-    return [m.start() for m, x in zip(items, marks) if x == marks[0] or not x[:-1].isdigit()] if marks.count(marks[0]) >= 2 else []
+    levels: list[list[tuple[int, int]]] = []
+    stack: list[tuple[int, str, int, list[tuple[int, int]]]] = []
+    last = lo
+    for m in MARKER.finditer(s, lo, hi):
+        if m.start() > lo and s[m.start() - 1] != "\n":
+            continue
+        indent, mark = len(m.group(1).expandtabs(4)), m.group(2)
+        kind, value = (mark, 0) if len(mark) == 1 else ("0" + mark[-1], int(mark[:-1])) if mark[0].isdigit() else (("A" if mark[0].isupper() else "a") + mark[-1], ord(mark[0].lower()) - 96)
+        step = int(len(mark) > 1)
+        at = next((d for d in range(len(stack) - 1, -1, -1) if stack[d][1] == kind and abs(stack[d][0] - indent) <= 1 and stack[d][2] + step == value), None)
+        if at is not None:
+            del stack[at + 1 :]
+            stack[at] = (indent, kind, value, stack[at][3])
+        elif (stack and value <= 1) or m.start() == lo or _after_colon(s, last, m.start()):
+            # Where a level of this kind and indentation is open, a new list takes its place.
+            again = next((d for d, x in enumerate(stack) if x[1] == kind and abs(x[0] - indent) <= 1), len(stack))
+            del stack[again:]
+            stack.append((indent, kind, value, []))
+            levels.append(stack[-1][3])
+        else:
+            continue
+        stack[-1][3].append((m.start(2), m.end()))
+        last = m.end()
+    return sorted(x for level in levels if len(level) > 1 for x in level)
 
 
 def split_blocks(s: str) -> Iterator[tuple[int, int]]:
@@ -282,14 +354,13 @@ def units(s: str) -> list[tuple[int, int]]:
     """``(start, end)`` of each sentence unit of ``s``, in order."""
     out: list[tuple[int, int]] = []
     for lo, hi in split_blocks(s):
-        cuts = _list_starts(s, lo, hi)
-        edges = [lo, *(c for c in cuts if c > lo), hi]
-        for a, b in zip(edges, edges[1:]):
-            a = SPACE.match(s, a, b).end()
+        items = _list_items(s, lo, hi)
+        edges = [(lo, lo), *items] if not items or items[0][0] > lo else items
+        for (a, body), b in zip(edges, [*(x for x, _ in edges[1:]), hi]):
             while b > a and s[b - 1].isspace():
                 b -= 1
             if a < b:
-                _block_units(s, a, b, out)
+                _block_units(s, a, b, out, min(body, b))
     return out
 
 

@@ -38,8 +38,15 @@ def test_clusters_and_dates(spark):
 
 def test_removal(spark):
     s, a = frames(spark)
-    lines = B.repeated_lines(s)
+    lines = B.boilerplate_lines(s)
     left = B.strip_sentences(s, lines)
-    assert left.columns == s.columns and {r.row_id for r in left.collect()} == {1, 3, 5, 7, 9, 11, 102, 103, 104, 105}
-    got = {r.anchor_id: (r.source_sentence, r.report_content) for r in B.strip_reports(a, lines).collect()}
-    assert got == {1: (None, "Text.\n\nEnd."), 2: ("Share this 3 times", None), 3: (None, ""), 4: ("other", "")}
+    # The lines of the republished article (200 to 206) stay: they are in one cluster.
+    assert left.columns == s.columns and {r.row_id for r in left.collect()} == {1, 3, 5, 7, 9, 11, 102, 103, 104, 105, *range(200, 207)}
+    more = [(5, "a.example", "x", "Body text.\nShare this 2 now\nshare this 7\nMore."), (6, "a.example", "x", "share this 1\nshare this 2\n\nEnd."), (None, "a.example", "x", "share this 1"), (7, "a.example", "x", "share\nthis 12\n\nb")]
+    got = {r.anchor_id: (r.source_sentence, r.report_content) for r in B.strip_reports(a.unionByName(spark.createDataFrame(more, ANCHORS)), lines).collect()}
+    assert got[5] == ("x", "Body text.\nShare this 2 now\nshare this 7\nMore.")  # not these lines: other words
+    assert {k: got[k] for k in (1, 2, 3, 4)} == {1: (None, "Text.\n\nEnd."), 2: ("Share this 3 times", None), 3: (None, ""), 4: ("other", "")}
+    assert got[None] == ("x", "share this 1")
+    wrapped = [(1, "a.example", "y", "Body.\nShare this 2 times\nMore."), (2, "a.example", "y", "share\nthis 12 times\n\nb"), (3, "a.example", "y", "Share this 1 times\nshare this 2 times\n\nEnd.")]
+    got = {r.anchor_id: r.report_content for r in B.strip_reports(spark.createDataFrame(wrapped, ANCHORS), lines).collect()}
+    assert got == {1: "Body.\nMore.", 2: "b", 3: "End."}

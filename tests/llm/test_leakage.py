@@ -1,5 +1,3 @@
-import pytest
-
 from attestra.llm import leakage
 
 LONG = " ".join(f"word{i}" for i in range(20))
@@ -40,11 +38,19 @@ def test_patterns_in_blocks_give_the_same(spark, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in leakage.leaks(d, i).collect()} == {(a, b) for a, b, _ in whole}
 
 
-def test_empty_and_too_large(spark, monkeypatch):
+def test_join_of_runs_gives_the_same(spark):
+    items = [(1, LONG), (2, "Short one-liner!"), (3, None), (4, " .. "), (5, LONG), (6, "word5 word6 word7 word8 word9 word10 word11 word12 word13 word14 word15 word16 other"), (7, "İstanbul calls")]
+    docs = [(1, "intro " + LONG.upper().replace(" ", " - ") + " end " + LONG), (2, " ".join(LONG.split()[:11])), (3, "a short  ONE\nliner b"), (4, None), (5, " ".join(LONG.split()[3:17])), (6, "i stanbul calls"), (7, "x")]
+    d, i = frames(spark, docs, items)
+    plain = lambda df: {(r.doc_id, r.item_id): ([tuple(s) for s in r.spans], r.chars) for r in df.collect()}
+    scanned, joined = plain(leakage.leaks(d, i)), plain(leakage.leaks(d, i, broadcast_chars=0))
+    assert scanned == joined and {(1, 1), (5, 6), (3, 2), (6, 7)} <= set(scanned) and len(scanned[1, 1][0]) == 2
+    assert leakage.leaks(d, i.where("item_id = 4"), broadcast_chars=-1).count() == 0
+
+
+def test_empty(spark):
     d, i = frames(spark, [(1, LONG)], [(1, LONG)])
-    assert leakage.leaks(d.limit(0), i).count() == 0
-    assert leakage.leaks(d, i.limit(0)).columns == ["doc_id", "item_id", "spans", "chars"]
-    assert leakage.leaks(d, i.limit(0)).count() == 0
-    monkeypatch.setattr(leakage, "MAX_ITEM_CHARS", 10)
-    with pytest.raises(ValueError):
-        leakage.leaks(d, i)
+    for limit in (leakage.BROADCAST_CHARS, -1):
+        assert leakage.leaks(d.limit(0), i, broadcast_chars=limit).count() == 0
+        assert leakage.leaks(d, i.limit(0), broadcast_chars=limit).columns == ["doc_id", "item_id", "spans", "chars"]
+        assert leakage.leaks(d, i.limit(0), broadcast_chars=limit).count() == 0

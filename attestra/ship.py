@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -16,12 +18,14 @@ def ship(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if getattr(sc, "_attestra_shipped", False):
         return
-    path = os.path.join(tempfile.mkdtemp(prefix="attestra-"), "attestra.zip")
+    folder = tempfile.mkdtemp(prefix="attestra-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, "attestra.zip")
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        for folder, _, files in os.walk(ROOT):
+        for below, _, files in os.walk(ROOT):
             for name in sorted(files):
                 if name.endswith(".py"):
-                    full = os.path.join(folder, name)
+                    full = os.path.join(below, name)
                     z.write(full, os.path.join("attestra", os.path.relpath(full, ROOT)))
     sc.addPyFile(path)
     sc._attestra_shipped = True

@@ -49,23 +49,28 @@ def source_diverse(df: DataFrame, by: list[str], score: str, source: str, tie: s
 
 
 def evidence_edges(pool: DataFrame, by: str) -> DataFrame:
-    """Edges between the pool's evidence: ``by, a, b, kind, weight`` from ``id, key, dup, source, atoms, side``.
+    """Edges between the pool's evidence: ``by, a, b, kind, weight`` from ``id, key, dup, source, atoms, relation, side, direct, background``.
 
-    The pool is a top-k per event, so pairs per event are bounded by its square.
+    ``direct``: direct or partial; ``background``: as ``operators.chains`` has it. With a column ``place``, a sentence number,
+    those of one source at most three sentences apart are tied too. The pool is a top-k per event, so pairs per event are
+    bounded by its square.
     """
     x, y = pool.alias("x"), pool.alias("y")
     pairs = x.join(y, F.expr(f"x.{by} = y.{by} AND x.id < y.id"))
     shared = F.arrays_overlap("x.atoms", "y.atoms")
-    dup = (F.col("x.key") == F.col("y.key")) | F.coalesce((F.col("x.dup") != "") & (F.col("x.dup") == F.col("y.dup")), F.lit(False))
+    dup = F.coalesce((F.col("x.key") != "") & (F.col("x.key") == F.col("y.key")), F.lit(False)) | F.coalesce((F.col("x.dup") != "") & (F.col("x.dup") == F.col("y.dup")), F.lit(False))
     union, diff = F.size(F.array_union("x.atoms", "y.atoms")), F.size(F.array_union(F.array_except("x.atoms", "y.atoms"), F.array_except("y.atoms", "x.atoms")))
     sided = (F.col("x.side") != "U") & (F.col("y.side") != "U")
+    source = (F.col("x.source") == F.col("y.source")) & (F.col("x.source") != "")
     kinds = {
         "duplicate": (dup, F.lit(1.0)),
-        "same_source": (F.col("x.source") == F.col("y.source"), F.lit(0.45)),
-        "complements": (~dup & (F.size("x.atoms") > 0) & (F.size("y.atoms") > 0) & (diff > 0), 0.45 + 0.55 * diff / F.greatest(union, F.lit(1))),
-        "corroborates": (shared & sided & (F.col("x.side") == F.col("y.side")) & ~F.col("x.source").eqNullSafe(F.col("y.source")), F.lit(0.75)),
+        "complements": (~dup & (F.size("x.atoms") > 0) & (F.size("y.atoms") > 0) & (diff > 0) & (F.col("x.direct") | F.col("y.direct")), 0.45 + 0.55 * diff / F.greatest(union, F.lit(1))),
+        "corroborates": (shared & sided & (F.col("x.relation") == F.col("y.relation")) & ~source, F.lit(0.75)),
         "tension": (shared & sided & (F.col("x.side") != F.col("y.side")), F.lit(0.85)),
+        "bridge": (((F.col("x.background") & F.col("y.direct")) | (F.col("y.background") & F.col("x.direct"))) & (shared | source), F.lit(0.55)),
     }
+    if "place" in pool.columns:
+        kinds["same_source"] = (source & (F.abs(F.col("x.place") - F.col("y.place")) <= 3), F.lit(0.45))
     edges = F.array(*(F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(k).alias("kind"), w.cast("double").alias("weight"))) for k, (c, w) in kinds.items()))
     return pairs.select(f"x.{by}", F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.inline(F.filter(edges, lambda e: e.isNotNull())))
 

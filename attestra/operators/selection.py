@@ -370,51 +370,14 @@ def marginal_greedy(c: Pool, atoms: dict[str, float], weights: dict[str, float]
     return out
 
 
-def edge_weight(c: Pool, i: int, j: int) -> float:
-    """Tie between two evidences: duplicates pull apart, shared atoms from other sources and conflicts tie, new atoms complement."""
-    a, b = set(c["atoms"][i]), set(c["atoms"][j])
-    if c["key"][i] == c["key"][j] or (c["dup"][i] and c["dup"][i] == c["dup"][j]):
-        return -1.0
-    w = 0.0
-    sides = STATE_OF.get(c["relation"][i], "U"), STATE_OF.get(c["relation"][j], "U")
-    if a & b and "U" not in sides:
-        if sides[0] != sides[1]:
-            w += 0.85
-        elif c["source"][i] != c["source"][j]:
-            w += 0.75
-    if a and b and a != b:
-        w += 0.45 + 0.55 * len(a ^ b) / len(a | b)
-    return w
-
-
-def chain_score(c: Pool, chain: Sequence[int], total: int | None = None) -> float:
-    """Coverage, quality and ties of a set of evidence, whatever its order; ``total`` is the pool's number of atoms if known."""
-    total = max(1, len({x for atoms in c["atoms"] for x in atoms})) if total is None else total
-    cover = len({x for i in chain for x in c["atoms"][i]}) / total
-    ties = [edge_weight(c, i, j) for i, j in itertools.combinations(sorted(chain), 2)]
-    return round(cover + 0.5 * float(np.mean([c["quality"][i] for i in chain])) + 0.25 * (sum(ties) / len(ties) if ties else 0.0), 9)
-
-
-def beam_chains(c: Pool, beam: int = 12, depth: int = 5) -> list[tuple[float, list[int]]]:
-    """Best sets of evidence by beam search, best first."""
-    level = {(i,) for i in range(min(beam, len(c)))}
-    for _ in range(min(depth, len(c)) - 1):
-        wider = {tuple(sorted((*chain, i))) for chain in level for i in range(len(c)) if i not in chain}
-        level = set(sorted(wider, key=lambda x: (-chain_score(c, x), x))[:beam])
-    return sorted(((chain_score(c, x), list(x)) for x in level), key=lambda s: (-s[0], s[1]))
-
-
-def order_score(c: Pool, order: Sequence[int]) -> float:
-    """Of a reading order: early quality and ties between neighbours."""
-    early = sum(c["quality"][i] / (p + 1) for p, i in enumerate(order))
-    return round(early + 0.5 * sum(edge_weight(c, i, j) for i, j in zip(order, order[1:])), 9)
-
-
-def best_order(c: Pool, chosen: list[int]) -> list[int]:
-    """The best of all orders, up to six; longer sets are ordered by quality."""
-    if len(chosen) > 6:
-        return sorted(chosen, key=lambda i: (-c["quality"][i], i))
-    return list(min(itertools.permutations(sorted(chosen)), key=lambda o: (-order_score(c, o), o)))
+def budget_value(c: Pool, chain: Sequence[int], total: int) -> float:
+    """Coverage of ``total`` atoms, mean quality, and newly covered atoms between pairs that are no duplicates."""
+    atoms = [set(c["atoms"][i]) for i in chain]
+    ties = []
+    for (i, a), (j, b) in itertools.combinations(zip(chain, atoms), 2):
+        same = c["key"][i] == c["key"][j] or (c["dup"][i] and c["dup"][i] == c["dup"][j])
+        ties.append(-1.0 if same else 0.45 + 0.55 * len(a ^ b) / len(a | b) if a and b and a != b else 0.0)
+    return round(len(set().union(*atoms)) / total + 0.5 * float(np.mean([c["quality"][i] for i in chain])) + 0.25 * (sum(ties) / len(ties) if ties else 0.0), 9)
 
 
 def rule_steps(c: Pool, least: int = 5, most: int = 10) -> list[tuple[int, str]]:
@@ -456,13 +419,13 @@ def sufficiency_chain(c: Pool, atoms: dict[str, float], important: float = 0.5,
 
 
 def budgeted_chain(c: Pool, most: int = 8, enough: float = 0.8, stop: float = 0.1, stop_early: float = 0.05) -> list[tuple[int, float]]:
-    """Greedy on the gain of the chain score; stops at a gain below ``stop`` once ``enough`` is covered, else below ``stop_early``."""
+    """Greedy on the gain of ``budget_value``; stops at a gain below ``stop`` once ``enough`` is covered, else below ``stop_early``."""
     total = max(1, len({a for x in c["atoms"] for a in x}))
     out: list[tuple[int, float]] = []
     value = 0.0
     while len(out) < min(most, len(c)):
         chain = [i for i, _ in out]
-        gains = {i: round(chain_score(c, [*chain, i]) - value, 9) for i in range(len(c)) if i not in chain}
+        gains = {i: round(budget_value(c, [*chain, i], total) - value, 9) for i in range(len(c)) if i not in chain}
         best = max(gains, key=lambda i: (gains[i], -i))
         covered = len({a for i in chain for a in c["atoms"][i]}) / total
         if out and gains[best] < (stop if covered >= enough else stop_early):

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from attestra.functions import text as T
 from attestra.functions import vectors as V
-from attestra.operators import cover, pools
+from attestra.operators import chains, cover, pools
 from attestra.operators import selection as S
 from attestra.operators.ranking import top_k
 from attestra.plans.common import CONTENT, HYBRID_SQL, KEY
@@ -384,23 +386,28 @@ def g_factions(spark, d):
 SIDE = "CASE WHEN r = 'support' THEN 'S' WHEN r = 'refute' THEN 'R' WHEN r IN ('qualify', 'mixed') THEN 'Q' ELSE 'U' END"
 
 
-@query(f"""WITH p AS (SELECT event_id, candidate_id AS id, coalesce({KEY.format("text")}, '') AS key, coalesce(duplicate_group, '') AS dup, coalesce(source_group, '') AS source, list_distinct(coalesce(covered_atom_ids, [])) AS atoms, {SIDE} AS side FROM ({MAP_SQL.replace("FROM evidence_candidates)", f"FROM ({RANKED_CAND.replace(' AND text IS NOT NULL', '')}) WHERE rk <= 20)")})),
-    x AS (SELECT a.event_id, a.id AS a, b.id AS b, a.key = b.key OR (a.dup <> '' AND a.dup = b.dup) AS dup, a.source = b.source AS same, len(a.atoms) AS na, len(b.atoms) AS nb, len(list_intersect(a.atoms, b.atoms)) AS shared, a.side AS sa, b.side AS sb FROM p a JOIN p b ON a.event_id = b.event_id AND a.id < b.id),
+@query(f"""WITH p AS (SELECT event_id, candidate_id AS id, coalesce({KEY.format("text")}, '') AS key, coalesce(duplicate_group, '') AS dup, coalesce(source_group, '') AS source, list_distinct(coalesce(covered_atom_ids, [])) AS atoms, r AS relation, {SIDE} AS side,
+    coalesce(lower(map_directness), 'none') IN ('direct', 'partial') AS direct, r IN ('background', 'irrelevant') OR coalesce(lower(map_directness), 'none') IN ('context', 'none') AS back FROM ({MAP_SQL.replace("FROM evidence_candidates)", f"FROM ({RANKED_CAND.replace(' AND text IS NOT NULL', '')}) WHERE rk <= 20)")})),
+    x AS (SELECT a.event_id, a.id AS a, b.id AS b, (a.key <> '' AND a.key = b.key) OR (a.dup <> '' AND a.dup = b.dup) AS dup, a.source <> '' AND a.source = b.source AS same, len(a.atoms) AS na, len(b.atoms) AS nb, len(list_intersect(a.atoms, b.atoms)) AS shared, a.side AS sa, b.side AS sb, a.relation = b.relation AS agree, a.direct OR b.direct AS direct, (a.back AND b.direct) OR (b.back AND a.direct) AS bridge FROM p a JOIN p b ON a.event_id = b.event_id AND a.id < b.id),
     y AS (SELECT *, na + nb - shared AS uni, na + nb - 2 * shared AS diff FROM x)
-    SELECT event_id, a, b, 'duplicate' AS kind, 1.0 AS weight FROM y WHERE dup UNION ALL SELECT event_id, a, b, 'same_source', 0.45 FROM y WHERE same
-    UNION ALL SELECT event_id, a, b, 'complements', round(0.45 + 0.55 * diff / greatest(uni, 1), 6) FROM y WHERE NOT dup AND na > 0 AND nb > 0 AND diff > 0
-    UNION ALL SELECT event_id, a, b, 'corroborates', 0.75 FROM y WHERE shared > 0 AND sa <> 'U' AND sa = sb AND NOT same UNION ALL SELECT event_id, a, b, 'tension', 0.85 FROM y WHERE shared > 0 AND sa <> 'U' AND sb <> 'U' AND sa <> sb""")
+    SELECT event_id, a, b, 'duplicate' AS kind, 1.0 AS weight FROM y WHERE dup UNION ALL SELECT event_id, a, b, 'bridge', 0.55 FROM y WHERE bridge AND (shared > 0 OR same)
+    UNION ALL SELECT event_id, a, b, 'complements', round(0.45 + 0.55 * diff / greatest(uni, 1), 6) FROM y WHERE NOT dup AND na > 0 AND nb > 0 AND diff > 0 AND direct
+    UNION ALL SELECT event_id, a, b, 'corroborates', 0.75 FROM y WHERE shared > 0 AND sa <> 'U' AND agree AND NOT same UNION ALL SELECT event_id, a, b, 'tension', 0.85 FROM y WHERE shared > 0 AND sa <> 'U' AND sb <> 'U' AND sa <> sb""")
 def g_evidence_edges(spark, d):
+    """Ties of the twenty best; candidates have no sentence number, so none is tied as a neighbour within its source."""
     side = F.when(F.col("relation") == "support", "S").when(F.col("relation") == "refute", "R").when(F.col("relation").isin("qualify", "mixed"), "Q").otherwise("U")
-    pool = top_k(annotated(spark, d), ["event_id"], best_first("base", "candidate_id"), POOL).select("event_id", F.col("candidate_id").alias("id"), "key", "dup", "source", F.array_distinct("atoms").alias("atoms"), side.alias("side"))
+    name = F.col("directness_name")
+    background = F.col("relation").isin(*chains.BACKGROUND) | name.isin("context", "none")
+    pool = top_k(annotated(spark, d), ["event_id"], best_first("base", "candidate_id"), POOL).select("event_id", F.col("candidate_id").alias("id"), "key", "dup", "source", F.array_distinct("atoms").alias("atoms"), "relation", side.alias("side"), name.isin(*chains.DIRECT).alias("direct"), background.alias("background"))
     return pools.evidence_edges(pool, "event_id").withColumn("weight", F.round("weight", 6))
 
 
 @query()
 def g_beam_chains(spark, d):
     def choose(p, _):
-        score, chain = S.beam_chains(p)[0]
-        return [(n, p["candidate_id"][i], score) for n, i in enumerate(S.best_order(p, chain), 1)]
+        g = chains.Graph(p)
+        score, chain = g.beam()[0]
+        return [(n, p["candidate_id"][i], score) for n, i in enumerate(g.best_order(chain), 1)]
 
     return stepwise(spark, d, "position int, candidate_id long, score double", choose)
 
@@ -597,7 +604,7 @@ def g_anchor_sets(spark, d):
 def g_set_search(spark, d):
     """The best three by chain score, found greedily and by beam among all candidates, and exhaustively among the first fifteen."""
     def choose(p, atoms):
-        value = lambda s: S.chain_score(p, s, max(1, len(atoms)))
+        value = functools.cache(chains.Graph(p).score)
         found = {"greedy": S.greedy_set(len(p), 3, value), "beam": S.beam_set(len(p), 3, value, 4), "exhaustive": S.exhaustive_set(min(15, len(p)), 3, value)}
         return [(how, [int(p["candidate_id"][i]) for i in s], value(s)) for how, s in found.items()]
 

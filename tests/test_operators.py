@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from attestra.functions import text as T
 from attestra.functions import vectors as V
 from attestra.operators import chunking as C
-from attestra.operators import cover, joins, learners, metrics, pools, ranking, scoring
+from attestra.operators import chains, cover, joins, learners, metrics, pools, ranking, scoring
 from attestra.operators import selection as S
 
 
@@ -119,6 +119,31 @@ def test_resolving_chain():
         assert S.transition(state, relation, direct) == want
 
 
+def test_chains():
+    g = chains.Graph(candidates(POOL))
+    # By hand: base, coverage, direct, ties of the pair, less repeats and background.
+    assert g.score([1, 3]) == pytest.approx(0.45 * 0.7 + 0.35 + 0.15 + 0.12)
+    assert g.score([2, 1]) == pytest.approx(0.45 * 0.75 + 0.35 / 2 + 0.15 + 0.08 - 0.25 / 2)
+    assert g.score([1, 4]) == pytest.approx(0.45 * 0.65 + 0.35 / 2 + 0.15 + 0.08)
+    assert g.score([0, 1]) == pytest.approx(0.45 * 0.85 + 0.35 / 2 + 0.15 / 2 - 0.15 / 2)
+    assert {k: np.argwhere(np.triu(m)).tolist() for k, m in g.ties.items()} == {"duplicate": [[1, 2]], "complements": [[1, 3], [2, 3], [3, 4]], "corroborates": [[1, 2]], "tension": [[1, 4], [2, 4]], "bridge": []}
+    assert g.extensions([1], 9) == [2, 3, 4] and g.extensions([0], 2) == [1, 2]
+    assert g.beam(12, 2)[0][0] == max(g.score(p) for p in itertools.combinations(range(5), 2))
+    # Order of [1, 3]: both atoms new, early directness, atoms in order, complements side by side.
+    assert g.order_score([1, 3]) == pytest.approx(1 + 0.5 + 0.35 * 1.5 + 0.15 + 0.35) and g.order_score([3, 1]) == pytest.approx(1 + 0.5 + 0.35 * 1.5 - 0.35 + 0.35)
+    best = g.best_order([3, 1, 4, 0])
+    assert best[-1] == 0 and g.order_score(best) == max(g.order_score(o) for o in itertools.permutations([0, 1, 3, 4]))
+    lone = chains.Graph(candidates(POOL[:1]))
+    assert lone.beam() == [(pytest.approx(0.45 * 0.9 - 0.15), [0])] and lone.best_order([0]) == [0]
+
+
+def test_edges(spark):
+    rows = [("e", 1, "k1", "", "s", ["A"], "support", "S", True, False, 1), ("e", 2, "k2", "", "s", [], "background", "U", False, True, 4), ("e", 3, "k3", "", "t", ["A", "B"], "support", "S", False, True, 9), ("e", 4, "k4", "", "u", ["A"], "mixed", "Q", True, False, None)]
+    df = spark.createDataFrame(rows, "ev string, id int, key string, dup string, source string, atoms array<string>, relation string, side string, direct boolean, background boolean, place int")
+    got = {(r.a, r.b, r.kind): round(r.weight, 4) for r in pools.evidence_edges(df, "ev").collect()}
+    assert got == {(1, 2, "bridge"): 0.55, (1, 2, "same_source"): 0.45, (1, 3, "complements"): 0.725, (1, 3, "corroborates"): 0.75, (1, 3, "bridge"): 0.55, (1, 4, "tension"): 0.85, (3, 4, "complements"): 0.725, (3, 4, "tension"): 0.85, (3, 4, "bridge"): 0.55}
+
+
 def test_step_selectors():
     c = candidates(POOL)
     atoms = {"A1": 1.0, "A2": 1.0}
@@ -135,9 +160,6 @@ def test_step_selectors():
     sim = np.array([[1, 0.9, 0.1], [0.9, 1, 0.1], [0.1, 0.1, 1]])
     assert S.factions(sim, 0.5, 1, 5) == [[0, 1], [2]] and S.factions(sim, 0.95, 1, 2) == [[0, 1], [2]] and len(S.factions(sim, 0.05, 3, 5)) == 3
     assert S.one_per_faction([[0, 1], [2]], 3) == [0, 2, 1]
-    assert S.beam_chains(c, 12, 2)[0][0] == max(S.chain_score(c, p) for p in itertools.combinations(range(5), 2))
-    best = S.best_order(c, [1, 3, 4])
-    assert S.order_score(c, best) == max(S.order_score(c, o) for o in itertools.permutations([1, 3, 4]))
     assert S.sensitivity_gate(np.array([1.0, 0.9]), np.eye(2), 5)[0] == 0.7 and S.sensitivity_gate(np.ones(8), np.eye(8), 3)[0] == 0.7
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from attestra import registry
 from attestra.functions import text as T
-from attestra.operators import joins
+from attestra.operators import chains, joins
 from attestra.operators import selection as S
 from attestra.plans import selection_queries
 from attestra.plans.ranking_queries import ranked
@@ -149,9 +149,9 @@ def test_best_summed_set_of_all_candidates(spark, tmp_path):
 
 @pytest.fixture(scope="module")
 def annotated_pool(spark):
-    """Thirty candidates of an event; the late ones have all the quality."""
+    """Thirty candidates of an event; the late ones cover more atoms at nearly the same base score."""
     atoms = lambda i: [f"A{i % 7}"] if i < 13 else [f"A{i % 7}", f"B{i}"]
-    rows = [("e", i, f"k{i}", atoms(i), "support" if i % 2 else "refute", "direct", f"s{i}", "", 1 - i / 100, 0.1 if i < 13 else 0.9, 1.0, 1.0, 0.0, 0.5, 5) for i in range(30)]
+    rows = [("e", i, f"k{i}", atoms(i), "support" if i % 2 else "refute", "direct", f"s{i}", "", 1 - i / 1000, 0.1 if i < 13 else 0.9, 1.0, 1.0, 0.0, 0.5, 5) for i in range(30)]
     names = "event_id string, candidate_id long, key string, atoms array<string>, relation string, directness_name string, source string, dup string, base double, quality double, directness double, polarity double, background double, confidence double, cost int"
     return spark.createDataFrame(rows, names), S.Pool({k: [r[i] for r in rows] for i, k in enumerate(x.split()[0] for x in names.split(", "))})
 
@@ -160,7 +160,7 @@ def test_set_search_over_all_candidates(spark, annotated_pool, monkeypatch):
     df, p = annotated_pool
     monkeypatch.setattr(selection_queries, "annotated", lambda *_: df)
     got = {r.search: tuple(r.candidate_ids) for r in registry.queries()["g_set_search"](spark, "").collect()}
-    value = lambda s: S.chain_score(p, s)
+    value = chains.Graph(p).score
     assert got == {"greedy": S.greedy_set(30, 3, value), "beam": S.beam_set(30, 3, value, 4), "exhaustive": S.exhaustive_set(15, 3, value)}
     assert max(got["greedy"]) >= 8 and max(got["beam"]) >= 8
 
@@ -169,6 +169,6 @@ def test_beam_chains_extend_to_all_twenty(spark, annotated_pool, monkeypatch):
     df, p = annotated_pool
     monkeypatch.setattr(selection_queries, "annotated", lambda *_: df)
     got = registry.queries()["g_beam_chains"](spark, "").collect()
-    score, chain = S.beam_chains(p.head(20))[0]
+    score, chain = chains.Graph(p.head(20)).beam()[0]
     assert sorted(r.candidate_id for r in got) == sorted(chain) and max(chain) >= 12
     assert {r.score for r in got} == {score}

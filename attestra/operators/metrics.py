@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 EPS = 1e-12
 
@@ -152,11 +158,18 @@ def mcnemar(b: int, c: int) -> float:
 
 
 def mcnemar_column(b: Column, c: Column) -> Column:
-    """The same in Spark: the binomial tail as a sum of exponentials of log factorials, without leaving the JVM."""
-    n, low = b + c, F.least(b, c)
-    start = F.exp(-n * F.log(F.lit(2.0)))
-    step = F.struct(F.lit(0.0).alias("s"), start.alias("t"))
-    tail = F.aggregate(F.sequence(F.lit(0).cast("long"), low.cast("long")), step, lambda acc, i: F.struct((acc["s"] + acc["t"]).alias("s"), (acc["t"] * (n - i) / (i + 1)).alias("t")), lambda acc: acc["s"])
+    """The same in Spark, without leaving the JVM: the binomial tail summed by logarithms, so that no number of pairs underflows."""
+    n, low = (b + c).cast("double"), F.least(b, c)
+    first = -n * F.log(F.lit(2.0))
+    step = F.struct(first.alias("total"), first.alias("term"))
+
+    def add(acc: Column, i: Column) -> Column:
+        term = acc["term"] + F.log((n - i + 1) / i)
+        top = F.greatest(acc["total"], term)
+        return F.struct((top + F.log(F.exp(acc["total"] - top) + F.exp(term - top))).alias("total"), term.alias("term"))
+
+    terms = F.when(low > 0, F.sequence(F.lit(1).cast("long"), low.cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    tail = F.exp(F.aggregate(terms, step, add, lambda acc: acc["total"]))
     return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail))
 
 
@@ -168,21 +181,56 @@ def holm(df: DataFrame, by: list[str], p: str, tie: str, name: str = "adjusted")
     return ranked.withColumn(name, F.max(scaled).over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("__i", "__m")
 
 
-def bootstrap(df: DataFrame, by: list[str], unit: str, value: str, draws: int = 200, seed: int = 17, level: float = 0.95) -> DataFrame:
-    """Poisson bootstrap of a mean: each unit gets a weight per draw from a hash of seed, draw and unit.
+PRIME = (1 << 31) - 1
+
+
+def _draw_sums(df: DataFrame, by: list[str], unit: str, value: str, draws: int, seed: int, weigh: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """``by, draw, weight, total``: sums of each draw's weights and weighted values.
 
-    Weights are found where the rows are and summed per draw before the shuffle, so a draw costs one number per partition.
+    A unit's number in a draw is ``hash(seed, unit) * hash(seed, draw)`` modulo a prime, the hashes being the first 32 bits of
+    MD5. Each task adds up its rows for all draws at once, so a draw costs one row per group and task, and not one per row.
     """
-    u = (F.pmod(F.xxhash64(F.lit(seed), "__draw", unit), F.lit(1 << 30)) + 0.5) / (1 << 30)
-    weight, total = F.lit(0), math.exp(-1)
-    term, cut = math.exp(-1), math.exp(-1)
-    for k in range(1, 9):
-        weight = weight + F.when(u > cut, 1).otherwise(0)
+    factor = np.array([int(hashlib.md5(f"{seed}|{k}".encode()).hexdigest()[:8], 16) % PRIME for k in range(1, draws + 1)], np.int64)
+    h = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.col(unit).cast("string"))), 1, 8), 16, 10).cast("bigint") % PRIME
+    rows = df.where(F.col(value).isNotNull() & F.col(unit).isNotNull()).select(*by, h.alias("__h"), F.col(value).cast("double").alias("__v"))
+    out = StructType([*(rows.schema[c] for c in by), *StructType.fromDDL("draw int, weight double, total double").fields])
+    arrow = to_arrow_schema(out)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            first = pd.DataFrame({c: b.column(i).to_pandas() for i, c in enumerate(by)})
+            code, keys = pd.factorize(first.apply(tuple, axis=1)) if len(by) != 1 else pd.factorize(first.iloc[:, 0], use_na_sentinel=False)
+            at = pd.Series(np.arange(len(code))).groupby(code).first().to_numpy()
+            n, h, v = len(keys), b.column(len(by)).to_numpy(), b.column(len(by) + 1).to_numpy()
+            weight, total = np.zeros((draws, n)), np.zeros((draws, n))
+            for k in range(draws):
+                w = weigh(h * factor[k] % PRIME).astype(float)
+                weight[k], total[k] = np.bincount(code, w, n), np.bincount(code, w * v, n)
+            take = pa.array(np.tile(at, draws))
+            cols = [b.column(i).take(take).cast(arrow.field(i).type) for i in range(len(by))]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(np.repeat(np.arange(1, draws + 1), n), pa.int32()), pa.array(weight.ravel()), pa.array(total.ravel())], schema=arrow)
+
+    return rows.mapInArrow(run, out).groupBy(*by, "draw").agg(F.sum("weight").alias("weight"), F.sum("total").alias("total"))
+
+
+def poisson_limits(most: int = 8) -> list[int]:
+    """A number below the k-th limit, and not below the one before, has Poisson weight k (mean 1)."""
+    term = total = math.exp(-1)
+    out = []
+    for k in range(1, most + 1):
+        out.append(int(total * PRIME))
         term /= k
-        cut += term
-    del total
-    drawn = df.select(*by, unit, value, F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("__draw")).withColumn("__w", weight)
-    means = drawn.groupBy(*by, "__draw").agg((F.sum(F.col("__w") * F.col(value)) / F.nullif(F.sum("__w"), F.lit(0))).alias("m"))
+        total += term
+    return out
+
+
+def bootstrap(df: DataFrame, by: list[str], unit: str, value: str, draws: int = 200, seed: int = 17, level: float = 0.95) -> DataFrame:
+    """Poisson bootstrap of a mean: ``mean, low, high, se`` for each group; each unit has one weight in a draw, wherever its rows are."""
+    limits = np.array(poisson_limits())
+    sums = _draw_sums(df, by, unit, value, draws, seed, lambda x: np.searchsorted(limits, x, side="right"))
+    means = sums.select(*by, (F.col("total") / F.nullif(F.col("weight"), F.lit(0.0))).alias("m"))
     lo = (1 - level) / 2
     point = df.groupBy(*by).agg(F.avg(value).alias("mean"))
     return point.join(means.groupBy(*by).agg(F.percentile("m", lo).alias("low"), F.percentile("m", 1 - lo).alias("high"), F.stddev_samp("m").alias("se")), by)
@@ -190,11 +238,10 @@ def bootstrap(df: DataFrame, by: list[str], unit: str, value: str, draws: int =
 
 def permutation_test(df: DataFrame, by: list[str], unit: str, delta: str, draws: int = 200, seed: int = 23) -> DataFrame:
     """Paired sign-flip test of a mean difference: ``(1 + as extreme) / (1 + draws)``."""
-    sign = F.when(F.pmod(F.xxhash64(F.lit(seed), "__draw", unit), F.lit(2)) == 0, 1).otherwise(-1)
-    drawn = df.select(*by, unit, delta, F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("__draw")).groupBy(*by, "__draw").agg(F.sum(sign * F.col(delta)).alias("s"))
-    seen = df.groupBy(*by).agg(F.sum(delta).alias("observed"), F.count("*").alias("n"))
-    extreme = F.count_if(F.abs("s") >= F.abs("observed") - EPS)
-    return drawn.join(seen, by).groupBy(*by).agg((F.first("observed") / F.first("n")).alias("mean"), ((1 + extreme) / (1 + draws)).alias("p"))
+    sums = _draw_sums(df, by, unit, delta, draws, seed, lambda x: 1 - 2 * (x % 2))
+    seen = df.groupBy(*by).agg(F.sum(delta).alias("observed"), F.count(delta).alias("n"))
+    extreme = F.count_if(F.abs("total") >= F.abs("observed") - EPS)
+    return sums.join(seen, by).groupBy(*by).agg((F.first("observed") / F.first("n")).alias("mean"), ((1 + extreme) / (1 + draws)).alias("p"))
 
 
 def dz(values: Sequence[float]) -> float:

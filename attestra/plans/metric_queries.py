@@ -281,17 +281,29 @@ def a_mcnemar_counts(spark, d):
     return arm_pairs(spark, d).groupBy("pair").agg(F.count("*").alias("events"), F.count_if(F.expr("xo > yo")).alias("b"), F.count_if(F.expr("xo < yo")).alias("c"))
 
 
-@query()
+@query(f"""{PRED_SQL}, {ARM_PAIRS}, t AS (SELECT pair, count(*) AS events, count(*) FILTER (xo > yo) AS b, count(*) FILTER (xo < yo) AS c FROM ab GROUP BY pair)
+    SELECT *, round(CASE WHEN b + c = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(0, least(b, c) + 1), lambda k: exp(lgamma(b + c + 1) - lgamma(k + 1) - lgamma(b + c - k + 1) - (b + c) * ln(2.0))))) END, 9) AS p FROM t""")
 def a_mcnemar(spark, d):
     return a_mcnemar_counts(spark, d).withColumn("p", F.round(M.mcnemar_column(F.col("b"), F.col("c")), 9))
 
 
-@query()
+def _draws_sql(seed: int) -> str:
+    """Numbers of each pair's events in 200 draws."""
+    h = "('0x' || substr(md5('{0}|' || {1}), 1, 8))::BIGINT % 2147483647"
+    return f"""{PRED_SQL}, {ARM_PAIRS}, d AS (SELECT k, {h.format(seed, "k")} AS f FROM range(1, 201) t(k)), u AS (SELECT pair, k, delta, (({h.format(seed, "event_id")}) * f) % 2147483647 AS x FROM ab, d WHERE delta IS NOT NULL)"""
+
+
+_WEIGHT = " + ".join(f"(x >= {limit})::INT" for limit in M.poisson_limits())
+
+
+@query(f"""{_draws_sql(17)}, m AS (SELECT pair, k, sum(({_WEIGHT}) * delta) / nullif(sum({_WEIGHT}), 0) AS m FROM u GROUP BY 1, 2), s AS (SELECT pair, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high, stddev_samp(m) AS se FROM m GROUP BY 1)
+    SELECT pair, round(mean, 6) AS mean, round(low, 6) AS low, round(high, 6) AS high, round(se, 6) AS se FROM (SELECT pair, avg(delta) AS mean FROM ab GROUP BY 1) JOIN s USING (pair)""")
 def a_bootstrap(spark, d):
     return r6(M.bootstrap(arm_pairs(spark, d), ["pair"], "event_id", "delta"), "mean", "low", "high", "se")
 
 
-@query()
+@query(f"""{_draws_sql(23)}, t AS (SELECT pair, k, sum((1 - 2 * (x % 2)) * delta) AS s FROM u GROUP BY 1, 2), o AS (SELECT pair, sum(delta) AS observed, count(delta) AS n FROM ab GROUP BY 1)
+    SELECT pair, round(any_value(observed) / any_value(n), 6) AS mean, round((1 + count(*) FILTER (abs(s) >= abs(observed) - 1e-12)) / 201, 6) AS p FROM t JOIN o USING (pair) GROUP BY pair""")
 def a_permutation(spark, d):
     return r6(M.permutation_test(arm_pairs(spark, d), ["pair"], "event_id", "delta"), "mean", "p")
 

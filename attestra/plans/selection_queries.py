@@ -296,7 +296,7 @@ def stepwise(spark, d, schema: str, choose, pool: int | None = POOL):
 
 
 #: The annotated pool of an event, best twenty by base score.
-POOL_SQL = f"""a AS (SELECT event_id, candidate_id, coalesce({KEY.format("text")}, '') AS key, coalesce(base_score, 0.0) AS base, coalesce(evidence_map_quality_score, 0.0) AS quality, list_sort(list_distinct(coalesce(covered_atom_ids, []))) AS atoms, r AS relation, directness, polarity, background, coalesce(source_group, '') AS source, coalesce(duplicate_group, '') AS dup FROM ({MAP_SQL}) WHERE event_id IS NOT NULL),
+POOL_SQL = f"""a AS (SELECT event_id, candidate_id, coalesce({KEY.format("text")}, '') AS key, coalesce(base_score, 0.0) AS base, coalesce(evidence_map_quality_score, 0.0) AS quality, list_sort(list_distinct(coalesce(covered_atom_ids, []))) AS atoms, r AS relation, directness, polarity, background, confidence, coalesce(lower(map_directness), 'none') AS direct_name, len({CONTENT.format("coalesce(text, '')")}) AS cost, coalesce(source_group, '') AS source, coalesce(duplicate_group, '') AS dup FROM ({MAP_SQL}) WHERE event_id IS NOT NULL),
     pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY base DESC, candidate_id) AS rk FROM a) WHERE rk <= 20)"""
 _NEW = "len(list_filter(c.atoms, lambda x: NOT list_contains(p.covered, x)))"
 _SLOT = f"c.base + 0.2 * c.directness + 0.1 * c.polarity - 0.2 * c.background + 0.35 * {_NEW} - 0.15 * (CASE WHEN c.dup = '' THEN 0 ELSE len(list_filter(p.dups, lambda x: x = c.dup)) END) - 0.08 * len(list_filter(p.sources, lambda x: x = c.source))"
@@ -323,7 +323,11 @@ def g_set_cover(spark, d):
     return stepwise(spark, d, "step int, candidate_id long, gain double", lambda p, a: [(n, p["candidate_id"][i], g) for n, (i, g) in enumerate(S.set_cover(list(p["atoms"]), a, 5), 1)])
 
 
-@query()
+@query(f"""WITH RECURSIVE {POOL_SQL}, {greedy_sql(5, _NEW, {"covered": ("[]::VARCHAR[]", "c.atoms")}, "v > 0")},
+    own AS (SELECT event_id, list(struct_pack(id := candidate_id, atoms := atoms) ORDER BY step) AS own FROM steps JOIN pool USING (event_id, rk) GROUP BY 1),
+    cut AS (SELECT event_id, own, len(own) AS i, range(1, len(own) + 1) AS keep FROM own UNION ALL
+    SELECT event_id, own, i - 1, CASE WHEN list_has_all(flatten(list_transform(list_filter(keep, lambda j: j <> i), lambda j: own[j].atoms)), own[i].atoms) THEN list_filter(keep, lambda j: j <> i) ELSE keep END FROM cut WHERE i > 0)
+    SELECT event_id, CAST(step AS INT) AS step, own[step].id AS candidate_id, list_contains(keep, step) AS minimal FROM (SELECT *, unnest(range(1, len(own) + 1)) AS step FROM cut WHERE i = 0)""")
 def g_minimal_cover(spark, d):
     """The cover without those that the others make needless."""
     def choose(p, atoms):
@@ -350,7 +354,8 @@ def g_bucket_masses(spark, d):
     return pools.amplified_buckets(x, ["event_id"], "bucket", "m", "source_group").withColumn("mass", F.round("mass", 6))
 
 
-@query()
+@query(f"""WITH {POOL_SQL}, b AS (SELECT *, CAST(least(10, 1 + floor(10 * base)) AS INT) AS bucket FROM pool), m AS (SELECT event_id, candidate_id, bucket, pow(sum(confidence) OVER (PARTITION BY event_id, bucket) + 0.1, 1.5) / row_number() OVER (PARTITION BY event_id, bucket ORDER BY rk) AS share FROM b)
+    SELECT event_id, slot, candidate_id, bucket FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY round(share, 9) DESC, bucket) AS slot FROM m) WHERE slot <= 5""")
 def g_bucket_slots(spark, d):
     """Slots go to the bucket of greatest mass per (1 + slots it has); within it by rank."""
     def choose(p, _):
@@ -423,7 +428,16 @@ def g_rule_steps(spark, d):
     return stepwise(spark, d, "step int, candidate_id long, rule string", lambda p, a: [(n, p["candidate_id"][i], r) for n, (i, r) in enumerate(S.rule_steps(p), 1)])
 
 
-@query()
+_ATOMS = "atoms_of AS (SELECT event_id, count(DISTINCT x) AS atoms FROM (SELECT event_id, unnest(atoms) AS x FROM pool) GROUP BY 1)"
+
+
+@query(f"""WITH RECURSIVE {POOL_SQL}, {_ATOMS}, {greedy_sql(10, _NEW, {"covered": ("[]::VARCHAR[]", "c.atoms")}, "v > 0")},
+    s AS (SELECT steps.event_id, step, rk, v, sum(v) OVER (PARTITION BY steps.event_id ORDER BY step) / atoms_of.atoms AS share, (sum(v) OVER (PARTITION BY steps.event_id ORDER BY step) - v) / atoms_of.atoms AS before FROM steps JOIN atoms_of USING (event_id)),
+    side AS (SELECT *, CASE WHEN relation = 'support' THEN 'S' WHEN relation = 'refute' THEN 'R' ELSE '' END AS side FROM pool), taken AS (SELECT s.event_id, s.step, s.rk, candidate_id, share, side FROM s JOIN side USING (event_id, rk) WHERE before < 0.8),
+    sum AS (SELECT event_id, max(step) AS n, max(share) AS share, bool_or(side = 'S') AS has_s, bool_or(side = 'R') AS has_r FROM taken GROUP BY 1),
+    more AS (SELECT sum.event_id, arg_max(candidate_id, struct_pack(q := round(quality, 9), r := -rk)) AS candidate_id FROM sum JOIN side USING (event_id) WHERE (has_s OR has_r) AND ((side = 'S' AND NOT has_s) OR (side = 'R' AND NOT has_r)) AND NOT EXISTS (SELECT 1 FROM taken WHERE taken.event_id = sum.event_id AND taken.rk = side.rk) GROUP BY 1),
+    flag AS (SELECT sum.event_id, n, round(share, 9) AS covered, (more.candidate_id IS NOT NULL) OR (has_s AND has_r) AS contradicted, more.candidate_id AS extra FROM sum LEFT JOIN more USING (event_id))
+    SELECT event_id, CAST(step AS INT) AS step, candidate_id, covered, contradicted FROM taken JOIN flag USING (event_id) UNION ALL SELECT event_id, CAST(n + 1 AS INT), extra, covered, contradicted FROM flag WHERE extra IS NOT NULL AND n < 10""")
 def g_sufficiency(spark, d):
     def choose(p, atoms):
         chosen, share, against = S.sufficiency_chain(p, atoms)
@@ -442,21 +456,26 @@ def g_atom_order(spark, d):
     return stepwise(spark, d, "step int, candidate_id long, atom string, role string", lambda p, a: [(n, p["candidate_id"][i], x, r) for n, (i, x, r) in enumerate(S.atom_order(p, list(a)), 1)])
 
 
-@query()
-def g_resolving_chain(spark, d):
-    def choose(p, atoms):
-        steps, _, reason = S.resolving_chain(p, atoms)
-        return [(n, p["candidate_id"][s.at], s.atom, s.step, s.before, s.after, s.utility, reason) for n, s in enumerate(steps, 1)]
-
-    return stepwise(spark, d, "step int, candidate_id long, atom string, op string, before string, after string, utility double, stop string", choose)
+#: An atom's state from what was noted of it: qualified once is qualified for good, both sides are a conflict, else the side.
+_KNOWN = lambda x, side: f"list_contains(p.seen, {x} || ':{side}')"
+_OPEN = f"NOT {_KNOWN('x', 'S')} AND NOT {_KNOWN('x', 'R')} AND NOT {_KNOWN('x', 'Q')}"
+_ONE_SIDE = lambda a, b: f"{_KNOWN('x', a)} AND NOT {_KNOWN('x', b)} AND NOT {_KNOWN('x', 'Q')}"
+_COUNT = lambda condition: f"len(list_filter(c.atoms, lambda x: {condition}))"
+_OPENS = f"CASE WHEN {_SIDE} = 'U' THEN 0 ELSE {_COUNT(_OPEN)} END"
+_CONTRASTS = f"CASE {_SIDE} WHEN 'Q' THEN {_COUNT(f'NOT ({_OPEN})')} WHEN 'S' THEN {_COUNT(_ONE_SIDE('R', 'S'))} WHEN 'R' THEN {_COUNT(_ONE_SIDE('S', 'R'))} ELSE 0 END"
+_AGREES = f"CASE {_SIDE} WHEN 'S' THEN {_COUNT(_ONE_SIDE('S', 'R'))} WHEN 'R' THEN {_COUNT(_ONE_SIDE('R', 'S'))} ELSE 0 END"
+_HELD_SOURCE = "0.2 * (CASE WHEN list_contains(p.sources, c.source) THEN 0 ELSE 1 END) - 0.8 * (CASE WHEN c.dup <> '' AND list_contains(p.dups, c.dup) THEN 1 ELSE 0 END)"
+_TOTAL = "greatest(1, coalesce((SELECT atoms FROM atoms_of WHERE atoms_of.event_id = p.event_id), 1))"
+_MARGINAL = f"({_NEW} + ({_OPENS}) + 0.6 * ({_CONTRASTS}) + 0.3 * ({_AGREES})) / {_TOTAL} + 0.5 * c.directness + 0.4 * c.polarity + 0.4 * c.quality + 0.2 * c.confidence + 0.3 * c.base + {_HELD_SOURCE} - 0.5 * c.background"
+_MARGINAL_STATE = {"covered": ("[]::VARCHAR[]", "c.atoms"), "seen": ("[]::VARCHAR[]", f"CASE WHEN {_SIDE} = 'U' THEN [] ELSE list_transform(c.atoms, lambda x: x || ':' || {_SIDE}) END"), "sources": ("[]::VARCHAR[]", "[c.source]"), "dups": ("[]::VARCHAR[]", "[c.dup]")}
 
 
-@query()
+@query(f"""WITH RECURSIVE {POOL_SQL}, {_ATOMS}, {greedy_sql(8, _MARGINAL, _MARGINAL_STATE, "(n < 1 OR v > 0.6)")} SELECT event_id, CAST(step AS INT) AS step, candidate_id, v AS utility FROM steps JOIN pool USING (event_id, rk)""")
 def g_marginal(spark, d):
     return stepwise(spark, d, "step int, candidate_id long, utility double", lambda p, a: [(n, p["candidate_id"][i], u) for n, (i, u) in enumerate(S.marginal_greedy(p, a), 1)])
 
 
-@query()
+@query(f"""WITH RECURSIVE {POOL_SQL}, {greedy_sql(8, f"0.3 * c.base + {_HELD_SOURCE}", {k: _MARGINAL_STATE[k] for k in ("sources", "dups")}, "(n < 1 OR v > 0.2)")} SELECT event_id, CAST(step AS INT) AS step, candidate_id, v AS utility FROM steps JOIN pool USING (event_id, rk)""")
 def g_marginal_no_map(spark, d):
     """The marginal selector without the evidence map's features."""
     w = {k: v for k, v in S.MARGINAL.items() if k in ("base", "new_source", "duplicate")}
@@ -466,6 +485,31 @@ def g_marginal_no_map(spark, d):
 _MARKS = "CASE WHEN c.dup = '' THEN ['k:' || c.key] ELSE ['k:' || c.key, 'd:' || c.dup] END"
 
 
+_WEAK = "c.direct_name IN ('none', 'context', '')"
+_LEAST = lambda condition: f"list_min(list_filter(c.atoms, lambda x: {condition}))"
+_OPPOSED = f"CASE {_SIDE} WHEN 'Q' THEN {_LEAST(f'NOT ({_OPEN})')} WHEN 'S' THEN {_LEAST(_ONE_SIDE('R', 'S'))} WHEN 'R' THEN {_LEAST(_ONE_SIDE('S', 'R'))} END"
+_SAME = f"CASE {_SIDE} WHEN 'S' THEN {_LEAST(_ONE_SIDE('S', 'R'))} WHEN 'R' THEN {_LEAST(_ONE_SIDE('R', 'S'))} END"
+#: The best step that a candidate allows: its value, and the least of the atoms that allow it.
+_STEP = f"CASE WHEN {_SIDE} = 'U' THEN CASE WHEN {_WEAK} AND len(c.atoms) > 0 THEN 10 END WHEN {_OPENS} > 0 THEN 100 WHEN ({_OPPOSED}) IS NOT NULL THEN 80 WHEN ({_SAME}) IS NOT NULL THEN 35 END"
+_AT = f"CASE WHEN {_SIDE} = 'U' THEN list_min(c.atoms) WHEN {_OPENS} > 0 THEN {_LEAST(_OPEN)} ELSE coalesce({_OPPOSED}, {_SAME}) END"
+_STATE = "CASE WHEN list_contains(p.seen, a || ':Q') THEN 'Q' WHEN list_contains(p.seen, a || ':S') AND list_contains(p.seen, a || ':R') THEN 'C' WHEN list_contains(p.seen, a || ':S') THEN 'S' WHEN list_contains(p.seen, a || ':R') THEN 'R' ELSE 'U' END"
+_RESOLVED = f"len(list_distinct(list_transform(p.seen, lambda x: split_part(x, ':', 1)))) >= 0.8 * {_TOTAL}"
+_CHAIN = f"CASE WHEN {_RESOLVED} OR list_has_any(p.marks, {_MARKS}) THEN -1 ELSE coalesce(({_STEP}) + 10 + c.quality + 0.1 * c.base, -1) END"
+_NOTE = f"[({_STEP}) || '|' || ({_AT}) || '|' || list_transform([{_AT}], lambda a: {_STATE})[1] || '|' || {_SIDE}]"
+
+
+@query(f"""WITH RECURSIVE {POOL_SQL}, {_ATOMS}, {greedy_sql(10, _CHAIN, {"seen": ("[]::VARCHAR[]", f"CASE WHEN {_SIDE} = 'U' THEN [] ELSE [({_AT}) || ':' || {_SIDE}] END"), "marks": ("[]::VARCHAR[]", _MARKS), "notes": ("[]::VARCHAR[]", _NOTE)}, "v >= 0").replace("arg_max(gains, n) AS gains FROM", "arg_max(gains, n) AS gains, arg_max(notes, n) AS notes, arg_max(seen, n) AS seen FROM")},
+    y AS (SELECT steps.event_id, step, candidate_id, v, string_split(notes[step], '|') AS y, CASE WHEN len(done.chosen) >= 10 THEN 'max_steps' WHEN len(list_distinct(list_transform(seen, lambda x: split_part(x, ':', 1)))) >= 0.8 * atoms_of.atoms THEN 'target_resolved' ELSE 'no_transition' END AS stop FROM steps JOIN pool USING (event_id, rk) JOIN done USING (event_id) JOIN atoms_of USING (event_id))
+    SELECT event_id, CAST(step AS INT) AS step, candidate_id, y[2] AS atom, CASE y[1] WHEN '100' THEN 'OPEN' WHEN '80' THEN 'CONTRAST' WHEN '35' THEN 'CORROBORATE' ELSE 'BRIDGE' END AS op, y[3] AS before,
+    CASE WHEN y[1] = '10' THEN y[3] WHEN y[1] = '80' AND y[4] <> 'Q' THEN 'C' ELSE y[4] END AS after, v AS utility, stop FROM y""")
+def g_resolving_chain(spark, d):
+    def choose(p, atoms):
+        steps, _, reason = S.resolving_chain(p, atoms)
+        return [(n, p["candidate_id"][s.at], s.atom, s.step, s.before, s.after, s.utility, reason) for n, s in enumerate(steps, 1)]
+
+    return stepwise(spark, d, "step int, candidate_id long, atom string, op string, before string, after string, utility double, stop string", choose)
+
+
 @query(f"""WITH RECURSIVE {POOL_SQL}, {greedy_sql(5, f"CASE WHEN list_has_any(p.marks, {_MARKS}) THEN -1 ELSE c.quality END", {"marks": ("[]::VARCHAR[]", _MARKS)}, "v >= 0")} SELECT event_id, step, candidate_id FROM steps JOIN pool USING (event_id, rk)""")
 def g_map_quality_greedy(spark, d):
     """Best map quality first, one of each duplicate group and text."""
@@ -568,7 +612,10 @@ def g_prompt_policies(spark, d):
     return t.groupBy("event_id").agg(F.count_if(F.col("rank") <= 5).alias("fixed_k"), F.greatest(F.least(F.count("*"), F.lit(2)), fits).alias("min_budget"), fits.alias("budget"))
 
 
-@query()
+@query(f"""WITH {POOL_SQL}, t AS (SELECT event_id, rk, sum(cost) OVER (PARTITION BY event_id ORDER BY rk) AS total, len(list_distinct(flatten(list(atoms) OVER (PARTITION BY event_id ORDER BY rk)))) AS state FROM pool),
+    up AS (SELECT event_id, rk, rk - lag(rk) OVER (PARTITION BY event_id ORDER BY rk) AS gap FROM (SELECT *, lag(state) OVER (PARTITION BY event_id ORDER BY rk) AS before FROM t) WHERE total <= 120 AND (before IS NULL OR state > before)),
+    kept AS (SELECT event_id, max(rk) AS kept FROM (SELECT *, max(gap) OVER (PARTITION BY event_id ORDER BY rk) AS worst FROM up) WHERE coalesce(worst, 0) <= 3 GROUP BY 1)
+    SELECT event_id, CAST(coalesce(kept, 0) AS INT) AS kept FROM (SELECT DISTINCT event_id FROM pool) LEFT JOIN kept USING (event_id)""")
 def g_state_budget(spark, d):
     """Prefix kept by a token budget that ends when the atoms covered stop growing."""
     def choose(p, _):

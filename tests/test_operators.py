@@ -211,6 +211,10 @@ def test_metrics(spark):
     a = metrics.agreement(k, ["g"], 2).first()
     assert a.agreement == 1 and a.kappa is None and a.ac1 == 1
     d = spark.createDataFrame([("g", i, 1.0 if i % 10 else -1.0) for i in range(200)], "g string, u int, x double")
+    for b_, c_ in ((0, 0), (3, 9), (5000, 5100)):
+        n = b_ + c_
+        want = min(1.0, 2 * sum(math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) - n * math.log(2)) for k in range(min(b_, c_) + 1))) if n else 1.0
+        assert spark.range(1).select(metrics.mcnemar_column(F.lit(b_), F.lit(c_))).first()[0] == pytest.approx(want)
     b = metrics.bootstrap(d, ["g"], "u", "x", 200).first()
     assert b.low < b.mean < b.high and 0.02 < b.se < 0.08 and b.mean == pytest.approx(0.8)
     assert metrics.permutation_test(d, ["g"], "u", "x", 100).first().p == pytest.approx(1 / 101)

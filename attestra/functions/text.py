@@ -60,10 +60,10 @@ def canonical_key(c: Column | str) -> Column:
 def split_sentences(c: Column | str) -> Column:
     """Array of sentences: cut after an end mark before white space and a capital or digit, abbreviations kept whole."""
     text = clean_text(c)
-    for a in ABBREVIATIONS:
-        parts = [p for p in a.split(".") if p]
-        pattern = r"(?i)" + "".join(f"({p})\\." for p in parts)
-        text = F.regexp_replace(text, pattern, "".join(f"${i}\x01" for i in range(1, len(parts) + 1)))
+    # One pass that stops at full stops only: one that ends an abbreviation, or stands within it, is marked.
+    whole = [a.replace(".", r"\.") for a in ABBREVIATIONS]
+    inside = [rf"(?<={a.split('.')[0]}\.)(?={a.split('.')[1]}\.)" for a in ABBREVIATIONS if a.count(".") == 2]
+    text = F.regexp_replace(text, rf"(?i)\.(?:(?<={'|'.join(whole)})|{'|'.join(inside)})", "\x01")
     pieces = F.split(text, r"(?<=[.!?])\s+(?=[\"'(\[]*[A-Z0-9])")
     return F.filter(F.transform(pieces, lambda p: F.trim(F.translate(p, "\x01", "."))), lambda p: p != "")
 

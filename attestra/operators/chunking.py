@@ -24,21 +24,33 @@ def explode_sentences(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     return df.select(*keys, F.posexplode(split_sentences(text)).alias("idx", "sent"))
 
 
-def raw_chunks(df: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """``keys, chunk, sentences``: the whole document, its sentences joined by spaces; documents without a sentence are left out."""
-    parts = df.select(*keys, split_sentences(text).alias("s")).where("size(s) > 0")
-    return parts.select(*keys, F.array_join("s", " ").alias("chunk"), F.size("s").alias("sentences"))
+def sentence_arrays(df: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """``keys, s``: the sentences of each document in order; those without a sentence are left out.
 
+    The array of one is exploded so that a text is split once, however often its sentences are used above.
+    """
+    return df.select(*keys, F.explode(F.array(split_sentences(text))).alias("s")).where("size(s) > 0")
+
+
+def raw_chunks(arrays: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, chunk, sentences``: the whole document, its sentences joined by spaces."""
+    return arrays.select(*keys, F.array_join("s", " ").alias("chunk"), F.size("s").alias("sentences"))
 
-def context_windows(df: DataFrame, keys: list[str], text: str, k: int = 1) -> DataFrame:
+
+def context_windows(arrays: DataFrame, keys: list[str], k: int = 1) -> DataFrame:
     """``keys, idx, chunk, members``: each sentence with k before and after it; one repeated in the window, but for case and spaces, is kept once."""
-    each = df.select(*keys, split_sentences(text).alias("s")).withColumn("k", F.transform("s", canonical_key))
-    at = each.select(*keys, "s", "k", F.posexplode("s").alias("idx", "sent"))
-    near = F.sequence(F.greatest(F.lit(0), F.col("idx") - k), F.least(F.size("s") - 1, F.col("idx") + k))
-    first = F.greatest(F.lit(0), F.col("idx") - k)
-    # A sentence stays if the first place of its key within the window is its own.
-    kept = F.filter(near, lambda j: F.array_position(F.slice("k", first + 1, j - first + 1), F.get("k", j)) == j - first + 1)
-    return at.withColumn("members", kept).select(*keys, "idx", F.array_join(F.transform("members", lambda j: F.get("s", j)), " ").alias("chunk"), "members")
+    keyed = arrays.select(*keys, "s", F.transform("s", canonical_key).alias("__k"))
+
+    def members(i: Column) -> Column:
+        # A sentence stays if the first place of its key within the window is its own.
+        first = F.greatest(F.lit(0), i - k)
+        near = F.sequence(first, F.least(F.size("s") - 1, i + k))
+        return F.filter(near, lambda j: F.array_position(F.slice("__k", first + 1, j - first + 1), F.get("__k", j)) == j - first + 1)
+
+    # Windows are made in the document's row, so that its arrays aren't copied for each sentence.
+    placed = keyed.select(*keys, "s", F.transform("s", lambda x, i: members(i)).alias("__m"))
+    chunk = lambda m: F.array_join(F.transform(m, lambda j: F.get("s", j)), " ")
+    return placed.select(*keys, F.inline(F.transform("__m", lambda m, i: F.struct(i.alias("idx"), chunk(m).alias("chunk"), m.alias("members")))))
 
 
 def islands(df: DataFrame, keys: list[str], idx: str, starts: Column, name: str = "chunk") -> DataFrame:
@@ -143,7 +155,7 @@ def windowed_evidence(gold: DataFrame, corpus: DataFrame, doc: str, text: str, w
 
     ``gold``: ``id, doc, sent_idx``; ``corpus``: ``doc, text``, one row per document. Rows whose document is missing or has no sentence have null evidence.
     """
-    sents = corpus.select(F.col(doc), split_sentences(text).alias("s")).where("size(s) > 0")
+    sents = sentence_arrays(corpus, [doc], text)
     last = F.size("s") - 1
     at = F.least(F.col("sent_idx").cast("int"), last)
     first = F.greatest(F.lit(0), at - window)

@@ -20,6 +20,10 @@ def doc_sentences(spark, d):
     return C.explode_sentences(table(spark, d, "documents").where("text IS NOT NULL"), ["doc_id"], "text")
 
 
+def sentence_arrays(spark, d, keys=("doc_id",)):
+    return C.sentence_arrays(table(spark, d, "documents").where("text IS NOT NULL"), list(keys), "text")
+
+
 @query(SENTS)
 def c_sentence(spark, d):
     return doc_sentences(spark, d)
@@ -27,13 +31,13 @@ def c_sentence(spark, d):
 
 @query(f"SELECT doc_id, string_agg(sent, ' ' ORDER BY idx) AS chunk, count(*) AS sentences FROM ({SENTS}) GROUP BY doc_id")
 def c_raw(spark, d):
-    return C.raw_chunks(table(spark, d, "documents").where("text IS NOT NULL"), ["doc_id"], "text")
+    return C.raw_chunks(sentence_arrays(spark, d), ["doc_id"])
 
 
 @query(f"""WITH s AS (SELECT *, {KEY.format("sent")} AS key FROM ({SENTS})), w AS (SELECT a.doc_id, a.idx, b.idx AS j, b.sent, row_number() OVER (PARTITION BY a.doc_id, a.idx, b.key ORDER BY b.idx) AS n
     FROM s a JOIN s b ON a.doc_id = b.doc_id AND b.idx BETWEEN a.idx - 1 AND a.idx + 1) SELECT doc_id, idx, string_agg(sent, ' ' ORDER BY j) AS chunk, array_to_string(list(j ORDER BY j), ',') AS members FROM w WHERE n = 1 GROUP BY 1, 2""")
 def c_ctx_window(spark, d):
-    return C.context_windows(table(spark, d, "documents").where("text IS NOT NULL"), ["doc_id"], "text", 1).withColumn("members", F.array_join("members", ","))
+    return C.context_windows(sentence_arrays(spark, d), ["doc_id"], 1).withColumn("members", F.array_join("members", ","))
 
 
 @query("""WITH e AS (SELECT *, list_dot_product(lag(embedding) OVER w, embedding) AS s FROM (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS embedding FROM embeddings) WINDOW w AS (PARTITION BY label ORDER BY vec_id))
@@ -82,9 +86,9 @@ def c_claim_aware_tight(spark, d):
     SELECT source, doc_id, chunk_id, anchor FROM (SELECT *, row_number() OVER (PARTITION BY source, key ORDER BY doc_id, chunk_id) AS n FROM k) WHERE n = 1""")
 def c_materialise(spark, d):
     """Window chunks of the documents as candidates of their source; sentences of 40 characters and more are kept ones."""
-    docs = table(spark, d, "documents").where("text IS NOT NULL AND source IS NOT NULL").withColumn("kept", F.transform(T.split_sentences("text"), lambda s: F.length(s) >= 40))
+    docs = sentence_arrays(spark, d, ["doc_id", "source"]).where("source IS NOT NULL").withColumn("kept", F.transform("s", lambda s: F.length(s) >= 40))
     anchor = F.get(F.filter("members", lambda j: F.get("kept", j)), F.lit(0))
-    chunks = C.context_windows(docs, ["doc_id", "source", "kept"], "text", 1).select("source", "doc_id", F.col("idx").alias("chunk_id"), F.col("chunk").alias("text"), anchor.alias("anchor"))
+    chunks = C.context_windows(docs, ["doc_id", "source", "kept"], 1).select("source", "doc_id", F.col("idx").alias("chunk_id"), F.col("chunk").alias("text"), anchor.alias("anchor"))
     return C.materialise(chunks, ["doc_id"], "source", ["doc_id", "chunk_id"]).select("source", "doc_id", "chunk_id", "anchor")
 
 

@@ -69,8 +69,8 @@ def test_lexical_scores_by_hand(spark):
 
 def test_chunking(spark):
     s = spark.createDataFrame([("d", "A one. A  ONE. B two. C three."), ("e", ""), ("f", None)], "k string, text string")
-    w = {r.idx: (r.chunk, r.members) for r in C.context_windows(s, ["k"], "text", 1).collect()}
-    assert [(r.k, r.chunk, r.sentences) for r in C.raw_chunks(s, ["k"], "text").collect()] == [("d", "A one. A ONE. B two. C three.", 4)]
+    w = {r.idx: (r.chunk, r.members) for r in C.context_windows(C.sentence_arrays(s, ["k"], "text"), ["k"], 1).collect()}
+    assert [(r.k, r.chunk, r.sentences) for r in C.raw_chunks(C.sentence_arrays(s, ["k"], "text"), ["k"]).collect()] == [("d", "A one. A ONE. B two. C three.", 4)]
     assert w[0] == ("A one.", [0]) and w[1] == ("A one. B two.", [0, 2]) and w[3] == ("B two. C three.", [2, 3])
     e = spark.createDataFrame([("d", 0, [1.0, 0.0]), ("d", 1, [1.0, 0.0]), ("d", 2, [0.0, 1.0]), ("d", 3, [0.0, 1.0])], "k string, idx int, v array<double>")
     assert [r.chunk for r in C.semantic_chunks(e, ["k"], "idx", "v", 0.7).orderBy("idx").collect()] == [0, 0, 1, 1]

@@ -92,7 +92,10 @@ def strip_sentences(sentences: DataFrame, lines: DataFrame) -> DataFrame:
     """The rows of ``sentences`` that are no repeated line of their domain, with all their columns."""
     mine = sentences.withColumns({"__dom": domain_key("domain"), "__line": line_key("text")}).withColumns({"__h1": F.xxhash64("__line"), "__h2": F.xxhash64(F.lit(1), "__line")})
     gone = lines.select(F.col("dom").alias("__dom"), F.col("h1").alias("__h1"), F.col("h2").alias("__h2"))
-    return mine.join(gone, ["__dom", "__h1", "__h2"], "left_anti").select(*sentences.columns)
+    # Rows without a domain or a word can't be on the list; joined, they would all meet in one task.
+    asked = F.col("__dom").isNotNull() & F.coalesce(F.col("__line") != "", F.lit(False))
+    left = mine.where(asked).join(gone, ["__dom", "__h1", "__h2"], "left_anti").select(*sentences.columns)
+    return left.unionByName(mine.where(~asked).select(*sentences.columns))
 
 
 def strip_reports(anchors: DataFrame, lines: DataFrame, id_col: str = "anchor_id", text: str = "report_content") -> DataFrame:

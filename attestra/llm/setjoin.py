@@ -7,17 +7,19 @@ Any order gives the same result; a sharper one gives fewer candidates.
 Two sets of n and m words with similarity (Jaccard) ``t`` share at least ``o = ceil(t * max(n, m))`` words. The words are cut
 into segments: the rare ones, and the others by their hash. Of the ``n - o + 1 + E`` rarest words of either set they share
 at least ``1 + E``, ``E`` being ``DEPTH - 1`` for each segment of frequent words, so they share a rare word, or ``DEPTH``
-words of one segment of frequent words (pigeonhole). The first word is a key if it is rare; else the first two, if not many
-sets have them, or the first three. The number of a set's keys is bounded however frequent all its words are, as
+words of one segment of frequent words (pigeonhole). The first word is a key if it is rare, one for all sizes of partner; else
+the first two, if not many sets have them, or the first three. A word of one set alone is no key, as it meets nothing. The number of a set's keys is bounded however frequent all its words are, as
 larger sets have more segments (``bands``), and no key of one or two words is in many sets.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +42,8 @@ def bands() -> np.ndarray:
 def word_sets(df: DataFrame, id_col: str, text: str) -> DataFrame:
     """``id, toks, k1, k2``: each row's set of words as sorted hashes, and a 128-bit key of the set; rows without a word are left out."""
     toks = F.array_sort(F.array_distinct(F.transform(words(text), lambda w: F.xxhash64(w))))
-    rows = df.select(F.col(id_col).alias("id"), toks.alias("toks")).where("size(toks) > 0")
+    # A filter on toks would be pushed below them, and the words found twice.
+    rows = df.where(F.lower(F.col(text)).rlike(r"[\p{L}\p{N}]")).select(F.col(id_col).alias("id"), toks.alias("toks"))
     return rows.select("id", "toks", F.xxhash64("toks").alias("k1"), F.xxhash64(F.lit(1), "toks").alias("k2"))
 
 
@@ -49,14 +52,39 @@ def classes(rows: DataFrame) -> DataFrame:
     return rows.groupBy("k1", "k2", "toks").agg(F.min("id").alias("cls"), F.count("*").alias("n"))
 
 
+def pack(b: np.ndarray, c: np.ndarray) -> bytes:
+    """Buckets and their counts in some two bytes each: steps from bucket to bucket and counts, byte by byte of their numbers."""
+    order = np.argsort(b)
+    numbers = np.concatenate((np.diff(b[order], prepend=0), c[order])).astype("<i4")
+    return zlib.compress(numbers.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    numbers = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T.copy().view("<i4").ravel()
+    steps, c = np.split(numbers, 2)
+    return np.cumsum(steps), c
+
+
+def cells(counted: DataFrame, bits: int) -> np.ndarray:
+    """Counts of ``counted(b int, c bigint)`` by bucket. Each task packs its buckets, so the driver gets two bytes a bucket."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [(x.column(0).to_numpy(), np.minimum(x.column(1).to_numpy(), np.iinfo(np.int32).max)) for x in batches if x.num_rows]
+        if got:
+            yield pa.RecordBatch.from_arrays([pa.array([pack(*map(np.concatenate, zip(*got, strict=True)))])], ["packed"])
+
+    out = np.zeros(1 << bits, np.int32)
+    for part in counted.mapInArrow(run, "packed binary").toArrow().column("packed"):
+        b, c = unpack(part.as_py())
+        out[b] = c
+    return out
+
+
 def sketch(sets: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
-    """Occurrences of words by hash bucket: at most ``2 ** bits`` rows reach the driver, whatever the input."""
+    """Occurrences of words by hash bucket: at most ``2 ** bits`` buckets reach the driver, whatever the input."""
     mask = (1 << bits) - 1
     counted = sets.select(F.explode("toks").alias("w")).groupBy(F.col("w").bitwiseAND(F.lit(mask)).cast("int").alias("b")).agg(F.count("*").alias("c"))
-    out = np.zeros(1 << bits, np.int32)
-    got = counted.toArrow()
-    out[got.column("b").to_numpy()] = np.minimum(got.column("c").to_numpy(), np.iinfo(np.int32).max)
-    return out
+    return cells(counted, bits)
 
 
 def rare_first(flat: np.ndarray, lengths: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -97,6 +125,7 @@ def segment_keys(flat: np.ndarray, freq: np.ndarray, lengths: np.ndarray, t: flo
     o = np.ceil(t * n - SLACK).astype(np.int64)
     # A set meets the partners of its own band, and larger ones: a pair shares no more than n words.
     low, high = (np.searchsorted(starts, x, side="right") - 1 for x in (o, n))
+    longest = np.zeros(len(n), np.int64)
     out: list[tuple[np.ndarray, np.ndarray, int]] = []
     for k in range(int(low.min(initial=0)), int(high.max(initial=-1)) + 1):
         segments = 1 << max(0, k - 1)
@@ -107,12 +136,13 @@ def segment_keys(flat: np.ndarray, freq: np.ndarray, lengths: np.ndarray, t: flo
         owner, at = _spread(reach)
         at += begin[sets][owner]
         word, often = flat[at], freq[at]
-        single = (often <= rare) | (k == 0)
         space = np.int64(k)
-        out.append((sets[owner[single]], mix(np.full(int(single.sum()), space), word[single]), 1))
         if k == 0:
+            shared = often != 1
+            out.append((sets[owner[shared]], mix(np.full(int(shared.sum()), space), word[shared]), 1))
             continue
-        owner, word = owner[~single], word[~single]
+        longest[sets] = np.maximum(longest[sets], reach)
+        owner, word = owner[often > rare], word[often > rare]
         seg = segment_of(word, segments)
         order = np.lexsort((np.arange(len(word)), seg, owner))
         owner, word, seg = owner[order], word[order], seg[order]
@@ -129,7 +159,12 @@ def segment_keys(flat: np.ndarray, freq: np.ndarray, lengths: np.ndarray, t: flo
         i, j = _spread(rest + 1)
         a, b, c = a[i], b[i], b[i] + 1 + j
         out.append((sets[owner[a]], mix(np.full(len(a), space), word[a], word[b], word[c]), 3))
-    if not out:
+    # Rare words are the same keys in all bands, so a set has each once. A bucket of one occurrence is a word of one set.
+    owner, at = _spread(longest)
+    at += begin[owner]
+    single = (freq[at] <= rare) & (freq[at] != 1)
+    out.append((owner[single], mix(np.ones(int(single.sum()), np.int64), flat[at[single]]), 1))
+    if not len(n):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int8)
     return np.concatenate([d for d, _, _ in out]), np.concatenate([x for _, x, _ in out]), np.concatenate([np.full(len(d), w, np.int8) for d, _, w in out])
 
@@ -148,29 +183,27 @@ def flat_lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), lengths
 
 
-def frequent_pairs(sets: DataFrame, counts: np.ndarray, t: float, rare: int = RARE, bits: int = SKETCH_BITS) -> np.ndarray:
-    """Whether a hash bucket of two-word keys holds more than ``rare`` of them; at most ``2 ** bits`` rows reach the driver."""
-    shared = sets.sparkSession.sparkContext.broadcast(counts)
+def frequent_pairs(sets: DataFrame, shared: Broadcast, t: float, rare: int = RARE, bits: int = SKETCH_BITS) -> np.ndarray:
+    """Whether a hash bucket of two-word keys holds more than ``rare`` of them; at most ``2 ** bits`` buckets reach the driver. ``shared``: the sketch."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(1 << bits, np.int32)
+        held = np.zeros(1 << bits, np.int32)
         for b in batches:
             flat, lengths = flat_lists(b.column(0))
             _, key, size = segment_keys(*rare_first(flat, lengths, shared.value), lengths, t, None, rare)
-            np.add.at(cells, key[size == 2] & (len(cells) - 1), 1)
-        at = np.flatnonzero(cells)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(cells[at])], ["b", "c"])
+            np.add.at(held, key[size == 2] & (len(held) - 1), 1)
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(held[at])], ["b", "c"])
 
-    out = np.zeros(1 << bits, bool)
-    got = sets.select("toks").mapInArrow(run, "b int, c int").groupBy("b").agg(F.sum("c").alias("c")).where(F.col("c") > rare).select("b").toArrow()
-    out[got.column("b").to_numpy()] = True
-    return out
+    counted = sets.select("toks").mapInArrow(run, "b int, c int").groupBy("b").agg(F.sum("c").alias("c")).where(F.col("c") > rare)
+    return cells(counted, bits) > 0
 
 
 def key_rows(sets: DataFrame, t: float, counts: np.ndarray | None = None, carry: tuple[str, ...] = (), rare: int = RARE) -> DataFrame:
     """``seed, cls, size, m0..m3`` of each key of each set, and the carried columns, which are never null."""
     sc, counts = sets.sparkSession.sparkContext, sketch(sets) if counts is None else counts
-    shared, pairs = sc.broadcast(counts), sc.broadcast(frequent_pairs(sets, counts, t, rare))
+    shared = sc.broadcast(counts)
+    pairs = sc.broadcast(frequent_pairs(sets, shared, t, rare))
     field = sets.select("cls", "toks", *carry)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,6 +259,9 @@ def verify(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
 
 
 def prepare(df: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """Rows with the key of their set, and the different sets; each is computed once and written to the checkpoint folder."""
-    rows = checkpoint(word_sets(df, id_col, text))
-    return rows, checkpoint(classes(rows))
+    """``id, k1, k2`` of the rows, and the different sets, both written to the checkpoint folder.
+
+    The words are found twice, as written once for the rows and again for the sets they are the most of what is on disk.
+    """
+    rows = word_sets(df, id_col, text)
+    return checkpoint(rows.select("id", "k1", "k2")), checkpoint(classes(rows))

@@ -73,6 +73,38 @@ def test_ring_prunes_before_the_whole_distance(spark):
     assert met.where(neardup.ring(0.7, 1)).count() >= len(left)  # a longer chain drops more
 
 
+def test_rows_are_kept_without_their_words(spark):
+    rows, sets = setjoin.prepare(frame(spark, [(1, "one two", "", "", 0, 0), (2, "two ONE", "", "", 0, 0), (3, "one", "", "", 0, 0)]), "candidate_id", "text")
+    assert rows.columns == ["id", "k1", "k2"] and rows.count() == 3
+    assert sorted((r.cls, r.n, len(r.toks)) for r in sets.collect()) == [(1, 2, 2), (3, 1, 1)]
+
+
+def test_the_sketch_reaches_the_driver_packed(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    b = rng.permutation(np.flatnonzero(rng.random(1 << 16) < 0.1)).astype(np.int32)
+    c = rng.geometric(0.2, len(b)).astype(np.int64)
+    c[0] = np.iinfo(np.int32).max
+    data = setjoin.pack(b, c)
+    assert len(data) < 3 * len(b)
+    got = setjoin.unpack(data)
+    assert dict(zip(*(x.tolist() for x in got))) == dict(zip(b.tolist(), c.tolist()))
+    sets = spark.range(300).selectExpr("array(id % 7, id + 10, -id - 1) AS toks")
+    want = np.zeros(1 << 12, np.int32)
+    np.add.at(want, np.array([w for r in sets.collect() for w in r.toks]) & 4095, 1)
+    assert (setjoin.sketch(sets, 12) == want).all() and not setjoin.sketch(sets.limit(0), 12).any()
+
+
+def test_a_rare_word_is_one_key_and_a_word_of_one_set_none():
+    import numpy as np
+
+    flat, lengths = np.arange(40, dtype=np.int64) + 1000, np.array([40])  # in two bands for t = 0.7
+    for often, least in ((2, 15), (1, 0)):
+        doc, key, size = setjoin.segment_keys(flat, np.full(40, often, np.int32), lengths, 0.7, None)
+        assert len(key) == len(set(key.tolist())) == least and (size == 1).all() and not doc.any()
+
+
 @given(st.lists(st.integers(0, 9), min_size=8, max_size=8), st.integers(0, 40), st.integers(1, 8))
 def test_ring_keeps_every_pair_within_the_budget(d, budget, chain):
     viable = any(all(8 * sum(d[(i + k) % 8] for k in range(n)) <= n * budget for n in range(1, chain + 1)) for i in range(8))

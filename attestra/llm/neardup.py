@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestra.llm.components import components
+from attestra.llm.runtime import checkpoint
 from attestra.llm.setjoin import RARE, key_rows, prepare, sizes, tau, verify, within
 
 SIMILARITY = 0.7
@@ -48,9 +49,13 @@ def met(rows: DataFrame, t: float) -> DataFrame:
 
 
 def class_pairs(sets: DataFrame, t: float = SIMILARITY, rare: int = RARE) -> DataFrame:
-    """``a, b, similarity``: pairs of different classes, ``a < b``; ``rare`` changes the cost and not the result."""
+    """``a, b, similarity``: pairs of different classes, ``a < b``; ``rare`` changes the cost and not the result.
+
+    The keys are most of what is on disk; they are dropped before the sets are shuffled for the check.
+    """
     near = met(key_rows(sets, t, rare=rare), t).where(F.expr(ring(t))).where(F.expr(within(t)))
-    return verify(near.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct(), sets, t)
+    pairs = checkpoint(near.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct(), drop=True)
+    return verify(pairs, sets, t)
 
 
 def similar_pairs(df: DataFrame, id_col: str = "candidate_id", text: str = "text", t: float = SIMILARITY, rare: int = RARE) -> DataFrame:

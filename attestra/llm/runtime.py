@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 from collections.abc import Iterator
+from contextlib import contextmanager, nullcontext
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -18,15 +19,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage in the shared folder named by ``spark.checkpoint.dir``; only a local master gets a local one where it is unset."""
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Frames made and run within drop their shuffle files when they have run, else these stay until the driver collects garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def checkpoint(df: DataFrame, drop: bool = False) -> DataFrame:
+    """Cut lineage in the shared folder named by ``spark.checkpoint.dir``; only a local master gets a local one where it is unset.
+
+    With ``drop`` the shuffle files that led to it go at once.
+    """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         folder = sc.getConf().get("spark.checkpoint.dir")
         if folder is None and not sc.master.startswith("local[") and sc.master != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="attestra-checkpoint-"))
-    return df.checkpoint(eager=True)
+    with shuffles_dropped(df.sparkSession) if drop else nullcontext():
+        return (df.select("*") if drop else df).checkpoint(eager=True)
 
 
 def blocks(texts: list[str], limit: int = BLOCK_CHARS) -> Iterator[tuple[int, int]]:

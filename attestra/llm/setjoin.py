@@ -23,7 +23,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestra.llm.runtime import checkpoint, words
+from attestra.llm.runtime import checkpoint, shuffles_dropped, words
 
 SKETCH_BITS = 22
 #: Words, and pairs of words, up to this frequency in their sketch are keys by themselves.
@@ -74,7 +74,9 @@ def cells(counted: DataFrame, bits: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([pack(*map(np.concatenate, zip(*got, strict=True)))])], ["packed"])
 
     out = np.zeros(1 << bits, np.int32)
-    for part in counted.mapInArrow(run, "packed binary").toArrow().column("packed"):
+    with shuffles_dropped(counted.sparkSession):
+        parts = counted.mapInArrow(run, "packed binary").toArrow().column("packed")
+    for part in parts:
         b, c = unpack(part.as_py())
         out[b] = c
     return out
@@ -264,4 +266,4 @@ def prepare(df: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFrame
     The words are found twice, as written once for the rows and again for the sets they are the most of what is on disk.
     """
     rows = word_sets(df, id_col, text)
-    return checkpoint(rows.select("id", "k1", "k2")), checkpoint(classes(rows))
+    return checkpoint(rows.select("id", "k1", "k2")), checkpoint(classes(rows), drop=True)

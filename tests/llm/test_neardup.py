@@ -96,6 +96,22 @@ def test_the_sketch_reaches_the_driver_packed(spark):
     assert (setjoin.sketch(sets, 12) == want).all() and not setjoin.sketch(sets.limit(0), 12).any()
 
 
+def test_shuffle_files_go_before_the_check(spark):
+    import time
+
+    def files():
+        return spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString(",").count("shuffle_")
+
+    rows = list(enumerate(edited(random.Random(7), 80)))
+    df, before = frame(spark, [(i, x, "", "", 0, 0) for i, x in rows]), files()
+    neardup.class_pairs(setjoin.prepare(df, "candidate_id", "text")[1])
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.2)
+    assert files() <= before
+
+
 def test_a_rare_word_is_one_key_and_a_word_of_one_set_none():
     import numpy as np
 
